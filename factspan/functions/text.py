@@ -12,6 +12,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: published region labels (folded) and their two-digit codes
 REGION_CODES = {
@@ -54,6 +55,9 @@ POPULATION_SEX = {
 # fixed values: placeholders of the external cause field
 EXTERNAL_PLACEHOLDERS = ("XXX", "XXX1", "XXX2", "X")
 
+_SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(
+    chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -90,7 +94,6 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL, _MARKS = _fold_tables()
-_HAS_SEVERAL = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _FOLD_SEVERAL) + "]"
 
 
 def lookup(col: Column, values: Mapping[str, str]) -> Column:
@@ -101,24 +104,33 @@ def lookup(col: Column, values: Mapping[str, str]) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every Unicode space, as raw text fields need it."""
-    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def squeeze(col: Column) -> Column:
     return F.regexp_replace(strip(col), f"{_SPACE}+", " ")
 
 
+_LATIN = [(a, b) for a, b in zip(_FOLD_FROM, _FOLD_TO, strict=True) if ord(a) <= 0xFF]
+_LATIN_FROM, _LATIN_TO = "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN)
+
+
 def fold(col: Column) -> Column:
-    """NFKD with combining marks dropped. Plain ASCII text is passed through."""
+    """NFKD with combining marks dropped.
+
+    ASCII passes through and Latin-1 letters take one short translation; only text beyond
+    them (or holding a fraction sign) meets the full tables.
+    """
     several = F.create_map(*[F.lit(p) for pair in _FOLD_SEVERAL.items() for p in pair])
-    spelled = F.when(
-        col.rlike(_HAS_SEVERAL),
-        F.concat_ws(
-            "", F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(several, c), c))
-        ),
-    ).otherwise(col)
-    folded = F.regexp_replace(F.translate(spelled, _FOLD_FROM, _FOLD_TO), _MARKS, "")
-    return F.when(col.rlike(r"[^\x00-\x7f]"), folded).otherwise(col)
+    spelled = F.concat_ws(
+        "", F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(several, c), c))
+    )
+    general = F.regexp_replace(F.translate(spelled, _FOLD_FROM, _FOLD_TO), _MARKS, "")
+    return (
+        F.when(~col.rlike(r"[^\x00-\x7f]"), col)
+        .when(~col.rlike(r"[^\x00-\xbb\xbf-\xff]"), F.translate(col, _LATIN_FROM, _LATIN_TO))
+        .otherwise(general)
+    )
 
 
 def region_label(col: Column) -> Column:
@@ -326,7 +338,7 @@ def entity_rut(col: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed Unicode form; the one text step Spark has no built-in for."""
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factspan.functions.numbers import finite
 from factspan.operators.rules import Rule
@@ -133,7 +134,7 @@ def chi_square_tail(x: float, df: int) -> float:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(statistic: pd.Series, df: pd.Series) -> pd.Series:
     """p-value per series; runs on one row per series."""
     return pd.Series(

@@ -166,12 +166,26 @@ def identifier_report(
 
 # --- provenance ----------------------------------------------------------------
 
-PROVENANCE = T.StructType.fromDDL(
-    "sources ARRAY<STRUCT<source_key STRING, name STRING, url STRING, release_date DATE, "
-    "release_missingness_reason STRING, retrieved_at TIMESTAMP, sha256 STRING, vintage STRING, "
-    "provisional BOOLEAN>>, release_id STRING, available_at TIMESTAMP, observation_start DATE, "
-    "observation_end DATE, dimensions ARRAY<STRING>, aggregation_rules ARRAY<STRING>, "
-    "missingness_reason STRING, transformation_ids ARRAY<STRING>, notes ARRAY<STRING>"
+SOURCE = C.layout(
+    *C.texts("source_key", "name", "url"),
+    ("release_date", C.DT),
+    ("release_missingness_reason", C.S),
+    ("retrieved_at", C.TS),
+    *C.texts("sha256", "vintage"),
+    ("provisional", C.B),
+)
+_LIST = T.ArrayType(T.StringType())
+PROVENANCE = C.layout(
+    ("sources", T.ArrayType(SOURCE)),
+    ("release_id", C.S),
+    ("available_at", C.TS),
+    ("observation_start", C.DT),
+    ("observation_end", C.DT),
+    ("dimensions", _LIST),
+    ("aggregation_rules", _LIST),
+    ("missingness_reason", C.S),
+    ("transformation_ids", _LIST),
+    ("notes", _LIST),
 )
 
 
