@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factspan.operators.reconcile import null_safe_join
+
 
 def count_cube(df: DataFrame, dims: Mapping[str, Column], name: str = "value") -> DataFrame:
     """One row per combination of the dimension expressions with its event count.
@@ -99,16 +101,10 @@ def control_differences(controls: DataFrame, audit: DataFrame) -> DataFrame:
 
     Returns every control with the observed count and whether it agrees.
     """
-    match = controls["audit"].eqNullSafe(audit["audit"]) & controls["key"].eqNullSafe(
-        audit["key"]
-    )
-    observed = audit["n"]
-    return controls.join(audit, match, "left").select(
-        controls["audit"],
-        controls["key"],
-        controls["expected"],
-        observed.alias("observed"),
-        controls["expected"].eqNullSafe(observed).alias("agrees"),
+    key = ["audit", "key"]
+    observed = audit.select(*key, F.col("n").alias("observed"))
+    return null_safe_join(controls.select(*key, "expected"), observed, key, "left").withColumn(
+        "agrees", F.col("expected").eqNullSafe(F.col("observed"))
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from factspan.contracts import UNIT_DIMENSION
 from factspan.functions.numbers import finite, known
-from factspan.operators.reconcile import key_difference, same_key
+from factspan.operators.reconcile import key_difference, null_safe_join
 from factspan.operators.rules import Rule, check_absent, check_constant, check_unique, report
 
 
@@ -32,11 +32,10 @@ def aligned(
     """
     a = left.select(*dims, F.col("value").alias(names[0]), F.lit(True).alias("__in_left"))
     b = right.select(*dims, F.col("value").alias(names[1]), F.lit(True).alias("__in_right"))
-    joined = a.join(b, same_key(a, b, dims), "full_outer")
     both = F.col("__in_left").isNotNull() & F.col("__in_right").isNotNull()
     stop = F.raise_error(F.lit("coordinates are not aligned"))
-    return joined.select(
-        *[F.coalesce(a[d], b[d]).alias(d) for d in dims],
+    return null_safe_join(a, b, dims, "full_outer").select(
+        *dims,
         *[F.when(both, column).otherwise(stop).alias(name) for name, column in value.items()],
     )
 

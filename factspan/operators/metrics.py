@@ -72,19 +72,18 @@ def ljung_box(
     Residuals of step t meet those of step t - k through a join on (series, step), so a
     series of any length is spread over the cluster. Ordinals must be contiguous.
     """
+    residuals = residuals.select(
+        *series, F.col(ordinal).cast("bigint").alias("__t"), F.col(value).alias("__r")
+    )
     stats = residuals.groupBy(*series).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("__mean")
+        F.count(F.lit(1)).alias("n"), F.avg("__r").alias("__mean")
     )
     half = F.greatest(F.floor(F.col("n") / 2) - 1, F.lit(1))
     stats = stats.withColumn(
         "lag_used", F.least(F.lit(max(lags, 1)).cast("bigint"), half).cast("int")
     )
     centred = residuals.join(stats, list(series)).select(
-        *series,
-        "n",
-        "lag_used",
-        F.col(ordinal).cast("bigint").alias("__t"),
-        (F.col(value) - F.col("__mean")).alias("__r"),
+        *series, "n", "lag_used", "__t", (F.col("__r") - F.col("__mean")).alias("__r")
     )
     # lag 0 carries the variance; a row of step t is sent to step t + k
     sent = centred.select(

@@ -25,9 +25,23 @@ def release_kind(kind: str) -> tuple[bool, bool]:
     return kind != "final_annual", kind == "coyuntural_monthly"
 
 
-def same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
-    """Equality on every key column with nulls equal; a hashable join condition."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in key])
+def null_safe_join(
+    left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join on key columns with nulls equal.
+
+    The key columns of the result come from whichever side holds the row; all other
+    columns must have distinct names.
+    """
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in key])
+    joined = left.join(other, same, how)
+    rest = [c for c in joined.columns if c not in key and not c.startswith("__right_")]
+    keys = [
+        F.coalesce(F.col(k), F.col(f"__right_{k}")).alias(k) if how != "inner" else F.col(k)
+        for k in key
+    ]
+    return joined.select(*keys, *rest)
 
 
 def status(difference: Column, kind: str) -> Column:
@@ -45,12 +59,14 @@ def compare_values(
 ) -> DataFrame:
     """One-to-one comparison of two tables with unique keys: difference and status."""
     provisional, _ = release_kind(kind)
-    a, b = left.select(*key, value), right.select(*key, value)
-    difference = a[value] - b[value]
-    return a.join(b, same_key(a, b, key), "inner").select(
-        *[a[k] for k in key],
-        a[value].alias(names[0]),
-        b[value].alias(names[1]),
+    a, b = (
+        side.select(*key, F.col(value).alias(name))
+        for side, name in zip((left, right), names, strict=True)
+    )
+    difference = F.col(names[0]) - F.col(names[1])
+    return null_safe_join(a, b, key).select(
+        *key,
+        *names,
         difference.alias("difference"),
         status(difference, kind).alias("status"),
         F.lit(kind).alias("control_release_kind"),
@@ -90,14 +106,13 @@ def set_status(
     left: DataFrame, right: DataFrame, key: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Full outer comparison: equal, different, only_left or only_right per key."""
-    a = left.select(*key, F.struct(*columns).alias("content"))
-    b = right.select(*key, F.struct(*columns).alias("content"))
-    joined = a.join(b, same_key(a, b, key), "full_outer")
-    return joined.select(
-        *[F.coalesce(a[k], b[k]).alias(k) for k in key],
-        F.when(b["content"].isNull(), "only_left")
-        .when(a["content"].isNull(), "only_right")
-        .when(a["content"].eqNullSafe(b["content"]), "equal")
+    a = left.select(*key, F.struct(*columns).alias("__a"))
+    b = right.select(*key, F.struct(*columns).alias("__b"))
+    return null_safe_join(a, b, key, "full_outer").select(
+        *key,
+        F.when(F.col("__b").isNull(), "only_left")
+        .when(F.col("__a").isNull(), "only_right")
+        .when(F.col("__a").eqNullSafe(F.col("__b")), "equal")
         .otherwise("different")
         .alias("status"),
     )

@@ -3,6 +3,9 @@
 from factspan.queries import (  # noqa: F401  (imported to register)
     counts,
     history,
+    joins,
+    labels,
+    series,
 )
 from factspan.queries.base import QUERIES, SQL
 

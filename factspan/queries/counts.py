@@ -251,9 +251,9 @@ UNION ALL SELECT 'age_type_known', count(*) FILTER (WHERE edad_tipo NOT IN
   ('', '0', '1', '2', '3', '4')) FROM broken
 UNION ALL SELECT 'age_count_range', count(*) FILTER (WHERE edad_cant <> '' AND (
   NOT regexp_full_match(edad_cant, '[0-9]+')
-  OR (edad_tipo = '2' AND CAST(edad_cant AS INTEGER) > 11)
-  OR (edad_tipo = '3' AND CAST(edad_cant AS INTEGER) > 31)
-  OR (edad_tipo = '4' AND CAST(edad_cant AS INTEGER) > 24))) FROM broken
+  OR (edad_tipo = '2' AND TRY_CAST(edad_cant AS INTEGER) > 11)
+  OR (edad_tipo = '3' AND TRY_CAST(edad_cant AS INTEGER) > 31)
+  OR (edad_tipo = '4' AND TRY_CAST(edad_cant AS INTEGER) > 24))) FROM broken
 UNION ALL SELECT 'commune_form', count(*) FILTER (WHERE comuna NOT IN ('', '99999')
   AND NOT regexp_full_match(comuna, '[0-9]{{1,5}}')) FROM broken
 UNION ALL SELECT 'cause_matches_era', count(*) FILTER (WHERE diag1 <> '' AND (
