@@ -2,9 +2,12 @@
 
 from factspan.queries import (  # noqa: F401  (imported to register)
     counts,
+    domains,
     history,
+    jobs,
     joins,
     labels,
+    rules,
     series,
 )
 from factspan.queries.base import QUERIES, SQL
