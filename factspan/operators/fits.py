@@ -248,9 +248,9 @@ def fit_spline_rate(
                 hessian = hessian + barrier * slope.T @ (slope / (room**2)[:, None])
             shift = max(0.0, 1e-9 - np.linalg.eigvalsh(hessian)[0])
             step = np.linalg.solve(hessian + shift * np.eye(df), gradient)
-            if gradient @ step < 1e-16:
-                break
             size, here = 1.0, loss(theta, barrier)
+            if gradient @ step < 1e-13 * max(1.0, abs(here)):
+                break
             while size > 1e-12 and loss(theta - size * step, barrier) > here - 1e-4 * size * (
                 gradient @ step
             ):
@@ -275,7 +275,7 @@ def fit_rate_schedule(
     df: int = 8,
     penalty: float = 20.0,
     monotone_from: float | None = None,
-    open_end: float = 110.0,
+    open_end: float | None = None,
 ) -> DataFrame:
     """Rates at ``ages`` per series from (age_lower, age_upper, events, exposure) bins."""
     out = _schema(bins, series, ("age", T.DoubleType()), ("rate", T.DoubleType()))
@@ -298,7 +298,7 @@ def predict_bins(
     df: int = 8,
     penalty: float = 20.0,
     monotone_from: float | None = None,
-    open_end: float = 110.0,
+    open_end: float | None = None,
 ) -> DataFrame:
     """Expected events of every bin under the fitted schedule of its series."""
     out = T.StructType([*bins.schema.fields, T.StructField("expected", T.DoubleType())])
@@ -313,9 +313,19 @@ def predict_bins(
     return bins.groupBy(*series).applyInPandas(one, out)
 
 
-def _bin_arrays(frame: pd.DataFrame, open_end: float):
-    low = frame["age_lower"].to_numpy(float)
-    high = frame["age_upper"].fillna(open_end).to_numpy(float)
+def _bin_edges(frame: pd.DataFrame, open_end: float | None) -> tuple[np.ndarray, np.ndarray]:
+    low, high = frame["age_lower"].to_numpy(float), frame["age_upper"].to_numpy(float)
+    if np.isnan(high).any():
+        if open_end is None:
+            raise ValueError("an open bin needs open_end")
+        high = np.where(np.isnan(high), open_end, high)
+    if not np.isfinite(low).all() or (low < 0).any() or (high <= low).any():
+        raise ValueError("bins must be finite, nonnegative and rise")
+    return low, high
+
+
+def _bin_arrays(frame: pd.DataFrame, open_end: float | None):
+    low, high = _bin_edges(frame, open_end)
     return low, high, frame["events"].to_numpy(float), frame["exposure"].to_numpy(float)
 
 
@@ -404,7 +414,7 @@ def ungroup(
     series: Sequence[str],
     nodes: Sequence[float],
     value: str = "count",
-    open_end: float = 105.0,
+    open_end: float | None = None,
     tolerance: float = 1e-7,
 ) -> DataFrame:
     """Density at the grid nodes per series; bin totals are preserved to ``tolerance``."""
@@ -415,8 +425,9 @@ def ungroup(
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("age_lower")
-        low = frame["age_lower"].to_numpy(float)
-        high = frame["age_upper"].fillna(open_end).to_numpy(float)
+        low, high = _bin_edges(frame, open_end)
+        if low.min() < grid[0] or high.max() > grid[-1]:
+            raise ValueError("every bin must lie inside the grid")
         totals = frame[value].to_numpy(float)
         if (totals < 0).any() or not np.isfinite(totals).all():
             raise ValueError("totals must be finite and nonnegative")
@@ -446,7 +457,7 @@ def compare_ungrouping(
     series: Sequence[str],
     nodes: Sequence[float],
     value: str = "count",
-    open_end: float = 105.0,
+    open_end: float | None = None,
     factor: int = 2,
 ) -> DataFrame:
     """Difference of the curves on a grid and on its refinement, at the shared nodes."""

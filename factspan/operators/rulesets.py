@@ -641,6 +641,40 @@ def term_report(terms: DataFrame) -> DataFrame:
     )
 
 
+def release_rules() -> list[Rule]:
+    """Release metadata: coverage ordered, published after its cutoff, dated or explained."""
+    return [
+        Rule("coverage_ordered", col("observation_start") <= col("observation_cutoff")),
+        Rule(
+            "released_after_cutoff",
+            _null_or(col("released_at"), col("released_at") >= col("observation_cutoff")),
+        ),
+        Rule("vintage_nonblank", nonblank("vintage")),
+        Rule("provisional_declared", col("provisional").isNotNull()),
+    ]
+
+
+def control_report(controls: DataFrame) -> DataFrame:
+    """Control rows (audit, key, expected): whole, nonnegative, one per key."""
+    return report(
+        check(controls, [Rule("expected_nonnegative", col("expected") >= 0)]),
+        check_unique(controls, ("audit", "key"), "control_key_unique"),
+    )
+
+
+def operator_report(weights: DataFrame) -> DataFrame:
+    """Weight table (out, node, weight): finite weights, one per cell."""
+    return report(
+        check(weights, [Rule("weight_finite", finite(col("weight")))]),
+        check_unique(weights, ("out", "node"), "weight_cell_unique"),
+    )
+
+
+def grouped_count_rules(value: str = "count") -> list[Rule]:
+    """Bins with counts, before a rate or density is fitted to them."""
+    return [*bin_rules(), Rule("count_nonnegative", finite(col(value)) & (col(value) >= 0))]
+
+
 def curated_type_rules(logical: Sequence[tuple[str, str]], optional: Sequence[str] = ()
                        ) -> list[Rule]:
     """Raw text cells of a curated table against their logical type."""

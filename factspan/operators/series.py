@@ -49,12 +49,11 @@ def previous_row(
     )
 
 
-def archive_row_numbers(rows: DataFrame, archive: str, block: str, scan_order: str) -> DataFrame:
-    """Contiguous one-based row numbers per archive.
+def block_offsets(rows: DataFrame, archive: str, block: str, scan_order: str) -> DataFrame:
+    """Rows before each file block of an archive: one row per block.
 
-    ``block`` is the byte offset of the file block a row was read from and ``scan_order``
-    rises by one per row inside a block. Only the blocks are ordered (one row each); the
-    rows themselves are never shuffled when the block table is small.
+    ``block`` tells where a row was read from (file and byte offset) and ``scan_order``
+    rises by one per row inside a block.
     """
     blocks = rows.groupBy(archive, block).agg(
         F.count(F.lit(1)).alias("__n"), F.min(scan_order).alias("__first")
@@ -62,12 +61,28 @@ def archive_row_numbers(rows: DataFrame, archive: str, block: str, scan_order: s
     before = Window.partitionBy(archive).orderBy(block).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop(
+        "__n"
+    )
+
+
+def archive_row_numbers(
+    rows: DataFrame, offsets: DataFrame, archive: str, block: str, scan_order: str
+) -> DataFrame:
+    """Contiguous one-based row numbers per archive from the offsets of its blocks."""
     number = F.col("__offset") + F.col(scan_order) - F.col("__first") + 1
     return (
         rows.join(offsets, [archive, block])
         .withColumn("archive_row_number", number.cast("bigint"))
-        .drop("__n", "__first", "__offset", block, scan_order)
+        .drop("__first", "__offset", block, scan_order)
+    )
+
+
+def shard_bounds(numbered: DataFrame, archive: str, shard: str) -> DataFrame:
+    """First and last archive row of every shard."""
+    return numbered.groupBy(archive, shard).agg(
+        F.min("archive_row_number").alias("first_row"),
+        F.max("archive_row_number").alias("last_row"),
     )
 
 

@@ -14,6 +14,7 @@ from factspan import contracts as C
 from factspan.functions import identity
 from factspan.functions.identity import DEFAULT, Scheme
 from factspan.functions.text import nfc
+from factspan.operators.reconcile import set_status
 from factspan.operators.rules import Rule, check, check_absent, report, require
 from factspan.operators.rulesets import payload_rules, validate
 
@@ -311,3 +312,37 @@ def archive_binding_rules(official: bool, key: str, member: str) -> list[Rule]:
     named = (F.col("source_key") == key) & (F.col("member") == member)
     local = F.col("source_key").startswith("local_fixture_")
     return [Rule("archive_binding", named if official else local)]
+
+
+def evidence_status(assets: DataFrame, other: DataFrame) -> DataFrame:
+    """Manifest assets against acquired files or provenance sources, per release and key.
+
+    Both sides carry release_id, source_key, sha256, released_at,
+    release_missingness_reason and available_at.
+    """
+    return set_status(
+        assets,
+        other,
+        ["release_id", "source_key"],
+        ["sha256", "released_at", "release_missingness_reason", "available_at"],
+    )
+
+
+def provenance_assets(provenance: DataFrame) -> DataFrame:
+    """Sources of provenance rows in the shape of manifest assets."""
+    return provenance.select("release_id", F.inline("sources")).select(
+        "release_id",
+        "source_key",
+        "sha256",
+        F.col("release_date").alias("released_at"),
+        "release_missingness_reason",
+        F.col("retrieved_at").alias("available_at"),
+    )
+
+
+def validation_record(batch: DataFrame, domain: str, scheme: Scheme = DEFAULT) -> DataFrame:
+    """Validate a batch once and record it; readers trust the record instead of repeating."""
+    validate(batch, domain, scheme)
+    return batch.groupBy("domain", "release_id", "available_at").agg(
+        F.count(F.lit(1)).alias("rows"), F.current_timestamp().alias("validated_at")
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factspan.operators import counts, reconcile
 from factspan.operators.rules import check
 from factspan.plans import births, deaths
+from factspan.session import stage
 from factspan.queries.base import BIRTHS, RAW_DEATHS, query, raw_births, raw_deaths, table
 
 CUTOFF = date(2001, 8, 20)
@@ -323,7 +324,9 @@ SELECT region, count(*) AS events, count(DISTINCT comuna) AS communes FROM death
 """)
 def region_lookup_join(spark, sf_dir):
     raw = raw_deaths(spark, sf_dir)
-    joined = deaths.with_region(raw, deaths.region_lookup(raw))
+    # written first, so its size is known and Spark decides how to join it
+    lookup = stage(deaths.region_lookup(raw), "region-lookup")
+    joined = deaths.with_region(raw, lookup)
     return joined.groupBy("region").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("COD_COMUNA").alias("communes")
     )

@@ -339,9 +339,17 @@ def projection_metadata(spark, sf_dir):
     )
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS observation_id, CAST(0 AS BIGINT) AS rows WHERE false")
+@query(f"""
+WITH {SERIES} SELECT CAST(2 AS BIGINT) AS rows, count(*) AS observations FROM series
+""")
 def repeated_observations(spark, sf_dir):
-    return reporting.repeated_observations(reporting.project_long(_batches(spark, sf_dir)))
+    """A market batch that was projected twice."""
+    batches = _batches(spark, sf_dir)
+    again = reporting.project_domain(batches["market_quote"], "market_quote")
+    long = reporting.project_long(batches).unionAll(again)
+    return reporting.repeated_observations(long).groupBy("rows").agg(
+        F.count(F.lit(1)).alias("observations")
+    )
 
 
 @query(f"""

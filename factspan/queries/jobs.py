@@ -65,7 +65,7 @@ def predicted_bins(spark, sf_dir):
 @query()
 def ungroup(spark, sf_dir):
     nodes = [float(a) for a in range(0, 106)]
-    return fits.ungroup(_bins(spark, sf_dir), ["l_returnflag"], nodes)
+    return fits.ungroup(_bins(spark, sf_dir), ["l_returnflag"], nodes, open_end=105.0)
 
 
 @query("""
@@ -77,7 +77,7 @@ def ungroup_totals(spark, sf_dir):
     """Integrals of the ungrouped curves over their bins: the published totals."""
     nodes = [float(a) for a in range(0, 106)]
     bins = _bins(spark, sf_dir)
-    curve = fits.ungroup(bins, ["l_returnflag"], nodes)
+    curve = fits.ungroup(bins, ["l_returnflag"], nodes, open_end=105.0)
     closed = bins.select(
         "l_returnflag", "age_lower", F.coalesce("age_upper", F.lit(105.0)).alias("age_upper")
     )
@@ -92,7 +92,9 @@ def ungroup_totals(spark, sf_dir):
 @query()
 def ungroup_refined(spark, sf_dir):
     nodes = [float(a) for a in range(0, 106, 5)]
-    return fits.compare_ungrouping(_bins(spark, sf_dir), ["l_returnflag"], nodes)
+    return fits.compare_ungrouping(
+        _bins(spark, sf_dir), ["l_returnflag"], nodes, open_end=105.0
+    )
 
 
 @query("""

@@ -9,6 +9,7 @@ from factspan.functions import numbers
 from factspan.operators import exposure, intervals, reconcile
 from factspan.plans import finance
 from factspan.queries.base import PENSIONERS, query, raw_pensioners, table
+from factspan.session import stage
 
 # --- aligned tables ------------------------------------------------------------
 
@@ -168,7 +169,8 @@ def _weights(spark, sf_dir):
     nodes = months.select(F.explode(F.array("m", F.add_months("m", 1))).alias("d")).select(
         F.date_diff("d", F.lit("1995-01-01").cast("date")).cast("double").alias("x")
     )
-    cells = intervals.grid_cells(nodes.withColumn("grid", F.lit(1)), "x", ["grid"]).drop("grid")
+    # a calendar of cells, written first so that Spark knows its size
+    cells = stage(intervals.grid_cells(nodes, "x"), "cells")
     return intervals.linear_weights(spans, cells, ["o_custkey"], width=64.0)
 
 
@@ -209,8 +211,9 @@ def operator_apply(spark, sf_dir):
         F.count(F.lit(1)).cast("double").alias("value")
     )
     # months without orders count as zero: they add nothing to a sum of products
+    surface = stage(counted, "surface")
     applied = intervals.apply_operator(
-        _weights(spark, sf_dir), counted, ["o_custkey"], "node", ["o_orderpriority"]
+        _weights(spark, sf_dir), surface, ["o_custkey"], "node", ["o_orderpriority"]
     )
     spans = orders.select("o_custkey").distinct()
     grid = spans.withColumn(

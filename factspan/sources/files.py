@@ -26,7 +26,8 @@ from factspan.operators.rules import (
     require,
 )
 from factspan.operators.rulesets import LOGICAL_TYPES, curated_type_rules
-from factspan.operators.series import archive_row_numbers
+from factspan.operators.series import archive_row_numbers, block_offsets
+from factspan.session import stage
 
 # fixed values: column names and order of the published death file
 DEATH_COLUMNS = (
@@ -385,8 +386,14 @@ def attestation_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def number_rows(scan: DataFrame, archive: str = "archive_id") -> DataFrame:
-    """Contiguous archive row numbers for a file scan that kept ``_metadata``."""
-    return archive_row_numbers(scan, archive, "__block", "__order")
+    """Contiguous archive row numbers of a scan made by ``scan_with_position``.
+
+    Two passes over the same splits: one counts the rows of each block, the other adds the
+    block's offset. The offsets are written first, so Spark knows their size and sends
+    them to every task when they are small instead of moving the rows.
+    """
+    offsets = stage(block_offsets(scan, archive, "__block", "__order"), "block-offsets")
+    return archive_row_numbers(scan, offsets, archive, "__block", "__order")
 
 
 def scan_with_position(
