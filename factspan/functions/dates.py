@@ -19,6 +19,13 @@ def year_start(year: Column) -> Column:
     return F.make_date(year.cast("int"), F.lit(1), F.lit(1))
 
 
+def month_of(year: Column, month: Column) -> Column:
+    """First day of a month; null when the year or month is out of range."""
+    return F.when(
+        year.between(1, 9999) & month.between(1, 12), F.make_date(year, month, F.lit(1))
+    )
+
+
 def month_start(day: Column) -> Column:
     return F.trunc(day, "MM")
 
@@ -53,7 +60,7 @@ def date_basis(day: Column, known: str, year_only: str) -> Column:
 
 def control_period(year: Column, month: Column) -> tuple[Column, Column, Column]:
     """Monthly period when a month is given, else the whole year, with its basis tag."""
-    first = F.make_date(year.cast("int"), F.coalesce(month.cast("int"), F.lit(1)), F.lit(1))
+    first = month_of(year.cast("int"), F.coalesce(month.cast("int"), F.lit(1)))
     end = F.when(month.isNull(), F.add_months(first, 12)).otherwise(F.add_months(first, 1))
     basis = F.when(month.isNull(), "birth_occurrence_year").otherwise("birth_occurrence_month")
     return first, end.cast("date"), basis

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factspan.functions.text import respell
+
 
 @dataclass(frozen=True)
 class Scheme:
@@ -29,15 +31,18 @@ class Scheme:
 DEFAULT = Scheme()
 
 
+_SHORT = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_ESCAPES = {
+    **{chr(point): _SHORT.get(chr(point), f"\\u{point:04x}") for point in range(32)},
+    '"': '\\"',
+    "\\": "\\\\",
+}
+
+
 def _quoted(text: Column) -> Column:
     """JSON string body with quotes; control characters escaped, other text kept."""
-    body = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    spelled = body
-    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    for point in range(32):
-        char = chr(point)
-        spelled = F.replace(spelled, F.lit(char), F.lit(short.get(char, f"\\u{point:04x}")))
-    body = F.when(text.rlike(r"[\x00-\x1f]"), spelled).otherwise(body)
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.when(text.rlike(r"[\x00-\x1f]"), respell(text, _ESCAPES)).otherwise(plain)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

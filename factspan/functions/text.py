@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,6 +111,25 @@ def squeeze(col: Column) -> Column:
     return F.regexp_replace(strip(col), f"{_SPACE}+", " ")
 
 
+def respell(col: Column, spelling: Mapping[str, str]) -> Column:
+    """Every character replaced by its spelling in a table, if it has one.
+
+    The table is two constant strings, so the expression stays small however long it is.
+    """
+    mark = "\ue000"
+    table = F.map_from_arrays(
+        F.split(F.lit(mark.join(spelling)), mark), F.split(F.lit(mark.join(spelling.values())), mark)
+    )
+    return F.concat_ws(
+        "", F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(table, c), c))
+    )
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 _LATIN = [(a, b) for a, b in zip(_FOLD_FROM, _FOLD_TO, strict=True) if ord(a) <= 0xFF]
 _LATIN_FROM, _LATIN_TO = "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN)
 
@@ -121,10 +140,7 @@ def fold(col: Column) -> Column:
     ASCII passes through and Latin-1 letters take one short translation; only text beyond
     them (or holding a fraction sign) meets the full tables.
     """
-    several = F.create_map(*[F.lit(p) for pair in _FOLD_SEVERAL.items() for p in pair])
-    spelled = F.concat_ws(
-        "", F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(several, c), c))
-    )
+    spelled = respell(col, _FOLD_SEVERAL)
     general = F.regexp_replace(F.translate(spelled, _FOLD_FROM, _FOLD_TO), _MARKS, "")
     return (
         F.when(~col.rlike(r"[^\x00-\x7f]"), col)
@@ -186,7 +202,10 @@ def _open(lower: float) -> Column:
 
 def age_bin(col: Column) -> Column:
     """Half-open age bin of a published label; null when the label cannot be parsed."""
-    text = age_label(col)
+    return let(age_label(col), _parsed_bin)
+
+
+def _parsed_bin(text: Column) -> Column:
     span = r"(\d+)\s+a\s+(\d+)"
     low = F.regexp_extract(text, span, 1).try_cast("double")
     high = F.regexp_extract(text, span, 2).try_cast("double")
@@ -207,8 +226,7 @@ def fertility_label(col: Column) -> Column:
 
 def census_bin(col: Column) -> Column:
     """Census label (``L a U`` or ``85 o mas``) as a bin; null when not allowed."""
-    label = spanish_label(col)
-    return F.when(label.rlike(r"^(?:\d+ a \d+|85 o mas)$"), age_bin(col))
+    return F.when(spanish_label(col).rlike(r"^(?:\d+ a \d+|85 o mas)$"), age_bin(col))
 
 
 def maternal_age(col: Column) -> Column:
@@ -216,7 +234,10 @@ def maternal_age(col: Column) -> Column:
 
     ``no especificado`` is valid and gives a struct of nulls.
     """
-    label = spanish_label(col)
+    return let(spanish_label(col), _maternal_bin)
+
+
+def _maternal_bin(label: Column) -> Column:
     low = F.regexp_extract(label, r"^(\d+) a (\d+) anos$", 1).try_cast("int")
     high = F.regexp_extract(label, r"^(\d+) a (\d+) anos$", 2).try_cast("int")
     return (
@@ -229,14 +250,16 @@ def maternal_age(col: Column) -> Column:
 
 def single_age(col: Column) -> Column:
     """Single year of age or an open terminal group; null when neither."""
-    label = spanish_label(col)
+    return let(spanish_label(col), lambda label: let(age_bin(col), lambda b: _single(label, b)))
+
+
+def _single(label: Column, parsed: Column) -> Column:
     number = r"^(\d+(?:\.0+)?)(?:\s+(?:ano|anos))?$"
     years = F.regexp_extract(label, number, 1).try_cast("double")
     grouped = label.rlike(
         r"^(?:\d+\s+a\s+\d+|menores\s+de\s+(?:1|15)(?:\s+(?:ano|anos))?"
         r"|85\s+o\s+mas|50\s+y\s+mas|100\s+anos\s+y\s+mas)$"
     )
-    parsed = age_bin(col)
     narrow = parsed["age_open"] | (parsed["age_upper"] - parsed["age_lower"] == 1)
     return F.when(label.rlike(number), _closed(years, years + 1)).when(grouped & narrow, parsed)
 
@@ -260,7 +283,11 @@ def commune(col: Column) -> Column:
 
 def death_region(code: Column, label: Column) -> Column:
     """Region of residence from commune code and label; null where they conflict."""
-    raw, named, named_code = strip(code), region_label(label), region_code(label)
+    return let(region_label(label), lambda named: _death_region(strip(code), named))
+
+
+def _death_region(raw: Column, named: Column) -> Column:
+    named_code = lookup(named, REGION_CODES)
     padded = F.lpad(raw, 5, "0")
     prefix = F.substring(padded, 1, 2)
     known = (
@@ -278,11 +305,15 @@ def death_region(code: Column, label: Column) -> Column:
 
 def birth_region(code: Column, label: Column) -> Column:
     """Region of the mother's residence from code and label; null where they conflict."""
-    raw = strip(code)
+    return let(region_label(label), lambda named: _birth_region(strip(code), named))
+
+
+def _birth_region(raw: Column, named: Column) -> Column:
     number = F.when(raw.rlike(r"^\d+$"), raw.try_cast("int"))
     text = F.lpad(number.cast("string"), 2, "0")
-    return F.when(raw == "99", F.when(region_label(label).isin("", "ignorada"), "unknown")).when(
-        number.between(1, 16) & (region_code(label) == text), F.concat(F.lit("CL-"), text)
+    return F.when(raw == "99", F.when(named.isin("", "ignorada"), "unknown")).when(
+        number.between(1, 16) & (lookup(named, REGION_CODES) == text),
+        F.concat(F.lit("CL-"), text),
     )
 
 
@@ -322,12 +353,15 @@ def rut_digit(body: Column) -> Column:
 
 def entity_rut(col: Column) -> Column:
     """Canonical ``cl-rut:<body>-<digit>``; null when the spelling or digit is wrong."""
-    raw = strip(col)
+    return F.when(~col.rlike(r"\p{C}"), let(strip(col), _entity_rut))
+
+
+def _entity_rut(raw: Column) -> Column:
     spelled = (
         raw.rlike(r"^cl-rut:[1-9]\d{0,7}-[0-9Kk]$")
         | raw.rlike(r"^\d{1,3}(?:\.\d{3}){1,2}-[0-9Kk]$")
         | raw.rlike(r"^\d{1,8}-?[0-9Kk]$")
-    ) & ~col.rlike(r"\p{C}")
+    )
     bare = F.upper(F.regexp_replace(raw, r"^cl-rut:|[.\-]", ""))
     body = F.regexp_extract(bare, r"^0*(\d*)[0-9K]$", 1)
     digit = F.substring(bare, -1, 1)

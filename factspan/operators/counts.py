@@ -47,22 +47,24 @@ def sum_by_key(partials: DataFrame, key: Sequence[str], value: str = "value") ->
     return partials.groupBy(*key).agg(F.sum(value).alias(value))
 
 
-def audit_counts(df: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
-    """Counts by each dimension on its own: (audit, key, n), in one pass over the events."""
-    cells = count_cube(df, dims, "__n")
-    lines = F.array(
-        *[
-            F.struct(F.lit(n).alias("audit"), F.col(n).cast("string").alias("key"))
-            for n in dims
-        ]
-    )
+def audit_cells(cells: DataFrame, dims: Mapping[str, Column], weight: str) -> DataFrame:
+    """Audit lines (audit, key, n) out of counted cells: each dimension on its own."""
+    lines = [
+        F.struct(F.lit(n).alias("audit"), key.cast("string").alias("key"))
+        for n, key in dims.items()
+    ]
     return (
-        cells.select("__n", F.inline(lines))
+        cells.select(F.col(weight).alias("__n"), F.inline(F.array(*lines)))
         .groupBy("audit", "key")
         .agg(F.sum("__n").alias("n"))
     )
 
 
+def audit_counts(df: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
+    """Counts by each dimension on its own: (audit, key, n), in one pass over the events."""
+    return audit_cells(count_cube(df, dims, "__count"), {n: F.col(n) for n in dims}, "__count")
+
+
 def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     """Any number of counted conditions as one row, in one pass."""
     return df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
@@ -121,12 +123,12 @@ def scalars_as_audit(scalars: DataFrame) -> DataFrame:
     return scalars.select(F.inline(F.array(*lines)))
 
 
-def conservation(facts: DataFrame, events: DataFrame, value: str = "value") -> DataFrame:
-    """The counted total must equal the number of events: one report line."""
-    left = facts.agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("n"))
-    right = events.agg((-F.count(F.lit(1))).alias("n"))
+def same_total(left: DataFrame, right: DataFrame, left_n: str, right_n: str) -> DataFrame:
+    """Two tables must add up to the same total: one report line."""
+    a = left.agg(F.coalesce(F.sum(left_n), F.lit(0)).cast("bigint").alias("n"))
+    b = right.agg((-F.coalesce(F.sum(right_n), F.lit(0))).cast("bigint").alias("n"))
     return (
-        left.unionAll(right)
+        a.unionAll(b)
         .agg(F.sum("n").alias("d"))
         .select(
             F.lit("count_conserved").alias("rule_id"),
@@ -136,6 +138,11 @@ def conservation(facts: DataFrame, events: DataFrame, value: str = "value") -> D
     )
 
 
+def conservation(facts: DataFrame, events: DataFrame, value: str = "value") -> DataFrame:
+    """The counted total must equal the number of events."""
+    return same_total(facts, events.select(F.lit(1).alias("n")), value, "n")
+
+
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with their count (nulls are equal)."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -140,6 +140,7 @@ def deaths_by_age(
     lower: str = "lower_age",
     upper: str = "upper_age",
     support: tuple[int, int] = (0, 110),
+    weight: str | None = None,
 ) -> DataFrame:
     """Deaths whose age lies inside the spell and the age support."""
     inside = (
@@ -150,7 +151,7 @@ def deaths_by_age(
     return (
         spells.where(inside)
         .groupBy(*table, F.col(age).cast("int").alias("age"))
-        .agg(F.count(F.lit(1)).alias("deaths"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("deaths"))
     )
 
 

@@ -51,11 +51,15 @@ def check(df: DataFrame, rules: Sequence[Rule], key: Column | None = None) -> Da
     if not rules:
         return df.sparkSession.createDataFrame([], REPORT)
     sample = F.lit(None).cast("string") if key is None else key.cast("string")
+    marked = df.select(
+        *[_breaks(rule).alias(f"b{position}") for position, rule in enumerate(rules)],
+        sample.alias("key"),
+    )
     totals = []
-    for position, rule in enumerate(rules):
-        totals.append(F.count_if(_breaks(rule)).alias(f"n{position}"))
+    for position in range(len(rules)):
+        totals.append(F.count_if(f"b{position}").alias(f"n{position}"))
         if key is not None:
-            totals.append(F.min(F.when(_breaks(rule), sample)).alias(f"k{position}"))
+            totals.append(F.min(F.when(F.col(f"b{position}"), F.col("key"))).alias(f"k{position}"))
     lines = [
         F.struct(
             F.lit(rule.id).alias("rule_id"),
@@ -64,7 +68,7 @@ def check(df: DataFrame, rules: Sequence[Rule], key: Column | None = None) -> Da
         )
         for position, rule in enumerate(rules)
     ]
-    return df.agg(*totals).select(F.inline(F.array(*lines)))
+    return marked.agg(*totals).select(F.inline(F.array(*lines)))
 
 
 def check_unique(

@@ -17,6 +17,7 @@ from factspan.functions.text import nfc
 from factspan.operators.reconcile import set_status
 from factspan.operators.rules import Rule, check, check_absent, report, require
 from factspan.operators.rulesets import payload_rules, validate
+from factspan.session import stage
 
 
 @dataclass(frozen=True)
@@ -132,12 +133,17 @@ def finish(
     scheme: Scheme = DEFAULT,
     checked: bool = True,
 ) -> DataFrame:
-    """Validated one-release batch. ``checked=False`` leaves validation to the caller."""
+    """Validated one-release batch, written once to the shared folder and read back.
+
+    Identifiers are computed in that one write; validation and every later reader use the
+    written rows. ``checked=False`` returns the lazy batch and leaves both to the caller.
+    """
+    batch = with_ids(payload, domain, release, source, compose, scheme)
     if not checked:
-        return with_ids(payload, domain, release, source, compose, scheme)
-    stamped = payload.withColumns(release.stamp())
-    require(check(stamped, [*payload_rules(), *key_rules(domain)]))
-    return validate(with_ids(payload, domain, release, source, compose, scheme), domain, scheme)
+        return batch
+    written = stage(batch, f"batch-{domain}")
+    require(check(written, [*payload_rules(), *key_rules(domain)]))
+    return validate(written, domain, scheme)
 
 
 def identifier_report(

@@ -377,7 +377,7 @@ UNION ALL SELECT 'sex', CASE sex WHEN 'male' THEN '1' WHEN 'female' THEN '2' ELS
 FROM births GROUP BY 2
 """)
 def birth_audit(spark, sf_dir):
-    return births.audit(raw_births(spark, sf_dir))
+    return births.audit(births.raw_groups(raw_births(spark, sf_dir)))
 
 
 @query(f"""
@@ -391,7 +391,7 @@ SELECT count(*) AS raw_rows,
 FROM births
 """)
 def birth_scalars(spark, sf_dir):
-    return births.scalars(raw_births(spark, sf_dir))
+    return births.scalars(births.raw_groups(raw_births(spark, sf_dir)))
 
 
 @query("""

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from factspan.operators.counts import conservation
+from factspan.operators.counts import same_total
 from factspan.operators.history import append_release
-from factspan.operators.rules import check, require
+from factspan.operators.rules import require
 from factspan.plans import births
 from factspan.plans.batch import Release, complete
 from factspan.session import new_path, stage
@@ -99,7 +100,7 @@ def two_pass(
     path: str,
     release: Release,
     geography_vintage: str,
-    rules: Sequence,
+    span: tuple[date, date],
     totals: dict[str, int] | None = None,
     pairs: dict[str, dict[str, int]] | None = None,
     profile: int = 25,
@@ -107,19 +108,17 @@ def two_pass(
 ) -> DataFrame:
     """Check the whole folder first, then stream it shard by shard, then merge.
 
-    No shard is written before the controls hold; the merged total must equal the first
-    pass.
+    No shard is written before every rule and control holds; the merged total must equal
+    the first pass.
     """
-    raw = scan_births(spark, path, profile)
-    require(check(births.raw_groups(raw), rules))
-    births.require_controls(raw, totals, pairs)
+    groups = births.checked_groups(scan_births(spark, path, profile), *span, totals, pairs)
     shards, checkpoint = new_path(spark, "birth-shards"), new_path(spark, "birth-checkpoint")
     run_shards(
         birth_stream(spark, path, profile), release, geography_vintage, shards, checkpoint, sidecar
     )
     schema = complete(spark.range(0), "demographic", {}).schema
     merged = births.aggregate_shards(read_shards(spark, shards, schema))
-    require(conservation(merged, raw))
+    require(same_total(merged, groups, "value", "value"))
     return merged
 
 
