@@ -50,8 +50,9 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def _listed(names: Sequence[str], rows: Sequence[tuple[str, ...]]) -> Column:
-    """Tuple membership in a fixed list, as plain comparisons."""
-    return _any([_all([col(n) == v for n, v in zip(names, row, strict=True)]) for row in rows])
+    """Tuple membership in a fixed list; a null part is never a member."""
+    mark = "\u001f"
+    return F.concat_ws(mark, *names).isin(*[mark.join(row) for row in rows])
 
 
 def _implies(condition: Column, then: Column) -> Column:
@@ -469,10 +470,12 @@ DOMAIN_RULES = {
 }
 
 
-def domain_report(df: DataFrame, domain: str, scheme: Scheme = DEFAULT) -> DataFrame:
+def domain_report(
+    df: DataFrame, domain: str, scheme: Scheme = DEFAULT, extra: Sequence[Rule] = ()
+) -> DataFrame:
     """Every row, table and key rule of a domain: one line per rule."""
     require_schema(df, C.domain_schema(domain))
-    rules = {r.id: r for r in [*envelope_rules(scheme), *DOMAIN_RULES[domain]()]}
+    rules = {r.id: r for r in [*envelope_rules(scheme), *DOMAIN_RULES[domain](), *extra]}
     return report(
         check_not_empty(df),
         check(df, list(rules.values())),
@@ -481,9 +484,11 @@ def domain_report(df: DataFrame, domain: str, scheme: Scheme = DEFAULT) -> DataF
     )
 
 
-def validate(df: DataFrame, domain: str, scheme: Scheme = DEFAULT) -> DataFrame:
+def validate(
+    df: DataFrame, domain: str, scheme: Scheme = DEFAULT, extra: Sequence[Rule] = ()
+) -> DataFrame:
     """The table itself when it meets its domain contract, an error otherwise."""
-    require(domain_report(df, domain, scheme))
+    require(domain_report(df, domain, scheme, extra))
     return df
 
 

@@ -16,7 +16,7 @@ from factspan.functions.identity import DEFAULT, Scheme
 from factspan.functions.text import nfc
 from factspan.operators.reconcile import set_status
 from factspan.operators.rules import Rule, check, check_absent, report, require
-from factspan.operators.rulesets import payload_rules, validate
+from factspan.operators.rulesets import validate
 from factspan.session import stage
 
 
@@ -142,8 +142,7 @@ def finish(
     if not checked:
         return batch
     written = stage(batch, f"batch-{domain}")
-    require(check(written, [*payload_rules(), *key_rules(domain)]))
-    return validate(written, domain, scheme)
+    return validate(written, domain, scheme, key_rules(domain))
 
 
 def identifier_report(
