@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factspan.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
     def register(function: Query) -> Query:
         key = name or function.__name__
-        QUERIES[key] = function
+        QUERIES[key] = lambda spark, sf_dir: function(prepare(spark), sf_dir)
         if sql is not None:
             SQL[key] = sql
         return function

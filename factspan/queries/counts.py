@@ -16,7 +16,10 @@ CUTOFF = date(2001, 8, 20)
 
 
 def _facts(spark, sf_dir, grain: deaths.Grain, provisional: bool = False):
-    facts = deaths.count_facts(raw_deaths(spark, sf_dir), grain, CUTOFF, provisional)
+    raw, lookup = raw_deaths(spark, sf_dir), None
+    if grain.geography != "national":
+        lookup = stage(deaths.region_lookup(raw), "region-lookup")
+    facts = deaths.count_facts(raw, grain, CUTOFF, provisional, lookup)
     return facts.withColumn("value", F.col("value").cast("bigint"))
 
 
@@ -278,7 +281,8 @@ def death_row_rules(spark, sf_dir):
         F.when((sex == "Mujer") & (count == "7"), "mujer").otherwise(sex).alias("SEXO_NOMBRE"),
         F.when(code == "150", "A150").otherwise(code).alias("DIAG1"),
     )
-    return check(broken, deaths.row_rules(date(1995, 6, 1), CUTOFF)).select("rule_id", "failed")
+    rules = deaths.row_rules(date(1995, 6, 1), CUTOFF)
+    return check(deaths.with_parsed(broken), rules).select("rule_id", "failed")
 
 
 @query(f"""

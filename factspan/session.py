@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
@@ -20,7 +21,18 @@ def session(app: str = "factspan", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the package relies on; explicit settings of the session win.
+
+    The JVM never compiles a method beyond 8000 bytecodes. Wide rule sets and label parsers
+    generate such methods when fused into one stage, so Spark is told to keep them apart.
+    """
+    if spark.conf.get(METHOD_LIMIT, None) in (None, "65535"):
+        spark.conf.set(METHOD_LIMIT, "8000")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
