@@ -458,7 +458,8 @@ published AS (SELECT period_start, sex, nationality,
 
 def _compare_sides(spark, sf_dir):
     key = ["period_start", "sex", "nationality"]
-    counted = counts.sum_by_key(births.count_facts(raw_births(spark, sf_dir)), key)
+    facts = counts.sum_by_key(births.count_facts(raw_births(spark, sf_dir)), key)
+    counted = stage(facts, "counted")
     shift = F.when((F.col("sex") == "male") & F.col("nationality").isNull(), 1).otherwise(0)
     return key, counted, counted.withColumn("value", F.col("value") + shift)
 
@@ -519,6 +520,7 @@ def set_equality(spark, sf_dir):
             F.sum(F.col("l_quantity").cast("bigint")).alias("units"),
         )
     )
+    a = stage(a, "supplier-sums")
     zero = table(spark, sf_dir, "supplier").where("s_suppkey = 0")
     b = a.withColumn("name", F.col("name") + 1).unionAll(
         zero.select("s_suppkey", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))

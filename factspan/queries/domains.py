@@ -10,6 +10,7 @@ from factspan.operators import reconcile, reporting
 from factspan.plans import births, controls, deaths, finance, stocks
 from factspan.plans.batch import Release, complete, with_ids
 from factspan.queries.base import BIRTHS, RAW_DEATHS, query, raw_births, raw_deaths, table
+from factspan.session import stage
 
 RELEASE = Release(
     source_key="example_release",
@@ -246,8 +247,8 @@ WITH cells AS (SELECT l_returnflag AS block, CAST(l_quantity AS INTEGER) AS age,
 a AS (SELECT age, value FROM cells WHERE block = 'A'),
 b AS (SELECT age, value FROM cells WHERE block = 'N')
 SELECT coalesce(a.age, b.age) AS age, coalesce(a.value, b.value) AS value,
-       CASE WHEN a.age IS NULL THEN 0 ELSE 1 END AS in_left,
-       CASE WHEN b.age IS NULL THEN 0 ELSE 1 END AS in_right
+       CAST(CASE WHEN a.age IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_left,
+       CAST(CASE WHEN b.age IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_right
 FROM a FULL JOIN b ON a.age = b.age AND a.value = b.value WHERE a.age IS NULL OR b.age IS NULL
 """)
 def duplicate_block(spark, sf_dir):
@@ -256,6 +257,7 @@ def duplicate_block(spark, sf_dir):
         .groupBy(F.col("l_returnflag").alias("block"), F.col("l_quantity").cast("int").alias("age"))
         .agg((F.count(F.lit(1)) % 7).alias("value"))
     )
+    cells = stage(cells, "blocks")
     return reconcile.same_rows(
         cells.where("block = 'A'"), cells.where("block = 'N'"), ["age", "value"]
     )
@@ -292,7 +294,6 @@ LONG = f"""
     AS basis, CASE WHEN in_years THEN CAST(CAST(edad_cant AS INTEGER) AS DOUBLE)
                    WHEN below_one THEN 0.0 END AS lo, sex, region, count(*) AS n
   FROM deaths GROUP BY ALL),
--- rows that share every shown dimension but differ in the age unit stay apart
 long AS (
   SELECT 'demographic' AS projected_domain, period_start, CAST(n AS DOUBLE) AS value,
     '{{"age_lower":' || coalesce(CAST(lo AS VARCHAR), 'null') || ',"age_open":false,"age_upper":'
@@ -376,3 +377,95 @@ def merge_shards(spark, sf_dir):
         "date_basis",
         "value",
     )
+
+
+# --- whole normalisers: rules, controls, counts, identifiers, validation ---------
+
+
+@query(f"""
+WITH {RAW_DEATHS}
+SELECT make_date(event_year, 1, 1) AS period_start, sex, region,
+       CASE WHEN event_year <= 1996 THEN 'ICD-9' ELSE 'ICD-10' END AS cause_code_system,
+       CAST(count(*) AS DOUBLE) AS value, count(DISTINCT event_date IS NULL) AS facts
+FROM deaths GROUP BY ALL
+""")
+def normalise_deaths(spark, sf_dir):
+    raw = raw_deaths(spark, sf_dir)
+    grain = deaths.Grain("year", "all", "region", "all", True)
+    batch = deaths.normalise(raw, RELEASE, grain, date(1990, 1, 1), date(2030, 12, 31), SOURCE)
+    return batch.groupBy("period_start", "sex", "region", "cause_code_system").agg(
+        F.sum("value").alias("value"), F.count_distinct("fact_id").alias("facts")
+    )
+
+
+@query(f"""
+WITH {BIRTHS}
+SELECT sex, region, CAST(count(*) AS DOUBLE) AS value,
+       count(DISTINCT (period_start, date_basis, age_lower, age_open, nationality)) AS facts
+FROM births GROUP BY ALL
+""")
+def normalise_births(spark, sf_dir):
+    raw = raw_births(spark, sf_dir)
+    batch = births.normalise(
+        raw, RELEASE, date(1990, 1, 1), date(2030, 12, 31), "dpa-2019", SOURCE
+    )
+    return batch.groupBy("sex", "region").agg(
+        F.sum("value").alias("value"), F.count_distinct("fact_id").alias("facts")
+    )
+
+
+@query("""
+SELECT 'female' AS sex, year(l_shipdate)::BIGINT AS year, CAST(count(*) AS DOUBLE) AS value,
+       count(DISTINCT l_quantity) AS facts FROM lineitem GROUP BY 2
+""")
+def normalise_population(spark, sf_dir):
+    quantity = F.col("l_quantity").cast("int")
+    published = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.year("l_shipdate").alias("year"),
+            F.when(quantity == 50, "85 o más").otherwise(quantity.cast("string")).alias("age"),
+        )
+        .agg(F.count(F.lit(1)).cast("double").alias("population"))
+        .withColumn("sex", F.lit("Mujeres"))
+    )
+    batch = stocks.population(stage(published, "population"), RELEASE, 1998, SOURCE)
+    return batch.groupBy("sex", F.year("period_start").cast("bigint").alias("year")).agg(
+        F.sum("value").alias("value"), F.count_distinct("fact_id").alias("facts")
+    )
+
+
+@query("""
+SELECT o_orderpriority AS source_series_id, count(DISTINCT date_trunc('month', o_orderdate))
+  AS facts FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1
+""")
+def normalise_market(spark, sf_dir):
+    counted = (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+        .groupBy("o_orderpriority", F.trunc("o_orderdate", "MM").alias("observed_on"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    observations = stage(
+        counted.select(
+            F.col("o_orderpriority").alias("series_id"),
+            "observed_on",
+            F.col("n").cast("double").alias("published"),
+            F.lit("OK").alias("status_code"),
+        ),
+        "observations",
+    )
+    names = {
+        "1-URGENT": ("benchmark_yield", "official_benchmark_yield", "bcp_benchmark_bond"),
+        "2-HIGH": ("swap_fixed_rate", "official_swap_fixed_rate", "spc_nominal_fixed_swap"),
+    }
+    specs = spark.createDataFrame(
+        [(s, "MONTHLY", v, q, "percent", "1 / year", 5.0, "CLP", "nominal", i, None, None)
+         for s, (q, v, i) in names.items()],
+        "series_id string, frequency string, variable string, quote_type string, "
+        "source_unit string, canonical_unit string, tenor_years double, currency string, "
+        "indexation string, instrument_type string, compounding string, day_count string",
+    )
+    span = (date(1990, 1, 1), date(2030, 1, 1))
+    batch = finance.market(observations, specs, RELEASE, span, SOURCE)
+    return batch.groupBy("source_series_id").agg(F.count_distinct("fact_id").alias("facts"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factspan.operators import fits, intervals, metrics
 from factspan.queries.base import query, table
+from factspan.session import stage
 from factspan.sources import files
 from factspan.streaming.births import file_stream, run_counts
 
@@ -76,8 +77,8 @@ SELECT l_returnflag, CAST(lo AS DOUBLE) AS age_lower, CAST(n AS DOUBLE) AS total
 def ungroup_totals(spark, sf_dir):
     """Integrals of the ungrouped curves over their bins: the published totals."""
     nodes = [float(a) for a in range(0, 106)]
-    bins = _bins(spark, sf_dir)
-    curve = fits.ungroup(bins, ["l_returnflag"], nodes, open_end=105.0)
+    bins = stage(_bins(spark, sf_dir), "bins")
+    curve = stage(fits.ungroup(bins, ["l_returnflag"], nodes, open_end=105.0), "curve")
     closed = bins.select(
         "l_returnflag", "age_lower", F.coalesce("age_upper", F.lit(105.0)).alias("age_upper")
     )
@@ -91,9 +92,9 @@ def ungroup_totals(spark, sf_dir):
 
 @query()
 def ungroup_refined(spark, sf_dir):
-    nodes = [float(a) for a in range(0, 106, 5)]
+    nodes = [float(a) for a in range(0, 106)]
     return fits.compare_ungrouping(
-        _bins(spark, sf_dir), ["l_returnflag"], nodes, open_end=105.0
+        stage(_bins(spark, sf_dir), "bins"), ["l_returnflag"], nodes, open_end=105.0
     )
 
 

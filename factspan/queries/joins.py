@@ -20,14 +20,20 @@ cells AS (SELECT user_id, event_type, count(*) AS n, count(*) FILTER (WHERE valu
 """
 
 
-def _cells(spark, sf_dir, condition=None):
-    """One row per (user, event type); every side keeps the full grid."""
-    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    return (
+def _cells(spark, sf_dir):
+    """Three surfaces on one complete grid of (user, event type), from one scan."""
+    value = F.col("value")
+    counted = (
         table(spark, sf_dir, "events")
         .groupBy("user_id", "event_type")
-        .agg(counted.cast("double").alias("value"))
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            F.count_if(value > 40).cast("double").alias("d"),
+            F.count_if(value > 90).cast("double").alias("x"),
+        )
     )
+    cells = stage(counted, "cells")
+    return [cells.select("user_id", "event_type", F.col(c).alias("value")) for c in ("d", "n", "x")]
 
 
 @query(f"""
@@ -37,9 +43,8 @@ SELECT user_id, event_type, CAST(d AS DOUBLE) AS deaths, CAST(n AS DOUBLE) AS ex
 """)
 def aligned_rate(spark, sf_dir):
     dims = ["user_id", "event_type"]
-    rate = exposure.central_rate(
-        _cells(spark, sf_dir, F.col("value") > 40), _cells(spark, sf_dir), dims
-    )
+    deaths, lived, _ = _cells(spark, sf_dir)
+    rate = exposure.central_rate(deaths, lived, dims)
     return rate.withColumn("rate", F.round("rate", 9))
 
 
@@ -49,7 +54,7 @@ SELECT user_id, event_type, round((CAST(d AS DOUBLE) / n) * n, 6) AS value FROM
 """)
 def rate_times_exposure(spark, sf_dir):
     dims = ["user_id", "event_type"]
-    deaths, lived = _cells(spark, sf_dir, F.col("value") > 40), _cells(spark, sf_dir)
+    deaths, lived, _ = _cells(spark, sf_dir)
     rate = exposure.central_rate(deaths, lived, dims).select(*dims, F.col("rate").alias("value"))
     result = exposure.rate_times_exposure(rate, lived, dims)
     return result.withColumn("value", F.round("value", 6))
@@ -61,8 +66,8 @@ SELECT user_id, event_type, CAST(d + 2.5 * x AS DOUBLE) AS value FROM cells
 """)
 def rate_sum(spark, sf_dir):
     dims = ["user_id", "event_type"]
-    scaled = exposure.scaled(_cells(spark, sf_dir, F.col("value") > 90), 2.5)
-    return exposure.rate_sum(_cells(spark, sf_dir, F.col("value") > 40), scaled, dims)
+    some, _, more = _cells(spark, sf_dir)
+    return exposure.rate_sum(some, exposure.scaled(more, 2.5), dims)
 
 
 @query("""
@@ -194,38 +199,27 @@ def p1_overlap_weights(spark, sf_dir):
 
 @query(f"""
 WITH {ACTIVITY}, surface AS (
-  SELECT x AS node, p.o_orderpriority, CAST(coalesce(n, 0) AS DOUBLE) AS value
-  FROM nodes CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
-  LEFT JOIN (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) - DATE '1995-01-01'
-                         AS DOUBLE) AS m, o_orderpriority, count(*) AS n
-             FROM orders GROUP BY 1, 2) o ON o.m = x AND o.o_orderpriority = p.o_orderpriority)
+  SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) - DATE '1995-01-01' AS DOUBLE)
+           AS node, o_orderpriority, CAST(count(*) AS DOUBLE) AS value
+  FROM orders GROUP BY 1, 2)
 SELECT o_custkey, o_orderpriority, round(sum(weight * value), 3) AS value
 FROM weights JOIN surface USING (node) GROUP BY 1, 2
 """)
 def operator_apply(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
     month = F.date_diff(
         F.trunc("o_orderdate", "MM"), F.lit("1995-01-01").cast("date")
     ).cast("double")
-    counted = orders.groupBy("o_orderpriority", month.alias("node")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")
+    counted = (
+        table(spark, sf_dir, "orders")
+        .groupBy("o_orderpriority", month.alias("node"))
+        .agg(F.count(F.lit(1)).cast("double").alias("value"))
     )
-    # months without orders count as zero: they add nothing to a sum of products
+    # one row per month and priority, written first so that Spark knows its size
     surface = stage(counted, "surface")
     applied = intervals.apply_operator(
         _weights(spark, sf_dir), surface, ["o_custkey"], "node", ["o_orderpriority"]
     )
-    spans = orders.select("o_custkey").distinct()
-    grid = spans.withColumn(
-        "o_orderpriority",
-        F.explode(F.array(*[F.lit(p) for p in PRIORITIES])),
-    )
-    return grid.join(applied, ["o_custkey", "o_orderpriority"], "left").select(
-        "o_custkey", "o_orderpriority", F.round(F.coalesce("value", F.lit(0.0)), 3).alias("value")
-    )
-
-
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    return applied.withColumn("value", F.round("value", 3))
 
 
 @query("""
@@ -238,13 +232,18 @@ SELECT o.out, i.node, round(sum(o.w * i.w), 6) AS weight
 FROM outer_op o JOIN inner_op i USING (mid) GROUP BY 1, 2
 """)
 def operator_compose(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    month, year = F.date_format("l_shipdate", "yyyy-MM"), F.date_format("l_shipdate", "yyyy")
-    inner = lines.groupBy(month.alias("out"), F.col("l_returnflag").alias("node")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    counted = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(month.alias("out"), F.col("l_returnflag").alias("node"))
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
-    outer = lines.select(
-        year.alias("out"), month.alias("node"), (F.lit(1.0) / F.month("l_shipdate")).alias("weight")
+    inner = stage(counted, "month-weights")
+    number = F.substring("out", 6, 2).cast("int")
+    outer = inner.select(
+        F.substring("out", 1, 4).alias("out"),
+        F.col("out").alias("node"),
+        (F.lit(1.0) / number).alias("weight"),
     ).distinct()
     product = intervals.compose_operators(outer, inner)
     return product.withColumn("weight", F.round("weight", 6))
@@ -405,21 +404,25 @@ FROM cells
 """)
 def three_way_recon(spark, sf_dir):
     line, died = F.col("l_linenumber"), F.col("l_linestatus") == "F"
-    keyed = table(spark, sf_dir, "lineitem").withColumns(
-        {"table_id": F.col("l_returnflag"), "age": F.col("l_quantity").cast("int")}
-    )
-
-    def side(condition, exposed, deaths):
-        return keyed.groupBy("table_id", "age").agg(
-            F.count_if(condition).alias(exposed), F.count_if(condition & died).alias(deaths)
+    counted = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_returnflag").alias("table_id"), F.col("l_quantity").cast("int").alias("age"))
+        .agg(
+            F.count(F.lit(1)).alias("pe"),
+            F.count_if(died).alias("pd"),
+            F.count_if(line <= 5).alias("we"),
+            F.count_if((line <= 5) & died).alias("wd"),
+            F.count_if(line > 5).alias("de"),
+            F.count_if((line > 5) & died).alias("dd"),
         )
-
-    shift = F.when(F.col("age") == 7, 1).otherwise(0)
+    )
+    cells = stage(counted, "three-sides")
+    key, shift = ["table_id", "age"], F.when(F.col("age") == 7, 1).otherwise(0)
     rows = reconcile.three_way(
-        side(F.lit(True), "exposed", "deaths"),
-        side(line <= 5, "exposed", "deaths"),
-        side(line > 5, "delta_exposed", "delta_deaths").withColumn(
-            "delta_exposed", F.col("delta_exposed") + shift
+        cells.select(*key, F.col("pe").alias("exposed"), F.col("pd").alias("deaths")),
+        cells.select(*key, F.col("we").alias("exposed"), F.col("wd").alias("deaths")),
+        cells.select(
+            *key, (F.col("de") + shift).alias("delta_exposed"), F.col("dd").alias("delta_deaths")
         ),
     )
     return rows.withColumns(

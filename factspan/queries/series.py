@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factspan.functions import numbers
 from factspan.operators import intervals, metrics, series
 from factspan.queries.base import query, table
+from factspan.session import stage
 
 MONTHLY = """
 monthly AS (SELECT l_returnflag, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t,
@@ -31,8 +32,13 @@ residuals AS (SELECT l_returnflag, t, n, mu, (n - mu) / sqrt(mu) AS r FROM fitte
 """
 
 
+def _grid(spark, sf_dir):
+    """The monthly grid written once, for queries that read it several times."""
+    return stage(_monthly(spark, sf_dir), "monthly")
+
+
 def _residuals(spark, sf_dir):
-    monthly = _monthly(spark, sf_dir)
+    monthly = _grid(spark, sf_dir)
     means = monthly.groupBy("l_returnflag").agg((F.avg("n") + 1.0).alias("mu"))
     return monthly.join(means, "l_returnflag").withColumn(
         "r", metrics.pearson(F.col("n"), F.col("mu"))
@@ -124,7 +130,7 @@ SELECT max(abs(a.n - b.n)) AS max_difference, greatest(max(a.n), max(b.n)) AS de
 FROM a JOIN b USING (t)
 """)
 def grid_comparison(spark, sf_dir):
-    monthly = _monthly(spark, sf_dir)
+    monthly = _grid(spark, sf_dir)
     a, n = (monthly.where(F.col("l_returnflag") == flag).select("t", "n") for flag in ("A", "N"))
     result = metrics.grid_difference(a, n, ["t"], [], "n")
     return result.withColumn("relative_difference", F.round("relative_difference", 9))
@@ -199,7 +205,7 @@ SELECT l_returnflag, t, n,
 FROM monthly
 """)
 def index_to_last(spark, sf_dir):
-    result = series.index_to_last(_monthly(spark, sf_dir), ["l_returnflag"], "t", "n", "relative")
+    result = series.index_to_last(_grid(spark, sf_dir), ["l_returnflag"], "t", "n", "relative")
     return result.withColumn("relative", F.round("relative", 9))
 
 
@@ -252,7 +258,7 @@ SELECT l_returnflag, CAST(h AS INTEGER) AS horizon, round(level, 6) AS log_mean,
 FROM o
 """)
 def trend_band(spark, sf_dir):
-    logs = _monthly(spark, sf_dir).withColumn("l", F.log("n"))
+    logs = _grid(spark, sf_dir).withColumn("l", F.log("n"))
     scales = series.curvature(logs, ["l_returnflag"], "t", "l").select(
         "l_returnflag", "innovation_scale"
     )
