@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factspan.operators import fits, intervals, metrics
 from factspan.queries.base import query, table
-from factspan.session import stage
+from factspan.session import new_path, stage
 from factspan.sources import files
 from factspan.streaming.births import file_stream, run_counts
 
@@ -39,6 +39,21 @@ def fit_trend(spark, sf_dir):
     return fits.fit_trend(_monthly(spark, sf_dir), ["o_orderpriority"], "t", "n")
 
 
+@query("""
+WITH m AS (SELECT o_orderpriority, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t,
+                  count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, round(CAST(sum(n) AS DOUBLE), 2) AS total,
+       round(CAST(sum(t * n) AS DOUBLE), 0) AS moment FROM m GROUP BY 1
+""")
+def trend_totals(spark, sf_dir):
+    """The penalty is blind to straight lines, so a fit keeps the total and the first moment."""
+    fitted = fits.fit_trend(_monthly(spark, sf_dir), ["o_orderpriority"], "t", "n")
+    return fitted.groupBy("o_orderpriority").agg(
+        F.round(F.sum("fitted"), 2).alias("total"),
+        F.round(F.sum(F.col("t") * F.col("fitted")), 0).alias("moment"),
+    )
+
+
 @query()
 def backtest(spark, sf_dir):
     return fits.rolling_backtest(_monthly(spark, sf_dir), ["o_orderpriority"], "t", "n")
@@ -63,6 +78,16 @@ def predicted_bins(spark, sf_dir):
     return fits.predict_bins(_bins(spark, sf_dir), ["l_returnflag"], open_end=105.0)
 
 
+@query("""
+SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS DOUBLE) AS events
+FROM lineitem GROUP BY 1
+""")
+def predicted_totals(spark, sf_dir):
+    """The spline penalty is blind to a constant, so expected events add up to the observed."""
+    predicted = fits.predict_bins(_bins(spark, sf_dir), ["l_returnflag"], open_end=105.0)
+    return predicted.groupBy("l_returnflag").agg(F.round(F.sum("expected"), 2).alias("events"))
+
+
 @query()
 def ungroup(spark, sf_dir):
     nodes = [float(a) for a in range(0, 106)]
@@ -132,6 +157,28 @@ def file_attestation(spark, sf_dir):
     return files.attestation_status(found, listed)
 
 
+@query("""
+SELECT 'orders_as_births' AS archive_id, count(*) AS rows, CAST(1 AS BIGINT) AS first_row,
+       count(*) AS last_row, count(*) AS numbers,
+       CAST(sum(o_orderkey) AS BIGINT) AS key_total FROM orders
+""")
+def archive_row_numbers(spark, sf_dir):
+    """Row numbers of orders written as delimited text: contiguous from one."""
+    path = new_path(spark, "orders-text")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    orders.write.option("header", True).option("sep", ";").csv(path)
+    scan = files.scan_with_position(
+        spark, path, ["o_orderkey", "o_orderpriority"], "orders_as_births"
+    )
+    return files.number_rows(scan).groupBy("archive_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("archive_row_number").alias("first_row"),
+        F.max("archive_row_number").alias("last_row"),
+        F.count_distinct("archive_row_number").alias("numbers"),
+        F.sum(F.col("o_orderkey").cast("bigint")).alias("key_total"),
+    )
+
+
 @query("SELECT count(*) AS rows FROM lineitem")
 def content_digest(spark, sf_dir):
     return files.content_digest(table(spark, sf_dir, "lineitem")).select("rows")

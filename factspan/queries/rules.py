@@ -6,12 +6,16 @@ as text and used by both sides, with ``k`` the order key and ``c`` the customer
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan import contracts as C
-from factspan.operators import rulesets
+from factspan.functions import text
+from factspan.operators import reconcile, rulesets
 from factspan.operators.rules import Rule, check, check_unique, quarantine
+from factspan.plans import batch, controls, finance, stocks
 from factspan.queries.base import query, table
 
 SQL_TYPES = {
@@ -629,3 +633,190 @@ def rules_assets(spark, sf_dir):
         F.when(kind == 3, "publisher_date_not_available").alias("release_missingness_reason"),
     )
     return check(assets, rulesets.asset_rules()).select("rule_id", "failed")
+
+
+# --- rules of the sources ------------------------------------------------------
+
+
+def _report_sql(cte: str, rules: dict[str, str]) -> str:
+    lines = " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule_id, count(*) FILTER (WHERE NOT coalesce(({ok}), false)) AS failed "
+        "FROM t"
+        for rule, ok in rules.items()
+    )
+    return f"WITH {cte} {lines}"
+
+
+PEOPLE = """
+t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 1 + o_orderkey % 3 END
+               AS origin, CASE WHEN o_orderkey % 29 = 0 THEN 12 ELSE 10 END AS rel FROM orders)
+"""
+
+
+@query(_report_sql(PEOPLE, {
+    "fields_present": "origin IS NOT NULL",
+    "origin_known": "origin IN (1, 2)",
+    "relationship_known": "rel = 10",
+    "pension_date_valid": "k % 23 <> 0",
+    "exposure_end_valid": "k % 19 <> 0",
+    "birth_date_valid": "k % 17 <> 0",
+    "death_date_valid": "k % 13 <> 0",
+}))
+def rules_pensioners(spark, sf_dir):
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
+    people = table(spark, sf_dir, "orders").select(
+        F.when(key % 31 != 0, (1 + key % 3).cast("int")).alias("ORIGEN"),
+        F.lit(1).alias("TABLA"),
+        F.when(key % 23 == 0, 0).otherwise(day).alias("FEC_VIG"),
+        F.when(key % 19 == 0, 20201301).when(key % 2 == 0, 99991231).otherwise(day).alias(
+            "FIN_EXPOSIC"
+        ),
+        F.lit("F").alias("SEXO"),
+        F.when(key % 29 == 0, 12).otherwise(10).alias("COD_REL"),
+        F.lit("N").alias("BEN_COD_INV"),
+        F.when(key % 17 == 0, 19991340).otherwise(day).alias("FEC_NAC"),
+        F.when(key % 13 == 0, 20210229).when(key % 2 == 0, 0).otherwise(day).alias("FEC_FALL"),
+    )
+    return check(people, finance.pensioner_rules()).select("rule_id", "failed")
+
+
+CONTROLS = """
+t AS (SELECT o_orderkey AS k, o_custkey AS c, year(o_orderdate) AS y, month(o_orderdate) AS m
+      FROM orders)
+"""
+
+
+@query(_report_sql(CONTROLS, {
+    "year_positive": "true",
+    "month_state": "k % 7 <> 0 AND k % 11 <> 0",
+    "births_nonnegative": "k % 13 <> 0",
+    "sex_known": "k % 5 <> 0",
+    "region_known": "c % 18 < 16 OR c % 18 = 17",
+    "no_outer_blanks": "k % 5 <> 0",
+    "vintage_state": "c % 18 = 17 OR k % 3 <> 0",
+    "inside_coverage": "k % 7 = 0 AND y <= 2000 OR k % 7 <> 0 AND k % 11 <> 0 AND y <= 2000",
+}))
+def rules_controls(spark, sf_dir):
+    key, customer = F.col("o_orderkey"), F.col("o_custkey") % 18
+    rows = table(spark, sf_dir, "orders").select(
+        F.year("o_orderdate").alias("year"),
+        F.when(key % 7 == 0, F.lit(None).cast("int"))
+        .when(key % 11 == 0, 13)
+        .otherwise(F.month("o_orderdate"))
+        .alias("month"),
+        F.when(key % 5 == 0, " male").otherwise("male").alias("sex"),
+        F.when(customer == 17, "CL")
+        .otherwise(F.concat(F.lit("CL-"), F.lpad((customer + 1).cast("string"), 2, "0")))
+        .alias("region"),
+        F.when(key % 3 != 0, "dpa-2019").alias("geography_vintage"),
+        F.when(key % 13 == 0, -1).otherwise(5).alias("births"),
+    )
+    rules = controls.control_rules("coyuntural_monthly", date(1995, 1, 1), date(2001, 1, 1))
+    return check(rows, rules).select("rule_id", "failed")
+
+
+@query(_report_sql(
+    "t AS (SELECT p_partkey AS k, p_size AS s FROM part)",
+    {
+        "age_group_valid": "k % 7 <> 0",
+        "population_male_whole": "k % 11 <> 0",
+        "population_female_whole": "k % 13 <> 0",
+        "population_total_whole": "true",
+        "total_is_male_plus_female": "k % 11 <> 0 AND k % 13 <> 0",
+        "census_year_2024": "k % 5 <> 0",
+    },
+))
+def rules_census(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    label = F.concat(size.cast("string"), F.lit(" a "), (size + 4).cast("string"))
+    rows = table(spark, sf_dir, "part").select(
+        F.when(key % 7 == 0, "50 y más").when(key % 2 == 0, "85 o más").otherwise(label).alias(
+            "age_group"
+        ),
+        F.when(key % 11 == 0, size + 0.5).otherwise(size.cast("double")).alias("population_male"),
+        F.when(key % 13 == 0, -1.0).otherwise(2.0).alias("population_female"),
+        (size + 2).cast("double").alias("population_total"),
+        F.when(key % 5 == 0, 2017).otherwise(2024).alias("census_year"),
+    )
+    return check(rows, stocks.census_rules(rows.columns)).select("rule_id", "failed")
+
+
+@query(_report_sql(
+    "t AS (SELECT c_custkey AS k FROM customer)",
+    {
+        "entity_id_canonical": "k % 3 <> 0",
+        "label_trimmed": "k % 5 <> 0",
+        "source_key_snake_case": "k % 7 <> 0",
+        "interval_ordered": "k % 11 <> 0",
+    },
+))
+def rules_aliases(spark, sf_dir):
+    key = F.col("c_custkey")
+    body = (key + 1).cast("string")
+    tail = F.concat(body, F.lit("-"), text.rut_digit(body))
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(key % 3 == 0, tail).otherwise(F.concat(F.lit("cl-rut:"), tail)).alias("entity_id"),
+        F.when(key % 5 == 0, F.concat("c_name", F.lit(" "))).otherwise(F.col("c_name")).alias(
+            "label"
+        ),
+        F.when(key % 7 == 0, "Bad-Key").otherwise("key_1").alias("source_key"),
+        F.lit(date(2020, 1, 1)).alias("valid_start"),
+        F.when(key % 11 == 0, F.lit(date(2020, 1, 1)))
+        .when(key % 2 == 0, F.lit(date(2021, 1, 1)))
+        .alias("valid_end"),
+    )
+    return check(rows, rulesets.alias_rules()).select("rule_id", "failed")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT p_size % 7 AS a, p_type AS b FROM part WHERE p_size % 5 <> 2),
+g AS (SELECT a, b FROM (SELECT unnest(range(0, 7)) AS a), (SELECT DISTINCT p_type AS b FROM part))
+SELECT CAST(coalesce(b.a, g.a) AS BIGINT) AS a, coalesce(b.b, g.b) AS b,
+       CAST(CASE WHEN b.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_left,
+       CAST(CASE WHEN g.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_right
+FROM b FULL JOIN g ON b.a = g.a AND b.b = g.b WHERE b.a IS NULL OR g.a IS NULL
+""")
+def allowed_combinations(spark, sf_dir):
+    """Observed combinations against every allowed one."""
+    parts = table(spark, sf_dir, "part")
+    size = (F.col("p_size") % 7).cast("bigint").alias("a")
+    seen = parts.where("p_size % 5 <> 2").select(size, F.col("p_type").alias("b")).distinct()
+    kinds = parts.select(F.col("p_type").alias("b")).distinct()
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))
+    grid = kinds.select(F.explode(steps).alias("a"), "b")
+    return reconcile.key_difference(seen, grid, ["a", "b"])
+
+
+@query("""
+SELECT o_orderpriority AS release_id, max(o_orderdate::DATE) AS available_at,
+       min(o_orderdate::DATE) AS observation_start,
+       CAST(max(o_orderdate::DATE) + 1 AS DATE) AS observation_end,
+       array_to_string(list_sort(list_distinct(list('rule ' || o_orderstatus))), ',') || ',divide'
+         AS rules
+FROM orders GROUP BY 1
+""")
+def merged_provenance(spark, sf_dir):
+    """Provenance of one result per priority, merged from one row per priority and status."""
+    day = F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.max(day).alias("available_at"),
+        F.min(day).alias("observation_start"),
+        F.date_add(F.max(day), 1).alias("observation_end"),
+    )
+    provenance = rows.select(
+        F.col("o_orderpriority").alias("release_id"),
+        "available_at",
+        "observation_start",
+        "observation_end",
+        F.array(F.concat(F.lit("rule "), F.col("o_orderstatus"))).alias("aggregation_rules"),
+        F.array(F.lit("count-v1")).alias("transformation_ids"),
+    )
+    merged = batch.merged_provenance(provenance, ["release_id"], "divide", "rate-v1")
+    return merged.select(
+        "release_id",
+        "available_at",
+        "observation_start",
+        "observation_end",
+        F.array_join("aggregation_rules", ",").alias("rules"),
+    )

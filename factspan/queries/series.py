@@ -89,9 +89,26 @@ def ljung_box_q(spark, sf_dir):
     return result.withColumn("statistic", F.round("statistic", 6))
 
 
-@query()
+# with four degrees of freedom the chi-square tail is exp(-q / 2) * (1 + q / 2)
+@query(f"""
+WITH {RESIDUALS}, centred AS (SELECT l_returnflag, t, r - avg(r) OVER (PARTITION BY l_returnflag)
+  AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM residuals),
+c AS (SELECT a.l_returnflag, a.n, a.t - b.t AS k, sum(a.r * b.r) AS c FROM centred a
+      JOIN centred b ON a.l_returnflag = b.l_returnflag AND a.t - b.t BETWEEN 1 AND 4
+      GROUP BY 1, 2, 3),
+v AS (SELECT l_returnflag, sum(r * r) AS v FROM centred GROUP BY 1),
+q AS (SELECT l_returnflag, n * (n + 2) * sum(c * c / (n - k)) / (max(v) * max(v)) AS q
+      FROM c JOIN v USING (l_returnflag) GROUP BY l_returnflag, n)
+SELECT l_returnflag, round(q, 6) AS statistic, round(exp(-q / 2) * (1 + q / 2), 9) AS p_value FROM q
+""")
 def ljung_box_test(spark, sf_dir):
-    return metrics.ljung_box_test(_residuals(spark, sf_dir), ["l_returnflag"], "t", "r", lags=5)
+    tested = metrics.ljung_box_test(
+        _residuals(spark, sf_dir), ["l_returnflag"], "t", "r", lags=4
+    )
+    return tested.select(
+        "l_returnflag", F.round("statistic", 6).alias("statistic"),
+        F.round("p_value", 9).alias("p_value"),
+    )
 
 
 @query(f"""
