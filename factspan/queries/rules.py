@@ -770,8 +770,9 @@ def rules_aliases(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT p_size % 7 AS a, p_type AS b FROM part WHERE p_size % 5 <> 2),
-g AS (SELECT a, b FROM (SELECT unnest(range(0, 7)) AS a), (SELECT DISTINCT p_type AS b FROM part))
+WITH b AS (SELECT DISTINCT p_size % 7 AS a, p_type AS b FROM part
+      WHERE NOT (p_size % 7 = 3 AND p_type = 'SMALL')),
+g AS (SELECT a, b FROM (SELECT unnest(range(0, 6)) AS a), (SELECT DISTINCT p_type AS b FROM part))
 SELECT CAST(coalesce(b.a, g.a) AS BIGINT) AS a, coalesce(b.b, g.b) AS b,
        CAST(CASE WHEN b.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_left,
        CAST(CASE WHEN g.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_right
@@ -781,9 +782,9 @@ def allowed_combinations(spark, sf_dir):
     """Observed combinations against every allowed one."""
     parts = table(spark, sf_dir, "part")
     size = (F.col("p_size") % 7).cast("bigint").alias("a")
-    seen = parts.where("p_size % 5 <> 2").select(size, F.col("p_type").alias("b")).distinct()
+    seen = parts.where("NOT (p_size % 7 = 3 AND p_type = 'SMALL')").select(size, F.col("p_type").alias("b")).distinct()
     kinds = parts.select(F.col("p_type").alias("b")).distinct()
-    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))
     grid = kinds.select(F.explode(steps).alias("a"), "b")
     return reconcile.key_difference(seen, grid, ["a", "b"])
 
