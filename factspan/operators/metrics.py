@@ -90,16 +90,16 @@ def ljung_box(
         *series,
         "__r",
         "__t",
-        F.explode(F.sequence(F.lit(0), F.col("lag_used"))).alias("k"),
-    ).select(*series, "k", (F.col("__t") + F.col("k")).alias("__t"), F.col("__r").alias("__s"))
+        F.explode(F.sequence(F.lit(0), F.col("lag_used"))).alias("__k"),
+    ).select(*series, "__k", (F.col("__t") + F.col("__k")).alias("__t"), F.col("__r").alias("__s"))
     products = (
         centred.join(sent, [*series, "__t"])
-        .groupBy(*series, "n", "lag_used", "k")
+        .groupBy(*series, "n", "lag_used", "__k")
         .agg(F.sum(F.col("__r") * F.col("__s")).alias("__c"))
     )
-    variance = F.max(F.when(F.col("k") == 0, F.col("__c")))
+    variance = F.max(F.when(F.col("__k") == 0, F.col("__c")))
     weighted = F.sum(
-        F.when(F.col("k") > 0, F.col("__c") * F.col("__c") / (F.col("n") - F.col("k")))
+        F.when(F.col("__k") > 0, F.col("__c") * F.col("__c") / (F.col("n") - F.col("__k")))
     )
     n = F.col("n")
     return (
