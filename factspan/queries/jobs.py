@@ -12,12 +12,19 @@ from factspan.streaming.births import file_stream, run_counts
 
 
 def _monthly(spark, sf_dir):
+    """Orders per priority and month; months without orders count as zero."""
     month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
-    return (
+    counted = (
         table(spark, sf_dir, "orders")
         .groupBy("o_orderpriority", month.cast("bigint").alias("t"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counted = stage(counted, "monthly-orders")
+    span = counted.groupBy("o_orderpriority").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    grid = span.select("o_orderpriority", F.explode(F.sequence("t0", "t1")).alias("t"))
+    return grid.join(counted, ["o_orderpriority", "t"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0))
+    )
 
 
 def _bins(spark, sf_dir):
