@@ -268,7 +268,9 @@ def duplicate_block(spark, sf_dir):
 
 def _batches(spark, sf_dir):
     grain = deaths.Grain("year", "completed_year", "region", "all", True)
-    facts = deaths.count_facts(raw_deaths(spark, sf_dir), grain, date(2001, 12, 31))
+    raw = raw_deaths(spark, sf_dir)
+    lookup = stage(deaths.region_lookup(raw), "region-lookup")
+    facts = deaths.count_facts(raw, grain, date(2001, 12, 31), lookup=lookup)
     demographic = deaths.payload(facts, grain, RELEASE)
     market = complete(
         _market_facts(spark, sf_dir),
