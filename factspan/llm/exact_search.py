@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.vectors import best, hits_table, in_shares, matrix, ranked, sound, split_group
+from factspan.llm.shared import in_shares
+from factspan.llm.vectors import best, hits_table, matrix, ranked, sound, split_group
 from factspan.session import stage
 
 SHARD_ROWS = 8192

@@ -7,8 +7,8 @@ one class and only classes are banded. Buckets then yield links in two steps, ne
 writes out the pairs of a bucket:
 
 1. every class is compared with the first class (in one seeded order) of each of its buckets;
-2. where a bucket still holds several components, the classes of the smaller component are
-   compared with all of the larger one, block by block inside tasks.
+2. where a bucket still holds several components, its classes outside the largest of them are
+   compared with all of that component and with each other, block by block inside tasks.
 
 After step 2 every two classes that share a bucket are compared or already in one component, so
 nothing is lost to large buckets. A pair at similarity s shares no bucket with probability
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.shared import batches, components
+from factspan.llm.shared import batches, components, in_shares
 from factspan.llm.words import mix, shingles, slices, word_hashes
 from factspan.session import stage
 
@@ -134,53 +134,46 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def confirm_blocks(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between ``asks`` (id, target) and the members (id, component, size) of their targets.
+def confirm_blocks(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between asking and held rows (group, id, component) of a group, across components.
 
-    A target's members are cut into blocks and its asking ids into shares, both of at most about
-    ``BLOCK`` rows, so a group in one task is bounded however large component and share are.
+    Groups are compared in blocks of at most about ``BLOCK`` held and asking rows, and a block
+    gives no more links than connect what it found, so neither a task nor the result grows with
+    the pairs of a group.
     """
-    load = asks.groupBy("target").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
-    held = (
-        members.join(load, members["component"] == load["target"])
-        .select(
-            "target", "id", "shares",
-            F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("members") / BLOCK)).alias("block"),
-        )
-        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        .join(sets, "id").select("target", "block", "share", "id", "shingles")
-    )
-    blocks = members.groupBy("component").agg(F.max(F.ceil(F.col("members") / BLOCK)).alias("blocks"))
-    asked = (
-        asks.join(load, "target").join(blocks, F.col("target") == F.col("component"))
-        .withColumn("share", F.pmod(F.xxhash64("id", F.lit(2)), F.col("shares")))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .join(sets, "id").select("target", "block", "share", "id", "shingles")
-    )
 
     def run(group: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
+        links = []
         asking = group.column("asks").combine_chunks()
         left, right = group.filter(asking), group.filter(pc.invert(asking))
         if len(left) and len(right):
-            ids = right.column("id").to_numpy()
-            lists = right.column("shingles").combine_chunks()
+            ids, own = right["id"].to_numpy(), right["component"].to_numpy()
+            lists = right["shingles"].combine_chunks()
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = pc.list_value_length(lists).to_numpy()
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            askers = left.column("shingles").combine_chunks()
-            for i, a in enumerate(left.column("id").to_pylist()):
-                own = askers[i].values.to_numpy()
-                at = np.searchsorted(own, flat)
-                at[at == len(own)] = 0
-                shared = np.add.reduceat((own[at] == flat).astype(np.int64), bounds[:-1])
-                for j in np.flatnonzero(_similar(shared, len(own), sizes, percent) & (ids != a)):
-                    found_a.append(a)
-                    found_b.append(int(ids[j]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-    both = asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
-    return both.groupBy("target", "block", "share").applyInArrow(run, "a bigint, b bigint")
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            columns = (left["id"].to_pylist(), left["component"].to_pylist(), left["shingles"].combine_chunks())
+            for a, component, shingle_list in zip(*columns, strict=True):
+                mine = shingle_list.values.to_numpy()
+                at = np.searchsorted(mine, flat)
+                at[at == len(mine)] = 0
+                shared = np.add.reduceat((mine[at] == flat).astype(np.int64), bounds[:-1])
+                for j in np.flatnonzero(_similar(shared, len(mine), sizes, percent) & (own != component)).tolist():
+                    x, y = root(component), root(int(own[j]))
+                    if x != y:
+                        up[x] = y
+                        links.append((a, int(ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    both = in_shares(asks, held, "group", BLOCK).join(sets, "id")
+    return both.groupBy("group", "block", "share").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -224,22 +217,26 @@ def near_duplicates(
     links = stage(confirm_pairs(pairs, sets, percent), "confirmed")
     first = components(links)
 
-    placed = shared.join(first, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    counted = needed.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    counts = counted.groupBy("component").agg(F.count("*").alias("members"))
-    open_ = stage(
-        placed.join(mixed.select("key"), "key").join(counts, "component"), "open"
+    members = needed.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    counts = members.groupBy("component").agg(F.count("*").alias("members"))
+    open_ = stage(placed.join(mixed.select("key"), "key").join(counts, "component"), "open")
+    largest = open_.groupBy("key").agg(F.max(F.struct("members", "component")).alias("largest"))
+    rest = stage(
+        open_.join(largest, "key").where("component <> largest.component")
+        .select("key", "id", "component", F.col("largest.component").alias("target")),
+        "rest",
     )
-    others = open_.select("key", F.col("component").alias("target"), F.col("members").alias("held")).distinct()
-    asks = stage(
-        open_.join(others, "key")
-        .where("members < held or (members = held and component < target)")
-        .select("id", "target").distinct(),
-        "asks",
+    # the rest of a bucket against its largest component, each component once, and against each other
+    whole, within = F.xxhash64(F.lit(0), "target"), F.xxhash64(F.lit(1), "key")
+    asks = rest.select(whole.alias("group"), "id", "component").distinct()
+    held = members.join(rest.select("target").distinct(), F.col("component") == F.col("target")).select(
+        whole.alias("group"), "id", "component"
     )
-    targets = counted.join(counts, "component")
-    late = confirm_blocks(asks, targets, sets, percent)
+    several = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    among = rest.join(several.select("key"), "key").select(within.alias("group"), "id", "component")
+    late = confirm_blocks(asks.unionAll(among), held.unionAll(among), sets, percent)
     final = components(links.unionAll(late))
 
     labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.shared import batches
-from factspan.llm.vectors import best, chunks, hits_table, in_shares, matrix, ranked, sound, split_group
+from factspan.llm.shared import batches, in_shares
+from factspan.llm.vectors import best, chunks, hits_table, matrix, ranked, sound, split_group
 from factspan.session import stage
 
 SAMPLE = 20_000

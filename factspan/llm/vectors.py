@@ -72,25 +72,3 @@ def split_group(group: pa.Table) -> tuple[pa.Table, pa.Table]:
 def chunks(count: int, size: int) -> Iterator[slice]:
     for at in range(0, count, size):
         yield slice(at, at + size)
-
-
-def in_shares(asks: DataFrame, held: DataFrame, key: str, rows: int) -> DataFrame:
-    """Both sides in groups (key, block, share) of about ``rows`` held and ``rows`` asking rows each.
-
-    ``held`` rows go to one block of their key by id and are repeated per share of its asking rows,
-    which go to one share by id and are repeated per block. A key of any size is so cut into tasks
-    of bounded size. Both need (key, id) and the same further columns.
-    """
-    blocks = held.groupBy(key).agg(F.ceil(F.count("*") / rows).alias("blocks"))
-    shares = asks.groupBy(key).agg(F.ceil(F.count("*") / rows).alias("shares"))
-    cuts = blocks.join(shares, key)
-    none = F.lit(0).cast("long")
-    left = (
-        held.join(cuts, key).withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")))
-        .withColumn("share", F.explode(F.sequence(none, F.col("shares") - 1))).withColumn("asks", F.lit(False))
-    )
-    right = (
-        asks.join(cuts, key).withColumn("share", F.pmod(F.xxhash64("id", F.lit(13)), F.col("shares")))
-        .withColumn("block", F.explode(F.sequence(none, F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    )
-    return left.unionByName(right).drop("blocks", "shares")
