@@ -109,6 +109,11 @@ class Index:
         return near[np.isin(grams[near], self.known)]
 
 
+def band(template: np.ndarray) -> int:
+    """Words that may be added or missing between two matches of a template."""
+    return BAND + len(template) // 8
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
     """(matched, text start, text end, template start, template end) of the best local alignment
     whose diagonals (text place minus template place) lie in [low, high]."""
@@ -149,7 +154,7 @@ def candidates(index: Index, grams: np.ndarray, hits: np.ndarray) -> Iterator[tu
         pairs.sort()
         start = 0
         for i in range(1, len(pairs) + 1):
-            if i == len(pairs) or pairs[i][0] - pairs[i - 1][0] > BAND:
+            if i == len(pairs) or pairs[i][0] - pairs[i - 1][0] > band(index.words[t]):
                 group = pairs[start:i]
                 yield t, group[0][0], group[-1][0], max(p for _, p in group)
                 start = i
@@ -165,9 +170,10 @@ def scan_text(index: Index, words: np.ndarray, least: float) -> list[tuple[str,
     out = {}
     for t, low, high, _ in candidates(index, grams, hits):
         template = index.words[t]
-        first = max(0, low - BAND)
-        part = words[first : high + len(template) + BAND]
-        matched, a, b, c, d = align(template, part, low - BAND - first, high + BAND - first)
+        slack = band(template)
+        first = max(0, low - slack)
+        part = words[first : high + len(template) + slack]
+        matched, a, b, c, d = align(template, part, low - slack - first, high + slack - first)
         if matched >= least * len(template):
             out[(t, first + a, first + b, c, d)] = matched
     rows = [(index.names[t], m / len(index.words[t]), m, a, b, c, d) for (t, a, b, c, d), m in out.items()]

@@ -7,7 +7,7 @@ means, so lists are balanced. A vector goes to its nearest centroid and, near a
 others up to ``spread`` times as far, ``copies`` in all. Centroids are searched by a best-first
 walk on their neighbour graph, held in memory by every task: at most ``MAX_LISTS`` of them. A
 query reads every list whose centroid is at most ``ratio`` times as far as the nearest: distance
-ratio prunes, nothing else does.
+ratio prunes, nothing else does. Should those lists hold too few rows, the next nearest follow.
 
 Neighbouring lists make a region; regions are read in bounded blocks against bounded shares of
 the queries, so a vector that fills a third of the table fills many blocks, not one task. Scores
@@ -146,15 +146,19 @@ def postings(rows: DataFrame, graph: Graph, spread: float, copies: int) -> DataF
     return batches(rows.select("id", "v")).mapInArrow(run, f"list int, id bigint, v {kind}")
 
 
-def probes(queries: DataFrame, graph: Graph, ratio: float) -> DataFrame:
-    """(id, v, lists): the lists each query reads."""
+def probes(queries: DataFrame, graph: Graph, ratio: float, sizes: np.ndarray, least: int) -> DataFrame:
+    """(id, v, lists): the lists each query reads, and more by distance until they hold ``least`` rows."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             for part in chunks(batch.num_rows, 256):
                 own = batch.slice(part.start, part.stop - part.start)
-                found = graph.reach(query_form(matrix(own["v"]), graph.longest), ratio)
+                points = query_form(matrix(own["v"]), graph.longest)
+                found = graph.reach(points, ratio)
                 near = found <= ratio * found.min(axis=1, keepdims=True) + 1e-12
+                for i in np.flatnonzero(near @ sizes < least):
+                    order = np.argsort(((graph.centroids - points[i]) ** 2).sum(axis=1), kind="stable")
+                    near[i, order[: int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]] = True
                 lists = [np.flatnonzero(n).astype(np.int32) for n in near]
                 yield pa.RecordBatch.from_arrays(
                     [own["id"], own["v"], pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"]
@@ -185,9 +189,12 @@ def nearest(
     lists = len(graph.centroids)
     regions = max(1, min(lists, -(-total * copies // (2 * REGION_ROWS))))
     held = stage(postings(rows, graph, spread, copies), "postings")
+    sizes = np.zeros(lists, np.int64)
+    for r in held.groupBy("list").count().collect():  # one row per list
+        sizes[r["list"]] = r["count"]
     region = lambda c: F.floor(c * F.lit(regions) / F.lit(lists)).cast("int")
     held = held.select(region(F.col("list")).alias("region"), "id", "v", F.array("list").alias("lists"))
-    asked = stage(probes(rows.where(asking), graph, ratio), "probes")
+    asked = stage(probes(rows.where(asking), graph, ratio, sizes, copies * (k + 1)), "probes")
     asked = asked.withColumn("region", F.explode(F.array_distinct(F.transform("lists", region))))
 
     def run(group: pa.Table) -> pa.Table:
