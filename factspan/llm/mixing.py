@@ -67,7 +67,8 @@ def _rows(docs: DataFrame, seed: str, id_column: str, text_column: str, source_c
 
 
 def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int) -> DataFrame:
-    """Per source (s) and digest bucket (b): what the bucket holds, what its source takes before it and in all."""
+    """One row per source (s): its target, whole copies, the rest beyond them, and where that ends in
+    the order of the digests: the last bucket it takes whole, the bucket it cuts, what comes before that."""
     cells = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix_cells")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = (
@@ -76,9 +77,15 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int
     )
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
+    full = F.col("before") + F.col("size") <= F.col("rest")
+    cut = ~full & (F.col("before") < F.col("rest"))
     return stage(
-        before.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
-            "s", F.col("bucket").alias("b"), F.col("size").alias("held"), "before", "source_size", "target", "copies", "rest"
+        before.join(goals, F.col("source").eqNullSafe(F.col("s")))
+        .groupBy("s", "source_size", "target", "copies", "rest")
+        .agg(
+            F.coalesce(F.max(F.when(full, F.col("bucket"))), F.lit(-1)).alias("upto"),
+            F.coalesce(F.max(F.when(cut, F.col("bucket"))), F.lit(-1)).alias("cut"),
+            F.coalesce(F.max(F.when(cut, F.col("before"))), F.lit(0)).alias("before"),
         ),
         "mix_plan",
     )
@@ -86,12 +93,12 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, epochs: int
 
 def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with source_size, target, copies, part and taken."""
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    split = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("held"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    split = F.col("bucket") == F.col("cut")
     order = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size", F.xxhash64("row"))
     reached = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = joined.where(split).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - reached)))
-    clear = joined.where(~split).withColumn("part", F.when(F.col("before") < F.col("rest"), F.col("size")).otherwise(0))
+    clear = joined.where(~split).withColumn("part", F.when(F.col("bucket") <= F.col("upto"), F.col("size")).otherwise(0))
     both = ranked.withColumn("part", F.col("part").cast("long")).unionByName(clear.withColumn("part", F.col("part").cast("long")))
     return both.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
 
