@@ -21,6 +21,8 @@ Strings of special tokens in a text are read as ``tokenizers`` reads them by def
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -30,9 +32,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from factspan.llm.shared import batches, stage_small
 from factspan.llm.words import slices
@@ -41,76 +45,64 @@ from factspan.session import stage
 LENGTH = 1024
 WINDOW = 64 * LENGTH
 QUEUES = 4096
-CACHE = 200_000
+# Fixed value: how byte-level BPE cuts a text into words before merging.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of_char() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies write for bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _ranked(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a ``tokenizers`` file as byte ranks, if it is plain byte-level BPE whose
+    ids follow the order of its merges; then both libraries give the same ids."""
+    with open(path, encoding="utf-8") as source:
+        made = json.load(source)
+    model, splitter = made["model"], made.get("pre_tokenizer") or {}
+    plain = (
+        model["type"] == "BPE" and splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space")
+        and splitter.get("use_regex", True) and not made.get("normalizer") and not model.get("dropout")
+    )
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    order = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if not plain or any(x >= y for x, y in zip(order[:-1], order[1:], strict=True)):
+        return None
+    byte, special = _byte_of_char(), {t["content"] for t in made.get("added_tokens", ())}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Ids of whole texts, equal to ``tokenizers``; what stands between two spaces is encoded once.
+    """Ids of whole texts, equal to those of ``tokenizers`` for the same file.
 
-    The pre-tokeniser of the vocabulary lets no token reach over a space but its leading one, so a
-    text may be cut before each single space that precedes a word. Texts with other runs of
-    spaces, or with special tokens in them, are encoded whole.
+    Plain byte-level vocabularies are read into ``tiktoken``, which is several times faster. Texts
+    that hold a special token, or a run of a thousand characters without a space, on which its
+    merging is slow, are left to ``tokenizers``, and so is every text of another kind of vocabulary.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in got]
-
-    def _parts(self, distinct: list[str]) -> list[np.ndarray]:
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:  # a cache only: what it forgets is encoded again
-            self.known.clear()
-            fresh = distinct
-        self.known.update(zip(fresh, self.whole(fresh), strict=True))
-        return [self.known[w] for w in distinct]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores are Spark's to share out
+        self.slow = Tokenizer.from_file(path)
+        self.fast = _ranked(path)
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for _, part in slices(pc.fill_null(texts, "")):
-            odd = pc.match_substring_regex(part, r" [\s\p{Z}\x{85}\x0b]|^[\s\p{Z}\x{85}\x0b]| $")
+            odd = pc.match_substring_regex(part, "[^ ]{1000}")
             for s in self.special:
                 odd = pc.or_(odd, pc.match_substring(part, s))
-            odd = odd.to_numpy(zero_copy_only=False)
-            lists = pc.split_pattern(part, " ")
-            flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-            bounds = bounds - bounds[0]
-            coded = flat.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            firsts = bounds[:-1]
-            words = coded.dictionary.to_pylist()
-            # the first word of a text has no space before it, all others have
-            inner = np.ones(len(codes), bool)
-            inner[firsts] = False
-            used = np.unique(codes[inner])
-            heads = np.unique(codes[firsts])
-            ids = self._parts([" " + words[c] for c in used] + [words[c] for c in heads])
-            place = np.zeros(len(words), np.int64)
-            place[used] = np.arange(len(used))
-            entry = place[codes]
-            place[heads] = len(used) + np.arange(len(heads))
-            entry[firsts] = place[codes[firsts]]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            pool = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-            each = lengths[entry]
-            ends = np.cumsum(each)
-            out = pool[np.repeat(starts[entry] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-            edge = np.concatenate([[0], ends])[bounds]
-            rest = iter(self.whole([t for t, o in zip(part.to_pylist(), odd, strict=True) if o])) if odd.any() else iter(())
-            for i in range(len(part)):
-                yield next(rest) if odd[i] else out[edge[i] : edge[i + 1]]
+            for text, left in zip(part.to_pylist(), odd.to_pylist(), strict=True):
+                if left or self.fast is None:
+                    yield np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 def id_type(path: str) -> np.dtype:
     """Little-endian type of two or four bytes that holds every id of a vocabulary."""
-    from tokenizers import Tokenizer
-
     return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
