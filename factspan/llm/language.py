@@ -28,7 +28,7 @@ from factspan.session import stage
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 500
 LEAST = 0.2
 
 # Languages by family. A language not named here is a family of its own.

@@ -11,7 +11,7 @@ from factspan.session import new_path, stage
 # Arrow batches for tasks that hold whole texts: at most so many rows, and about so many bytes.
 BATCH_LIMITS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": ("2147483647", str(16 << 20)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("2147483647", str(8 << 20)),
 }
 
 

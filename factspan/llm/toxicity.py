@@ -27,7 +27,7 @@ from factspan.llm.words import hashed, mix, plain, slices, split_words
 from factspan.session import stage
 
 DIMENSIONS = 1 << 20
-PER_LABEL = 5000
+PER_LABEL = 3000
 LIMIT = 0.3
 STEM = 4
 GAPS = (1, 2, 3)  # neighbours, then skip-grams over one and two words
@@ -129,10 +129,11 @@ def fit(labelled: DataFrame, *, per_label: int = PER_LABEL, seed: int = 5) -> Mo
 
     def train(group: pa.Table) -> pa.Table:
         order = np.lexsort((pc.list_value_length(group["at"]).to_numpy(), group["label"].to_numpy()))
-        group = group.take(pa.array(order))
-        rows = [v.values.to_numpy() for v in group["at"].combine_chunks()]
-        stands = 1 / group["share"].to_numpy()
-        model = ftrl(rows, group["label"].to_numpy().astype(float), stands / stands.mean(), seed=seed)
+        lists = group["at"].combine_chunks()
+        flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        rows = [flat[bounds[i] - bounds[0] : bounds[i + 1] - bounds[0]] for i in order]
+        stands = 1 / group["share"].to_numpy()[order]
+        model = ftrl(rows, group["label"].to_numpy()[order].astype(float), stands / stands.mean(), seed=seed)
         return pa.table({
             "places": pa.array([model.places], pa.list_(pa.int32())),
             "weights": pa.array([model.weights], pa.list_(pa.float32())), "bias": pa.array([model.bias], pa.float64()),

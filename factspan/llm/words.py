@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit hashes, on Arrow arrays and numpy.
 
 A word is a maximal run of characters other than the space and U+0009 to U+000D; A to Z are
-lowered, nothing else is. Texts are handled in slices of a few megabytes, so memory follows the
+lowered, nothing else is. Texts are handled in slices of about a megabyte, so memory follows the
 longest single text, not the batch. Null and empty texts have no words.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
