@@ -27,7 +27,7 @@ from factspan.llm.words import hashed, mix, plain, slices, split_words
 from factspan.session import stage
 
 DIMENSIONS = 1 << 20
-PER_LABEL = 3000
+PER_LABEL = 5000
 LIMIT = 0.3
 STEM = 4
 GAPS = (1, 2, 3)  # neighbours, then skip-grams over one and two words
@@ -88,7 +88,7 @@ class Model:
 
 def ftrl(
     rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, *, seed: int = 5, epochs: int = 4,
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0,
+    alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0,
 ) -> Model:
     """FTRL-proximal over the rows in seeded orders; the bias carries no L1."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
