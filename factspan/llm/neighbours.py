@@ -10,8 +10,9 @@ query reads every list whose centroid is at most ``ratio`` times as far as the n
 ratio prunes, nothing else does. Should those lists hold too few rows, the next nearest follow.
 
 Neighbouring lists make a region; regions are read in bounded blocks against bounded shares of
-the queries, so a vector that fills a third of the table fills many blocks, not one task. Scores
-are inner products of the original vectors in double precision.
+the queries, so a vector that fills a third of the table fills many blocks, not one task. The
+region of a query's nearest list is read first, and the others return only what reaches the kth
+score found there. Scores are inner products of the original vectors in double precision.
 
 Defined cases: rows without id, and vectors that are null, empty, all zero, of another length
 than most, or with null or non-finite components take no part. Repeated ids count once, with
@@ -147,7 +148,7 @@ def postings(rows: DataFrame, graph: Graph, spread: float, copies: int) -> DataF
 
 
 def probes(queries: DataFrame, graph: Graph, ratio: float, sizes: np.ndarray, least: int) -> DataFrame:
-    """(id, v, lists): the lists each query reads, and more by distance until they hold ``least`` rows."""
+    """(id, v, lists): the lists each query reads, nearest first, and more by distance until they hold ``least`` rows."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -158,8 +159,12 @@ def probes(queries: DataFrame, graph: Graph, ratio: float, sizes: np.ndarray, le
                 near = found <= ratio * found.min(axis=1, keepdims=True) + 1e-12
                 for i in np.flatnonzero(near @ sizes < least):
                     order = np.argsort(((graph.centroids - points[i]) ** 2).sum(axis=1), kind="stable")
-                    near[i, order[: int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]] = True
-                lists = [np.flatnonzero(n).astype(np.int32) for n in near]
+                    more = order[: int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]
+                    near[i, more] = True
+                    found[i, more] = np.minimum(found[i, more], np.finfo(float).max)
+                found[~near] = np.inf
+                order = np.argsort(found, axis=1, kind="stable").astype(np.int32)
+                lists = [o[: n.sum()] for o, n in zip(order, near, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [own["id"], own["v"], pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"]
                 )
@@ -193,8 +198,12 @@ def nearest(
     for r in held.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
     region = lambda c: F.floor(c * F.lit(regions) / F.lit(lists)).cast("int")
-    held = held.select(region(F.col("list")).alias("region"), "id", "v", F.array("list").alias("lists"))
+    nothing = F.lit(None).cast("double")
+    held = held.select(
+        region(F.col("list")).alias("region"), "id", "v", F.array("list").alias("lists"), nothing.alias("floor")
+    )
     asked = stage(probes(rows.where(asking), graph, ratio, sizes, copies * (k + 1)), "probes")
+    asked = asked.withColumn("home", region(F.element_at("lists", 1)))
     asked = asked.withColumn("region", F.explode(F.array_distinct(F.transform("lists", region))))
 
     def run(group: pa.Table) -> pa.Table:
@@ -208,6 +217,7 @@ def nearest(
             reads = np.zeros((len(q), lists), bool)
             reads[np.repeat(np.arange(len(q)), np.diff(wants.offsets.to_numpy())), wants.flatten().to_numpy()] = True
             asked_ids = ask["id"].to_numpy()
+            floors = np.nan_to_num(ask["floor"].to_numpy().astype(float), nan=-np.inf)
             members = {int(n): np.flatnonzero(place == n) for n in np.unique(place)}
             for part in chunks(len(q), 256):
                 table = np.full((len(q[part]), len(names)), -np.inf)
@@ -218,10 +228,22 @@ def nearest(
                 table[asked_ids[part][:, None] == names] = -np.inf
                 for i, line in enumerate(table):
                     top = best(line, names, k)
+                    top = top[line[top] >= floors[part][i]]
                     queries.append(np.full(len(top), asked_ids[part][i]))
                     ids.append(names[top])
                     scores.append(line[top])
         return hits_table(queries, ids, scores, pa.float64())
 
-    grouped = in_shares(asked, held, "region", REGION_ROWS).groupBy("region", "block", "share")
-    return ranked(grouped.applyInArrow(run, "query_id bigint, vec_id bigint, score double"), k)
+    def search(asks: DataFrame) -> DataFrame:
+        both = in_shares(asks.select("region", "id", "v", "lists", "floor"), held, "region", REGION_ROWS)
+        return both.groupBy("region", "block", "share").applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+    # the region of the nearest list first: its kth score is where the others start
+    first = stage(search(asked.where("region = home").withColumn("floor", nothing)), "first_hits")
+    partners = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    kth = (
+        ranked(partners, k).groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+        .where(F.col("n") >= k).select("id", "floor")
+    )
+    others = asked.where("region <> home").join(kth, "id", "left")
+    return ranked(first.unionAll(search(others)), k)
