@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from factspan.contracts import UNIT_DIMENSION
 from factspan.functions.numbers import finite, known
 from factspan.operators.reconcile import key_difference, null_safe_join
-from factspan.operators.rules import Rule, check_absent, check_constant, check_unique, report
+from factspan.operators.rules import Rule, check_absent, check_constant, check_unique, enforce_each, report
 
 
 def aligned(
@@ -33,11 +33,8 @@ def aligned(
     a = left.select(*dims, F.col("value").alias(names[0]), F.lit(True).alias("__in_left"))
     b = right.select(*dims, F.col("value").alias(names[1]), F.lit(True).alias("__in_right"))
     both = F.col("__in_left").isNotNull() & F.col("__in_right").isNotNull()
-    stop = F.raise_error(F.lit("coordinates are not aligned"))
-    return null_safe_join(a, b, dims, "full_outer").select(
-        *dims,
-        *[F.when(both, column).otherwise(stop).alias(name) for name, column in value.items()],
-    )
+    joined = enforce_each(null_safe_join(a, b, dims, "full_outer"), both, "coordinates are not aligned")
+    return joined.select(*dims, *[column.alias(name) for name, column in value.items()])
 
 
 def central_rate(deaths: DataFrame, exposure: DataFrame, dims: Sequence[str]) -> DataFrame:

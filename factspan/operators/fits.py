@@ -68,7 +68,7 @@ def fit_trend(
 ) -> DataFrame:
     """Penalised trend of every series: log_fitted, fitted and innovation_scale per step."""
     if penalty < 0:
-        raise ValueError("penalty must be nonnegative")
+        raise ValueError(f"a trend penalty is at least 0, not {penalty}")
     out = _schema(
         grid,
         series,

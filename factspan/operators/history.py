@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.operators.rules import ContractViolation, require_schema
+from factspan.operators.rules import ContractViolation, enforce_each, require_schema
 
 
 def _falling(value: Column, kind: T.DataType) -> Column:
@@ -76,9 +76,7 @@ def latest_as_of(
     """
     states = newest_states(history, as_of, fact, clock, observation)
     message = "several observations of one fact share the newest clock"
-    # the guard sits on the clock, which every selection carries
-    guarded = F.when(F.col("ambiguous"), F.raise_error(F.lit(message))).otherwise(F.col(clock))
-    return states.withColumn(clock, guarded).drop("ambiguous")
+    return enforce_each(states, ~F.col("ambiguous"), message).drop("ambiguous")
 
 
 def ambiguous_revisions(
@@ -174,25 +172,21 @@ def merge_identities(left: DataFrame, right: DataFrame) -> DataFrame:
     """Union of identity records (id, payload); a conflict fails the query."""
     both = strict_union(left, right)
     grouped = both.groupBy("id").agg(F.min("payload").alias("payload"), F.max("payload").alias("p"))
-    message = F.lit("one identity has two payloads")
-    return grouped.select(
-        "id",
-        F.when(F.col("payload") == F.col("p"), F.col("payload"))
-        .otherwise(F.raise_error(message))
-        .alias("payload"),
-    )
+    return enforce_each(grouped, F.col("payload").eqNullSafe(F.col("p")), "one identity has two payloads").drop("p")
 
 
 def append_release(batch: DataFrame, path: str) -> None:
     """Add a batch to a history table laid out by domain and release.
 
-    A release already present is skipped, so a retried append adds nothing.
+    Observations that their release already holds are skipped, so a retried append adds nothing,
+    and a release may come in several parts.
     """
     spark = batch.sparkSession
     fresh = batch
     if _exists(spark, path):
-        seen = read_history(spark, path, batch.schema).select("release_id").distinct()
-        fresh = batch.join(seen, "release_id", "left_anti").select(*batch.columns)
+        held = read_history(spark, path, batch.schema, batch.select("release_id").distinct())
+        seen = held.select("release_id", "observation_id")
+        fresh = batch.join(seen, ["release_id", "observation_id"], "left_anti").select(*batch.columns)
     fresh.write.mode("append").partitionBy("domain", "release_id").parquet(path)
 
 

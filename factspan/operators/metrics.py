@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.functions.numbers import finite
+from factspan.operators.reconcile import null_safe_join
 from factspan.operators.rules import Rule
 
 
@@ -82,7 +83,7 @@ def ljung_box(
     stats = stats.withColumn(
         "lag_used", F.least(F.lit(max(lags, 1)).cast("bigint"), half).cast("int")
     )
-    centred = residuals.join(stats, list(series)).select(
+    centred = null_safe_join(residuals, stats, list(series)).select(
         *series, "n", "lag_used", "__t", (F.col("__r") - F.col("__mean")).alias("__r")
     )
     # lag 0 carries the variance; a row of step t is sent to step t + k
@@ -93,7 +94,7 @@ def ljung_box(
         F.explode(F.sequence(F.lit(0), F.col("lag_used"))).alias("__k"),
     ).select(*series, "__k", (F.col("__t") + F.col("__k")).alias("__t"), F.col("__r").alias("__s"))
     products = (
-        centred.join(sent, [*series, "__t"])
+        null_safe_join(centred, sent, [*series, "__t"])
         .groupBy(*series, "n", "lag_used", "__k")
         .agg(F.sum(F.col("__r") * F.col("__s")).alias("__c"))
     )

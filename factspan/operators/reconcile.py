@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factspan.operators.rules import check_absent, check_unique, require
+from factspan.operators.rules import check_absent, check_unique, enforce_each, require
 
 # fixed values: (matched, different) status per release kind
 STATUSES = {
@@ -162,10 +162,7 @@ def three_way(
     )
     if mode == "enforce":
         ok = F.col("qx_reconciled") & F.col("counts_sound")
-        guarded = F.when(ok, F.col("qx_reconciled")).otherwise(
-            F.raise_error(F.lit("aggregate reconciliation failed"))
-        )
-        rows = rows.withColumn("qx_reconciled", guarded)
+        rows = enforce_each(rows, ok, "aggregate reconciliation failed")
     return rows.drop("counts_sound")
 
 

@@ -162,3 +162,14 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if missing:
         raise ContractViolation([(f"missing column {c}", 1) for c in missing])
     return df
+
+
+def enforce_each(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """``df``, failing the query on the first row for which ``holds`` is not true.
+
+    The condition decides about rows, so no later selection or count prunes it. It is given
+    through a row generator, which the optimizer neither evaluates early nor moves over joins.
+    """
+    failed = F.raise_error(F.lit(message)).cast("array<boolean>")
+    once = F.when(F.coalesce(holds, F.lit(False)), F.array(F.lit(True))).otherwise(failed)
+    return df.select("*", F.explode(once).alias("__holds")).drop("__holds")

@@ -13,6 +13,8 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from factspan.operators.reconcile import null_safe_join
 from pyspark.sql.window import Window
 
 
@@ -42,8 +44,7 @@ def previous_row(
     across = Window.partitionBy(*series).orderBy("__segment")
     edges = ends.withColumn("__carried", F.lag("__last").over(across)).drop("__last")
     return (
-        cut.withColumn("__inside", F.lag(carried).over(inside))
-        .join(edges, [*series, "__segment"])
+        null_safe_join(cut.withColumn("__inside", F.lag(carried).over(inside)), edges, [*series, "__segment"])
         .withColumn("previous", F.coalesce("__inside", "__carried"))
         .drop("__segment", "__inside", "__carried")
     )
@@ -151,7 +152,7 @@ def index_to_last(grid: DataFrame, series: Sequence[str], step: str, value: str,
                   ) -> DataFrame:
     """Value relative to the last value of its series."""
     last = grid.groupBy(*series).agg(F.max_by(value, step).alias("__last"))
-    return grid.join(last, list(series)).withColumn(out, F.col(value) / F.col("__last")).drop(
+    return null_safe_join(grid, last, list(series)).withColumn(out, F.col(value) / F.col("__last")).drop(
         "__last"
     )
 
@@ -198,9 +199,9 @@ def trend_band(
         F.max_by(log_level, step).alias("__l1"),
         F.max_by(scale, step).alias("__scale"),
     )
-    before = grid.join(ends.select(*series, "__t1"), list(series)).where(F.col(step) < F.col("__t1"))
+    before = null_safe_join(grid, ends.select(*series, "__t1"), list(series)).where(F.col(step) < F.col("__t1"))
     second = before.groupBy(*series).agg(F.max_by(log_level, step).alias("__l0"))
-    base = ends.join(second, list(series), "left")
+    base = null_safe_join(ends, second, list(series), "left")
     h = F.col("horizon")
     slope = F.coalesce(F.col("__l1") - F.col("__l0"), F.lit(0.0))
     spread = F.greatest(F.col("__scale"), F.lit(0.03)) * F.sqrt(h * (1 + h / 2))

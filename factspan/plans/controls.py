@@ -23,10 +23,7 @@ from factspan.operators.rules import (
 from factspan.plans.batch import Release, complete, finish
 
 SEXES = ("all", "male", "female", "indeterminate")
-RULE = (
-    "preserve the published INE observed birth count as a diagnostic "
-    "control; never revise DEIS events"
-)
+RULE = "published birth count, kept for comparison; events are not corrected by it"
 
 
 def control_rules(kind: str, start: date, end: date) -> list[Rule]:

@@ -127,8 +127,7 @@ def market(
             "parity_scope": "not_applicable",
             **release.stamp(),
             "aggregation_rule": (
-                "one BCCh BDE observation retained at its published date; "
-                "no interpolation or carry-forward"
+                "a published observation on its own date; gaps stay gaps"
             ),
             "date_basis": "market_observation",
         },
@@ -209,8 +208,7 @@ def mortality(
             "parity_scope": "not_applicable",
             **release.stamp(),
             "aggregation_rule": (
-                "one published TM-2020 base probability or annual "
-                "improvement factor retained without projection"
+                "a published probability or improvement factor, not projected"
             ),
             "missingness_reason": "not_applicable_observed",
             "regulatory_basis": "TM_2020",

@@ -73,8 +73,8 @@ def census(
         check_absent(overlapping_bins(scale, ["sex"]), "age_groups_disjoint"),
     )
     start, end = dates.census_instant()
-    text_all = "published Censo 2024 grouped enumerated stock by age, all sexes"
-    text_sex = "published Censo 2024 grouped enumerated stock by age and sex"
+    text_all = "census 2024 count of an age group, both sexes together"
+    text_sex = "census 2024 count of an age group and sex"
     ready = facts.withColumn(
         "aggregation_rule", F.when(F.col("sex") == "all", text_all).otherwise(text_sex)
     )
@@ -161,8 +161,8 @@ def population(
         check_absent(open_not_last(facts, group), "open_age_last"),
         check_absent(overlapping_bins(facts, group), "ages_disjoint"),
     )
-    historical = "published INE Base-2024 historical estimate at 30 June by single age and sex"
-    projected = "published INE Base-2024 projection at 30 June by single age and sex"
+    historical = "mid-year estimate of a past year by age and sex (base 2024)"
+    projected = "mid-year projection by age and sex (base 2024)"
     ready = facts.withColumn(
         "aggregation_rule",
         F.when(F.col("observation_role") == "observed_fact", historical).otherwise(projected),
