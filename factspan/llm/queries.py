@@ -46,10 +46,10 @@ def op3_language_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learned = toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), bucket_of("id", 4) != 2)
-    scored = toxicity.score(
-        docs, toxicity.fit(learned), {"doc_id": F.col("doc_id").cast("long"), "__text": F.col("text")}, "doc_id bigint"
-    )
+    columns = {"doc_id": F.col("doc_id").cast("long"), "__text": F.col("text")}
+    marks = toxicity.marked(docs, table(spark, sf_dir, "labels"), bucket_of("id", 4) != 2)
+    model = toxicity.fit(marks, docs.select(columns["doc_id"].alias("id"), "text"))
+    scored = toxicity.score(docs, model, columns, "doc_id bigint")
     return scored.withColumn("held_out", _held(4, 2)).withColumn("predicted", (F.col("score") >= toxicity.LIMIT).cast("int"))
 
 

@@ -8,7 +8,7 @@ from zero; only those travel to the tasks. The learner reads a bounded sample, a
 
 Defined cases: a null or wordless text gets the score of no evidence (the bias alone). Rows with
 a null id or label, or a label other than 0 and 1, teach nothing; several labels of one document
-count as its greatest. With no labelled row every score is 0.
+count as its greatest, several texts of one id as the first in order. With no labelled row every score is 0.
 """
 
 from __future__ import annotations
@@ -115,20 +115,31 @@ def ftrl(
     return Model(places.astype(np.int32), final[places].astype(np.float32), float(final[-1]))
 
 
-def fit(labelled: DataFrame, *, per_label: int = PER_LABEL, seed: int = 5) -> Model:
-    """Model from rows (id, text, label)."""
-    known = labelled.where("id is not null and label in (0, 1)").withColumn("label", F.col("label").cast("int"))
-    chosen = bounded_sample(known, "label", per_label, seed, "id").select("text", "label", "__share")
+def fit(labelled: DataFrame, texts: DataFrame | None = None, *, per_label: int = PER_LABEL, seed: int = 5) -> Model:
+    """Model from rows (id, label) and the ``texts`` (id, text) they mean; by default ``labelled`` has both.
+
+    The sample is drawn over ids alone. Only its texts, at most ``2 * per_label``, are ever moved.
+    """
+    known = labelled.where("id is not null and label in (0, 1)")
+    marks = known.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    chosen = stage(bounded_sample(marks, "label", per_label, seed, "id"), "toxicity_ids")
+    rows = (
+        (labelled if texts is None else texts).select("id", "text").join(chosen, "id")
+        .groupBy("id", "label", "__share").agg(F.min("text").alias("text"))
+    )
 
     def vectors(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             found = pa.array(list(feature_lists(batch["text"])), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([found, batch["label"], batch["__share"]], names=["at", "label", "share"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], found, batch["label"], batch["__share"]], names=["id", "at", "label", "share"]
+            )
 
-    sample = stage(batches(chosen).mapInArrow(vectors, "at array<int>, label int, share double"), "toxicity_sample")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, at array<int>, label int, share double"
+    sample = stage(batches(rows).mapInArrow(vectors, kind), "toxicity_sample")
 
     def train(group: pa.Table) -> pa.Table:
-        order = np.lexsort((pc.list_value_length(group["at"]).to_numpy(), group["label"].to_numpy()))
+        order = pc.sort_indices(group["id"]).to_numpy()
         lists = group["at"].combine_chunks()
         flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         rows = [flat[bounds[i] - bounds[0] : bounds[i + 1] - bounds[0]] for i in order]
@@ -171,6 +182,15 @@ def accepted(docs: DataFrame, model: Model, *, limit: float = LIMIT, text_column
     return batches(docs).mapInArrow(run, docs.schema)
 
 
+def marked(
+    docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "doc_id", label_column: str = "toxic",
+) -> DataFrame:
+    """(id, label) of the labelled documents in ``docs`` for which ``learn`` holds over ``id``."""
+    marks = labels.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(label_column).alias("label"))
+    held = docs.select(F.col(id_column).cast("long").alias("id"))
+    return marks.where("label is not null").where(learn).join(held, "id", "left_semi")
+
+
 def labelled_texts(
     docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "doc_id", text_column: str = "text",
     label_column: str = "toxic",

@@ -269,12 +269,15 @@ def test_toxicity_score_is_the_sum_over_distinct_features():
 
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 1), (7, 0), (None, 1), (77, 1)], "doc_id long, toxic int")
-    learned = toxicity.labelled_texts(odd, labels, F.lit(True))
+    learned = toxicity.marked(odd, labels, F.lit(True))
     assert sorted((r["id"], r["label"]) for r in learned.collect()) == [(0, 1), (2, 1), (7, 0)]
-    model = toxicity.fit(learned)
+    texts = odd.select(F.col("doc_id").cast("long").alias("id"), "text")
+    model = toxicity.fit(learned, texts)
+    again = toxicity.fit(learned.unionAll(learned), texts.unionAll(texts).repartition(5))
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias  # repeated rows teach once
     scores = toxicity.score(odd, model, {"id": F.col("doc_id"), "__text": F.col("text")}, "id bigint").collect()
     assert len(scores) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in scores)
-    none = toxicity.fit(learned.where("false"))
+    none = toxicity.fit(learned.where("false"), texts)
     assert toxicity.accepted(odd, none).count() == len(odd_rows())
     assert toxicity.accepted(empty, model).columns == empty.columns
 
