@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit of toxicity."""
-    learned = toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), bucket_of("id", 4) != 2)
-    return toxicity.accepted(docs, toxicity.fit(learned))
+    marks = toxicity.marked(docs, table(spark, sf_dir, "labels"), bucket_of("id", 4) != 2)
+    return toxicity.accepted(docs, toxicity.fit(marks, docs.selectExpr("doc_id as id", "text")))
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
