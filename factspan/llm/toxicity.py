@@ -189,13 +189,3 @@ def marked(
     marks = labels.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(label_column).alias("label"))
     held = docs.select(F.col(id_column).cast("long").alias("id"))
     return marks.where("label is not null").where(learn).join(held, "id", "left_semi")
-
-
-def labelled_texts(
-    docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "doc_id", text_column: str = "text",
-    label_column: str = "toxic",
-) -> DataFrame:
-    """(id, text, label) of the labelled documents for which ``learn`` holds over ``id``."""
-    marks = labels.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(label_column).alias("label"))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return texts.join(marks.where("label is not null"), "id").where(learn)
