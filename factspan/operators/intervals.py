@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from factspan.functions.dates import in_interval
 from factspan.functions.numbers import choose, close_bin
+from factspan.operators.reconcile import null_safe_join
+from factspan.operators.rules import enforce_each
 
 
 def _buckets(low: Column, high: Column, width: float) -> Column:
@@ -31,7 +33,7 @@ def overlap_join(
     width: float,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Inner join of overlapping half-open intervals, each pair once.
+    """Inner join of overlapping half-open intervals, each pair once; null ``on`` keys are equal.
 
     A pair is kept in the first bucket both sides touch. Choose ``width`` near the length
     of the shorter side, so an interval touches few buckets.
@@ -40,7 +42,7 @@ def overlap_join(
     b_lo, b_hi = right_range
     a = left.withColumn("__bucket", F.explode(_buckets(F.col(a_lo), F.col(a_hi), width)))
     b = right.withColumn("__bucket", F.explode(_buckets(F.col(b_lo), F.col(b_hi), width)))
-    joined = a.join(b, [*on, "__bucket"])
+    joined = null_safe_join(a, b, [*on, "__bucket"])
     first = F.greatest(F.floor(F.col(a_lo) / width), F.floor(F.col(b_lo) / width))
     return joined.where(
         (F.col(a_lo) < F.col(b_hi)) & (F.col(b_lo) < F.col(a_hi)) & (F.col("__bucket") == first)
@@ -55,12 +57,12 @@ def point_join(
     width: float,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Inner join of points with the half-open intervals that hold them."""
+    """Inner join of points with the half-open intervals that hold them; null ``on`` keys are equal."""
     lo, hi = interval
     a = points.withColumn("__bucket", F.floor(F.col(point) / width))
     b = intervals.withColumn("__bucket", F.explode(_buckets(F.col(lo), F.col(hi), width)))
     return (
-        a.join(b, [*on, "__bucket"])
+        null_safe_join(a, b, [*on, "__bucket"])
         .where((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi)))
         .drop("__bucket")
     )
@@ -194,31 +196,49 @@ def apply_operator(
     value: str = "value",
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Contract one dimension of a surface with a weight table, keeping the others."""
+    """Contract one dimension of a surface with a weight table, keeping the others.
+
+    Both sides must have the same nodes (null ones are equal); the query fails otherwise.
+    """
     return (
-        weights.join(surface, [*on, node])
+        _same_nodes(weights, surface, [*on, node])
         .groupBy(*on, *out, *dims)
         .agg(F.sum(F.col("weight") * F.col(value)).alias(value))
     )
 
 
-def uncovered_nodes(weights: DataFrame, surface: DataFrame, node: str) -> DataFrame:
-    """Coordinates on one side only; must be empty before ``apply_operator``."""
-    a = weights.select(node).distinct().withColumn("side", F.lit("weights"))
-    b = surface.select(node).distinct().withColumn("side", F.lit("surface"))
-    return a.unionAll(b).groupBy(node).agg(
-        F.count(F.lit(1)).alias("n"), F.min("side").alias("side")
-    ).where("n = 1").select(node, "side")
+def uncovered_nodes(weights: DataFrame, surface: DataFrame, node: Sequence[str]) -> DataFrame:
+    """Coordinates on one side only: (node, side)."""
+    sides = weights.select(*node, F.lit("weights").alias("side")).unionAll(
+        surface.select(*node, F.lit("surface").alias("side"))
+    )
+    return sides.groupBy(*node).agg(
+        F.min("side").alias("side"), F.max("side").alias("__other")
+    ).where("side = __other").drop("__other")
+
+
+def _same_nodes(weights: DataFrame, surface: DataFrame, node: Sequence[str]) -> DataFrame:
+    """Inner join on ``node`` that fails on a node of one side only.
+
+    The check is a grouped pass of its own, so the join may still send a small side to all tasks.
+    """
+    joined = null_safe_join(weights, surface, node)
+    alone = uncovered_nodes(weights, surface, node)
+    alone = enforce_each(alone, F.col("side").isNull(), "operator and surface have different nodes")
+    return joined.unionByName(alone.drop("side"), allowMissingColumns=True)
 
 
 def compose_operators(
     outer: DataFrame, inner: DataFrame, on: Sequence[str] = ()
 ) -> DataFrame:
-    """Sparse product of two weight tables (out, node, weight): outer after inner."""
+    """Sparse product of two weight tables (out, node, weight): outer after inner.
+
+    The nodes of ``outer`` must be the outputs of ``inner``; the query fails otherwise.
+    """
     a = outer.select(*on, "out", F.col("node").alias("mid"), F.col("weight").alias("w1"))
     b = inner.select(*on, F.col("out").alias("mid"), "node", F.col("weight").alias("w2"))
     return (
-        a.join(b, [*on, "mid"])
+        _same_nodes(a, b, [*on, "mid"])
         .groupBy(*on, "out", "node")
         .agg(F.sum(F.col("w1") * F.col("w2")).alias("weight"))
     )

@@ -132,29 +132,31 @@ def three_way(
 ) -> DataFrame:
     """``public - workbook = published delta`` for exposed and deaths on a complete grid.
 
+    A cell that one side lacks stays, with nulls for that side, and holds no relation.
     ``mode="enforce"`` fails on the first broken relation; ``report`` keeps all rows.
     """
-    p, w, d = public.alias("p"), workbook.alias("w"), published.alias("d")
-    joined = p.join(w, list(key)).join(d, list(key))
-    exposed_ok = (
-        F.col("p.exposed") - F.col("w.exposed") == F.col("d.delta_exposed")
-    )
-    deaths_ok = F.col("p.deaths") - F.col("w.deaths") == F.col("d.delta_deaths")
-    sound = (
-        (F.col("p.exposed") >= 0)
-        & (F.col("p.deaths") >= 0)
-        & (F.col("p.deaths") <= F.col("p.exposed"))
+    p, w = (
+        side.select(*key, F.col("exposed").alias(f"{name}_exposed"), F.col("deaths").alias(f"{name}_deaths"))
+        for side, name in ((public, "public"), (workbook, "workbook"))
     )
+    d = published.select(*key, "delta_exposed", "delta_deaths")
+    joined = null_safe_join(null_safe_join(p, w, key, "full_outer"), d, key, "full_outer")
+    p_exposed, p_deaths = F.col("public_exposed"), F.col("public_deaths")
+    w_exposed, w_deaths = F.col("workbook_exposed"), F.col("workbook_deaths")
+    no = F.lit(False)
+    exposed_ok = F.coalesce(p_exposed - w_exposed == F.col("delta_exposed"), no)
+    deaths_ok = F.coalesce(p_deaths - w_deaths == F.col("delta_deaths"), no)
+    sound = F.coalesce((p_exposed >= 0) & (p_deaths >= 0) & (p_deaths <= p_exposed), no)
     rows = joined.select(
         *key,
-        F.col("p.exposed").alias("public_exposed"),
-        F.col("p.deaths").alias("public_deaths"),
-        crude_probability(F.col("p.deaths"), F.col("p.exposed")).alias("public_qx"),
-        F.col("w.exposed").alias("workbook_exposed"),
-        F.col("w.deaths").alias("workbook_deaths"),
-        crude_probability(F.col("w.deaths"), F.col("w.exposed")).alias("workbook_qx"),
-        F.col("d.delta_exposed").alias("published_delta_exposed"),
-        F.col("d.delta_deaths").alias("published_delta_deaths"),
+        p_exposed,
+        p_deaths,
+        crude_probability(p_deaths, p_exposed).alias("public_qx"),
+        w_exposed,
+        w_deaths,
+        crude_probability(w_deaths, w_exposed).alias("workbook_qx"),
+        F.col("delta_exposed").alias("published_delta_exposed"),
+        F.col("delta_deaths").alias("published_delta_deaths"),
         exposed_ok.alias("exposed_relation_ok"),
         deaths_ok.alias("deaths_relation_ok"),
         (exposed_ok & deaths_ok).alias("qx_reconciled"),

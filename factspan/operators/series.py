@@ -14,9 +14,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factspan.operators.reconcile import null_safe_join
 from pyspark.sql.window import Window
 
+from factspan.operators.reconcile import null_safe_join
+from factspan.operators.rules import enforce_each
+
 
 def _order(series: Sequence[str], step: str):
     return Window.partitionBy(*series).orderBy(step)
@@ -62,8 +64,8 @@ def block_offsets(rows: DataFrame, archive: str, block: str, scan_order: str) ->
     before = Window.partitionBy(archive).orderBy(block).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop(
-        "__n"
+    return blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumnRenamed(
+        "__n", "__rows"
     )
 
 
@@ -73,9 +75,13 @@ def archive_row_numbers(
     """Contiguous one-based row numbers per archive from the offsets of its blocks."""
     number = F.col("__offset") + F.col(scan_order) - F.col("__first") + 1
     return (
-        rows.join(offsets, [archive, block])
+        enforce_each(
+            null_safe_join(rows, offsets, [archive, block], "left"),
+            F.col(scan_order).between(F.col("__first"), F.col("__first") + F.col("__rows") - 1),
+            "a row lies outside the blocks that were counted",
+        )
         .withColumn("archive_row_number", number.cast("bigint"))
-        .drop("__first", "__offset", block, scan_order)
+        .drop("__first", "__offset", "__rows", block, scan_order)
     )
 
 

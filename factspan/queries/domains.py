@@ -244,12 +244,15 @@ def improvement_long(spark, sf_dir):
 @query("""
 WITH cells AS (SELECT l_returnflag AS block, CAST(l_quantity AS INTEGER) AS age,
                       count(*) % 7 AS value FROM lineitem GROUP BY 1, 2),
-a AS (SELECT age, value FROM cells WHERE block = 'A'),
-b AS (SELECT age, value FROM cells WHERE block = 'N')
-SELECT coalesce(a.age, b.age) AS age, coalesce(a.value, b.value) AS value,
+a AS (SELECT c.block || '-' || o.block AS pair, c.age, c.value
+      FROM cells c JOIN (SELECT DISTINCT block FROM cells) o ON c.block < o.block),
+b AS (SELECT o.block || '-' || c.block AS pair, c.age, c.value
+      FROM cells c JOIN (SELECT DISTINCT block FROM cells) o ON o.block < c.block)
+SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.age, b.age) AS age, coalesce(a.value, b.value) AS value,
        CAST(CASE WHEN a.age IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_left,
        CAST(CASE WHEN b.age IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_right
-FROM a FULL JOIN b ON a.age = b.age AND a.value = b.value WHERE a.age IS NULL OR b.age IS NULL
+FROM a FULL JOIN b ON a.pair = b.pair AND a.age = b.age AND a.value = b.value
+WHERE a.age IS NULL OR b.age IS NULL
 """)
 def duplicate_block(spark, sf_dir):
     cells = (
@@ -258,8 +261,12 @@ def duplicate_block(spark, sf_dir):
         .agg((F.count(F.lit(1)) % 7).alias("value"))
     )
     cells = stage(cells, "blocks")
+    others = cells.select(F.col("block").alias("other")).distinct()
+    pair = lambda a, b: F.concat(a, F.lit("-"), b).alias("pair")
+    left = cells.join(others, F.col("block") < F.col("other")).select(pair("block", "other"), "age", "value")
+    right = cells.join(others, F.col("other") < F.col("block")).select(pair("other", "block"), "age", "value")
     return reconcile.same_rows(
-        cells.where("block = 'A'"), cells.where("block = 'N'"), ["age", "value"]
+        left, right, ["pair", "age", "value"]
     )
 
 

@@ -206,13 +206,18 @@ SELECT o_custkey, o_orderpriority, round(sum(weight * value), 3) AS value
 FROM weights JOIN surface USING (node) GROUP BY 1, 2
 """)
 def operator_apply(spark, sf_dir):
-    month = F.date_diff(
-        F.trunc("o_orderdate", "MM"), F.lit("1995-01-01").cast("date")
-    ).cast("double")
+    month = F.trunc("o_orderdate", "MM")
+    # every month, and its successor with nothing of its own: the nodes of the weights
+    both = F.array(
+        F.struct(month.alias("m"), F.lit(1.0).alias("one")),
+        F.struct(F.add_months(month, 1).alias("m"), F.lit(0.0).alias("one")),
+    )
+    node = F.date_diff("m", F.lit("1995-01-01").cast("date")).cast("double")
     counted = (
         table(spark, sf_dir, "orders")
-        .groupBy("o_orderpriority", month.alias("node"))
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
+        .select("o_orderpriority", F.inline(both))
+        .groupBy("o_orderpriority", node.alias("node"))
+        .agg(F.sum("one").alias("value"))
     )
     # one row per month and priority, written first so that Spark knows its size
     surface = stage(counted, "surface")

@@ -242,7 +242,7 @@ def read_table(spark: SparkSession, path: str, required: Mapping[str, str]) -> D
     if missing:
         raise ContractViolation([(f"missing column {c}", 1) for c in missing])
     schema = ", ".join(f"`{c}` {required.get(c, 'string')}" for c in found)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def load_bundle(
@@ -268,6 +268,7 @@ def read_curated(
         spark.read.schema(text_schema([c for c, _ in columns]))
         .option("header", True)
         .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     empty = raw.limit(1).groupBy().count().select(
@@ -388,10 +389,12 @@ def attestation_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def number_rows(scan: DataFrame, archive: str = "archive_id") -> DataFrame:
     """Contiguous archive row numbers of a scan made by ``scan_with_position``.
 
-    Two passes over the same splits: one counts the rows of each block, the other adds the
-    block's offset. The offsets are written first, so Spark knows their size and sends
-    them to every task when they are small instead of moving the rows.
+    The scan is written first, with the block and order of every row, so that both passes
+    over it see the same blocks however the files are split later: one counts the rows of
+    each block, the other adds the block's offset. The offsets are written too, so Spark
+    knows their size and sends them to every task when they are small.
     """
+    scan = stage(scan, "positioned-scan")
     offsets = stage(block_offsets(scan, archive, "__block", "__order"), "block-offsets")
     return archive_row_numbers(scan, offsets, archive, "__block", "__order")
 
@@ -405,6 +408,7 @@ def scan_with_position(
         .option("header", True)
         .option("enforceSchema", False)
         .option("sep", sep)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     return raw.select(
@@ -460,12 +464,16 @@ def same_assets(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     )
 
 
-def table_checksum(df: DataFrame, ordinal: str, fan: int = 4096, levels: int = 3) -> DataFrame:
+def table_checksum(df: DataFrame, ordinal: str, fan: int = 4096) -> DataFrame:
     """SHA-256 of the rows in the order of a contiguous ordinal, as a tree of digests.
 
-    Blocks of ``fan`` rows are hashed, then blocks of ``fan`` digests, and so on, so no
-    task ever holds more than ``fan`` rows.
+    Blocks of ``fan`` rows are hashed, then blocks of ``fan`` digests, and so on to a single
+    one, so no group ever has more than ``fan`` rows. The largest ordinal tells the levels.
     """
+    last = df.agg(F.max(F.col(ordinal).cast("bigint"))).first()[0] or 0
+    levels = 3
+    while last // fan**levels:
+        levels += 1
     content = [c for c in df.columns if c != ordinal]
     row = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
     level = df.select(F.col(ordinal).cast("bigint").alias("i"), F.sha2(row, 256).alias("d"))
