@@ -4,8 +4,9 @@ Words are runs of letters and digits, lowered. Fingerprints are hashes of ``GRAM
 which winnowing keeps the least of every ``WINDOW`` neighbours, in templates and texts alike, so
 any ``GRAM + WINDOW - 1`` words they share share a fingerprint. An inverted index from
 fingerprint to template and place (its size is that of the templates) turns the fingerprints of a
-text into diagonals; hits of a template close to each other are one candidate, and a local
-alignment in a band around their diagonals (match 2, other -1) gives the words matched in order.
+text into stretches that may hold the template, and a local alignment of each (match 2, other -1)
+gives the words matched in order. What is left before and after a place is aligned again until
+nothing reaches the limit, so copies may follow each other directly.
 
 A row is reported per place where at least ``least`` of a template's words are matched: the
 license, coverage (matched words over the template's), and the words of text and template that
@@ -19,6 +20,7 @@ each; a null id is reported as null.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -93,6 +95,8 @@ class Index:
         self.names = sorted(templates)
         words, bounds = split_words(plain(pa.array([templates[n] for n in self.names], pa.string())))
         hashes = hashed(words)
+        if max(np.diff(bounds), default=0) > LONGEST:
+            raise ValueError(f"a template has more than {LONGEST} words")
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, own in enumerate(self.words):
@@ -114,50 +118,85 @@ def band(template: np.ndarray) -> int:
     return BAND + len(template) // 8
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
-    """(matched, text start, text end, template start, template end) of the best local alignment
-    whose diagonals (text place minus template place) lie in [low, high]."""
-    width = high - low + 1
-    empty = (0, 0, 0, 0, 0)
-    best, before = empty, [empty] * width  # per cell: score, matched, text start, template start, unused
-    top = 0
+# One cell of the alignment in one number: score, words matched, and (turned, so that of equals the
+# shorter is larger) the words of text and of template that it spans.
+SCORE, MATCHED, SPAN, OWN = 1 << 45, 1 << 31, 1 << 14, 1
+LONGEST = (1 << 14) - 1
+FIRST = 2 * SCORE + MATCHED + ((1 << 17) - 2) * SPAN + (LONGEST - 1) * OWN
+
+
+def ends(template: np.ndarray, text: np.ndarray, need: int) -> list[tuple[int, int, int, int, int]]:
+    """(matched, text start, text end, template start, template end) of all local alignments that
+    share the best score among those with ``need`` words matched, by their ends."""
+    before, top, found = np.zeros(len(text), np.int64), 0, []
     for i, word in enumerate(template.tolist()):
-        row = []
-        for c in range(width):
-            j = low + i + c
-            cell = empty
-            if 0 <= j < len(text):
-                held = before[c]
-                if int(text[j]) == word:
-                    cell = (held[0] + 2, held[1] + 1, held[2], held[3], 0) if held[0] > 0 else (2, 1, j, i, 0)
-                elif held[0] > 1:
-                    cell = (held[0] - 1, *held[1:])
-                if c + 1 < width and before[c + 1][0] - 1 > cell[0]:
-                    cell = (before[c + 1][0] - 1, *before[c + 1][1:])
-                if c and row[-1][0] - 1 > cell[0]:
-                    cell = (row[-1][0] - 1, *row[-1][1:])
-                if cell[0] > top:
-                    top = cell[0]
-                    best = (cell[1], cell[2], j + 1, cell[3], i + 1)
-            row.append(cell)
+        diagonal = np.concatenate([[0], before[:-1]])
+        row = np.where(
+            text == word,
+            np.where(diagonal > 0, diagonal + (2 * SCORE + MATCHED - SPAN - OWN), FIRST),
+            np.maximum(diagonal, before + SPAN) - (SCORE + SPAN + OWN),
+        )
+        np.maximum(row, before - (SCORE + OWN), out=row)
+        step = 1
+        while step < min(len(text), 2 * len(template)):  # words of the text between two matches
+            row[step:] = np.maximum(row[step:], row[:-step] - step * (SCORE + SPAN))
+            step *= 2
+        row[row < SCORE] = 0
         before = row
-    return best
+        if i + 1 < need:
+            continue
+        at = np.flatnonzero((row // MATCHED) % (SCORE // MATCHED) >= need)
+        if len(at) and (best := int(row[at].max()) // SCORE) >= top:
+            if best > top:
+                top, found = best, []
+            for j in at[row[at] // SCORE == best].tolist():
+                cell = int(row[j])
+                span = (1 << 17) - 1 - cell // SPAN % (1 << 17)
+                own = LONGEST - cell % SPAN
+                found.append((cell // MATCHED % (1 << 14), j + 1 - span, j + 1, i + 1 - own, i + 1))
+    return sorted(found, key=lambda f: (f[2], f[4]))
+
+
+def places(template: np.ndarray, text: np.ndarray, need: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Alignments with ``need`` words matched, the best first, then those in what is left between them.
+
+    All that share the best score are taken at once, so there are at most as many rounds as scores.
+    """
+    left = [(0, len(text))]
+    while left:
+        start, stop = left.pop()
+        if stop - start < need or np.isin(text[start:stop], template).sum() < need:
+            continue
+        done, any_ = start, False
+        for matched, a, b, c, d in ends(template, text[start:stop], need):
+            if start + a >= done:
+                yield matched, start + a, start + b, c, d
+                left.append((done, start + a))
+                done, any_ = start + b, True
+        if any_:
+            left.append((done, stop))
+
+
+def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Regions in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(regions):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
 
 
-def candidates(index: Index, grams: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(template, first diagonal, last diagonal, last place) of hits that can be one copy."""
+def candidates(index: Index, grams: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(template, first word, last word) of the stretches that hold its hits."""
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hits.tolist():
         for t, at in index.places[int(grams[p])]:
-            found[t].append((p - at, p))
-    for t, pairs in found.items():
-        pairs.sort()
-        start = 0
-        for i in range(1, len(pairs) + 1):
-            if i == len(pairs) or pairs[i][0] - pairs[i - 1][0] > band(index.words[t]):
-                group = pairs[start:i]
-                yield t, group[0][0], group[-1][0], max(p for _, p in group)
-                start = i
+            size = len(index.words[t])
+            found[t].append((p - at - band(index.words[t]), p - at + size + band(index.words[t])))
+    for t, regions in found.items():
+        yield from ((t, max(0, start), stop) for start, stop in merged(regions))
 
 
 def scan_text(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float, int, int, int, int, int]]:
@@ -167,20 +206,21 @@ def scan_text(index: Index, words: np.ndarray, least: float) -> list[tuple[str,
     if not len(hits):
         return []
     hits = hits[np.isin(hits, winnowed(grams))]
-    out = {}
-    for t, low, high, _ in candidates(index, grams, hits):
+    rows = []
+    for t, start, stop in candidates(index, grams, hits):
         template = index.words[t]
-        slack = band(template)
-        first = max(0, low - slack)
-        part = words[first : high + len(template) + slack]
-        matched, a, b, c, d = align(template, part, low - slack - first, high + slack - first)
-        if matched >= least * len(template):
-            out[(t, first + a, first + b, c, d)] = matched
-    rows = [(index.names[t], m / len(index.words[t]), m, a, b, c, d) for (t, a, b, c, d), m in out.items()]
+        need = max(1, math.ceil(least * len(template)))
+        for matched, a, b, c, d in places(template, words[start:stop], need):
+            rows.append((index.names[t], matched / len(template), matched, start + a, start + b, c, d))
     kept: list = []
+    near: dict[int, list] = defaultdict(list)
     for row in sorted(rows, key=lambda r: (-r[2], -r[1], r[0], r[3])):
-        if all(min(row[4], k[4]) - max(row[3], k[3]) <= (row[4] - row[3]) / 2 for k in kept):
+        blocks = range(row[3] >> 6, (row[4] >> 6) + 1)
+        others = (k for block in blocks for k in near[block])
+        if all(min(row[4], k[4]) - max(row[3], k[3]) <= (row[4] - row[3]) / 2 for k in others):
             kept.append(row)
+            for block in blocks:
+                near[block].append(row)
     return sorted(kept, key=lambda r: (r[3], r[0], r[4]))
 
 

@@ -332,6 +332,18 @@ def test_license_places_and_odd_rows(spark, odd, empty):
     assert license_scan.scan(odd).count() == 0 == license_scan.scan(empty).count()
 
 
+def test_license_copies_next_to_each_other(spark):
+    names = sorted(license_scan.TEMPLATES)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rows = [(i, " ".join([license_scan.TEMPLATES[name]] * 40)) for i, name in enumerate(names)]
+    got = {i: [] for i in range(len(names))}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["id"]].append((r["license"], r["start_word"], r["end_word"], r["coverage"]))
+    for i, name in enumerate(names):
+        size = len(index.words[index.names.index(name)])
+        assert sorted(got[i], key=lambda r: r[1]) == [(name, k * size, (k + 1) * size, 1.0) for k in range(40)]
+
+
 # vectors
 
 
