@@ -1,12 +1,13 @@
-"""License notices in whole texts: winnowed fingerprints find candidates, alignment confirms them.
+"""License notices in whole texts: an index of rare words finds candidates, alignment confirms them.
 
-Words are runs of letters and digits, lowered. Fingerprints are hashes of ``GRAM`` words, of
-which winnowing keeps the least of every ``WINDOW`` neighbours, in templates and texts alike, so
-any ``GRAM + WINDOW - 1`` words they share share a fingerprint. An inverted index from
-fingerprint to template and place (its size is that of the templates) turns the fingerprints of a
-text into stretches that may hold the template, and a local alignment of each (match 2, other -1)
-gives the words matched in order. What is left before and after a place is aligned again until
-nothing reaches the limit, so copies may follow each other directly.
+Words are runs of letters and digits, lowered. Of the words of a template the commonest are left
+out, though fewer than a place may lack, so every place above the limit holds some of the others:
+as many as the limit asks, less those left out. An inverted index from these words to their
+templates (its size is that of the templates) gives the stretches of a text that hold so many of
+them as near to each other as one place can have them. No place above the limit is missed, however
+its changed words lie. A local alignment of each stretch (match 2, other -1) gives the words matched
+in order. What is left before and after a place is aligned again until nothing reaches the limit,
+so copies may follow each other directly.
 
 A row is reported per place where at least ``least`` of a template's words are matched: the
 license, coverage (matched words over the template's), and the words of text and template that
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.shared import batches
-from factspan.llm.words import hashed, plain, shingles, slices, split_words
+from factspan.llm.words import hashed, plain, slices, split_words
 
-GRAM = 3
-WINDOW = 2
-BAND = 6
 LEAST = 0.6
+# Words too common to look for, the commonest first.
+COMMON = (
+    "the of and to a in is for or this that with on by as be it are not you may any an at from but can all "
+    "under if will other use have has was which its no such must"
+).split()
 
 # Public license notices by their usual identifiers.
 TEMPLATES = {
@@ -80,42 +83,47 @@ TEMPLATES = {
 }
 
 
-def winnowed(grams: np.ndarray) -> np.ndarray:
-    """Places of the fingerprints kept: the least of every ``WINDOW`` neighbours, the last of equals."""
-    if len(grams) <= WINDOW:
-        return np.arange(len(grams))
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:, ::-1]
-    return np.unique(np.arange(len(views)) + WINDOW - 1 - views.argmin(axis=1))
-
-
 class Index:
-    """Templates as word hashes, and where each kept fingerprint stands in them."""
+    """Templates as word hashes, and which of them hold each word that is looked for."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = LEAST):
         self.names = sorted(templates)
         words, bounds = split_words(plain(pa.array([templates[n] for n in self.names], pa.string())))
         hashes = hashed(words)
         if max(np.diff(bounds), default=0) > LONGEST:
             raise ValueError(f"a template has more than {LONGEST} words")
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, own in enumerate(self.words):
-            grams = shingles(own, GRAM)
-            for at in winnowed(grams):
-                self.places[int(grams[at])].append((t, int(at)))
-        self.known = np.array(sorted(self.places), np.uint64)
+        self.needs = [max(1, math.ceil(least * len(own))) for own in self.words]
+        self.rare = []  # words of a template's looked for that every place holds at least
+        holders: dict[int, list[int]] = defaultdict(list)
+        common = hashed(pa.array(COMMON)).tolist()
+        for t, (own, need) in enumerate(zip(self.words, self.needs, strict=True)):
+            looked, spare = set(own.tolist()), need - 1
+            for word in common:
+                count = int((own == word).sum())
+                if 0 < count <= spare:
+                    looked.discard(word)
+                    spare -= count
+            self.rare.append(spare + 1)
+            for word in looked:
+                holders[word].append(t)
+        self.known = np.array(sorted(holders), np.uint64)
+        self.holders = np.array([t for w in self.known.tolist() for t in holders[w]], np.int64)
+        self.bounds = np.cumsum([0, *(len(holders[w]) for w in self.known.tolist())])
         self.screen = np.zeros(1 << 16, bool)
         self.screen[self.known & np.uint64(0xFFFF)] = True
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Places of ``grams`` that are fingerprints of a template."""
-        near = np.flatnonzero(self.screen[grams & np.uint64(0xFFFF)])
-        return near[np.isin(grams[near], self.known)]
-
-
-def band(template: np.ndarray) -> int:
-    """Words that may be added or missing between two matches of a template."""
-    return BAND + len(template) // 8
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, place) of every word that is looked for, in order."""
+        near = np.flatnonzero(self.screen[words & np.uint64(0xFFFF)])
+        near = near[np.isin(words[near], self.known)]
+        at = np.searchsorted(self.known, words[near])
+        counts = self.bounds[at + 1] - self.bounds[at]
+        before = np.cumsum(counts) - counts
+        templates = self.holders[np.arange(counts.sum()) + np.repeat(self.bounds[at] - before, counts)]
+        places = np.repeat(near, counts)
+        order = np.lexsort((places, templates))
+        return templates[order], places[order]
 
 
 # One cell of the alignment in one number: score, words matched, and (turned, so that of equals the
@@ -188,29 +196,31 @@ def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(index: Index, grams: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(template, first word, last word) of the stretches that hold its hits."""
+def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(template, first word, last word) of the stretches that can hold a place.
+
+    An alignment that starts anew where its score is used up skips at most twice the words it
+    matches, so it spans at most three times its template.
+    """
+    templates, at = index.hits(words)
+    last = np.arange(len(at)) + np.array(index.rare, np.int64)[templates] - 1
+    spans = 3 * np.array([len(own) for own in index.words], np.int64)[templates]
+    inside = np.flatnonzero(last < len(at))
+    inside = inside[templates[last[inside]] == templates[inside]]
+    inside = inside[at[last[inside]] - at[inside] < spans[inside]]
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p in hits.tolist():
-        for t, at in index.places[int(grams[p])]:
-            size = len(index.words[t])
-            found[t].append((p - at - band(index.words[t]), p - at + size + band(index.words[t])))
+    for k in inside.tolist():
+        found[int(templates[k])].append((max(0, int(at[last[k]] - spans[k] + 1)), int(at[k] + spans[k])))
     for t, regions in found.items():
-        yield from ((t, max(0, start), stop) for start, stop in merged(regions))
+        yield from ((t, start, stop) for start, stop in merged(regions))
 
 
-def scan_text(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float, int, int, int, int, int]]:
+def scan_text(index: Index, words: np.ndarray) -> list[tuple[str, float, int, int, int, int, int]]:
     """(license, coverage, matched, text start and end, template start and end), words counted."""
-    grams = shingles(words, GRAM)
-    hits = index.hits(grams)
-    if not len(hits):
-        return []
-    hits = hits[np.isin(hits, winnowed(grams))]
     rows = []
-    for t, start, stop in candidates(index, grams, hits):
+    for t, start, stop in candidates(index, words):
         template = index.words[t]
-        need = max(1, math.ceil(least * len(template)))
-        for matched, a, b, c, d in places(template, words[start:stop], need):
+        for matched, a, b, c, d in places(template, words[start:stop], index.needs[t]):
             rows.append((index.names[t], matched / len(template), matched, start + a, start + b, c, d))
     kept: list = []
     near: dict[int, list] = defaultdict(list)
@@ -236,14 +246,14 @@ def scan(
     texts = templates or TEMPLATES
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        index = Index(texts, least)
         for batch in batches_:
             ids, rows = batch["id"].to_pylist(), []
             for start, part in slices(batch["text"]):
                 flat, bounds = split_words(plain(part))
                 words = hashed(flat)
                 for i in range(len(part)):
-                    found = scan_text(index, words[bounds[i] : bounds[i + 1]], least)
+                    found = scan_text(index, words[bounds[i] : bounds[i + 1]])
                     rows += [(ids[start + i], *r) for r in found]
             kinds = (pa.int64(), pa.string(), pa.float64(), *[pa.int32()] * 5)
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]

@@ -344,6 +344,30 @@ def test_license_copies_next_to_each_other(spark):
         assert sorted(got[i], key=lambda r: r[1]) == [(name, k * size, (k + 1) * size, 1.0) for k in range(40)]
 
 
+def test_license_places_with_any_words_changed(spark):
+    r = random.Random(10)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rows = [(0, "Released under an MIT License", "MIT", 4)]
+    for name, own in zip(index.names, index.words, strict=True):
+        notice = words.plain(pa.array([license_scan.TEMPLATES[name]]))[0].as_py().split()
+        least = -(-6 * len(own) // 10)
+        # from the second word on, as a changed end is outside the alignment; the last kind leaves no four in a row
+        kinds = [{k} for k in range(1, len(own) - 1)] if len(own) < 12 else [set(range(2, len(own) - 1, 3))]
+        kinds += [set(r.sample(range(1, len(own) - 1), (len(own) - least) // 2)) for _ in range(3)]
+        for changed in kinds:
+            text = " ".join("changed" if k in changed else w for k, w in enumerate(notice))
+            rows.append((len(rows), f"{invented(len(rows), 20)}\n{text}\n{invented(len(rows) + 900, 20)}", name, 0))
+    got = {}
+    for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, name string, n int")).collect():
+        got[x["id"]] = max(got.get(x["id"], 0), x["matched"])
+    assert got[0] == 4
+    for i, text, name, _ in rows[1:]:
+        template = index.words[index.names.index(name)]
+        matched, _ = whole_alignment(template, words.word_hashes(words.plain(pa.array([text])))[0])
+        assert matched >= 0.6 * len(template), name
+        assert got.get(i, 0) >= matched, (name, text)
+
+
 # vectors
 
 
