@@ -11,11 +11,13 @@ so copies may follow each other directly.
 
 A row is reported per place where at least ``least`` of a template's words are matched: the
 license, coverage (matched words over the template's), and the words of text and template that
-the alignment spans. Rows are found in one pass over the texts, without a shuffle.
+the alignment spans. Rows are found in one pass over the texts, without a shuffle. The words that
+tell variants and versions apart (BY, NC, ND, SA, the license's name, its number) must stand in the
+place without others between them; where they do not, the license is reported as ``unknown``.
 
 Defined cases: null and empty texts give no rows; a template found several times in a text gives
 a row for each place; of places that overlap by more than half, the one with the most words
-matched is reported (then the higher coverage, then the first name); repeated rows are scanned
+matched is reported (then one of a known license, the higher coverage, the first name); repeated rows are scanned
 each; a null id is reported as null.
 """
 
@@ -41,6 +43,49 @@ COMMON = (
 ).split()
 
 # Public license notices by their usual identifiers.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN "
+    "ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(license_: str, version: str, gone: str) -> str:
+    """The notice that the GNU licenses ask for, with the paragraph that names where the license is."""
+    return (
+        f"This program is free software{gone[0]} you can redistribute it and/or modify it under the terms of the {license_} as "
+        f"published by the Free Software Foundation{gone[1]} either version {version} of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"{license_} for more details. You should have received a copy of the {license_} along with this program{gone[2]}"
+    )
+
+
+_WEB = (":", ",", ". If not, see https://www.gnu.org/licenses/.")
+_POST = (";", ";", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")
+_CC = {
+    "BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-SA": "Attribution-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+}
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_VERSIONS = (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))
+
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -51,21 +96,39 @@ TEMPLATES = {
         "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
         "permissions and limitations under the License."
     ),
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
-        "GNU General Public License for more details."
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-2-Clause-text": _BSD + _BSD_END,
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "BSD-3-Clause-text": _BSD + _BSD_NAMES + _BSD_END,
+    **{f"CC-{k}-{v}": f"Licensed under CC {k} {v}." for k in _CC for v in ("3.0", "4.0")},
+    **{
+        f"CC-{k}-{v}-notice": f"This work is licensed under a Creative Commons {name} {v} {scope} License."
+        for k, name in _CC.items() for v, scope in (("3.0", "Unported"), ("4.0", "International"))
+    },
+    "CC0-1.0": "Licensed under CC0 1.0.",
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work under the Creative Commons CC0 1.0 Universal Public Domain Dedication."
     ),
-    "ISC": (
+    "EPL-2.0": "Licensed under the Eclipse Public License, version 2.0.",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    **{f"{k}-{v}": f"This work is licensed under the {_GNU[k]}, version {v.removesuffix('.0')}." for k, v in _VERSIONS},
+    **{
+        f"{k}-{v}-header": _gnu(_GNU[k], v.removesuffix(".0"), _POST if v < "3" else _WEB)
+        for k, v in _VERSIONS
+    },
+    "ISC": "Released under the ISC License.",
+    "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
@@ -74,20 +137,57 @@ TEMPLATES = {
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
         "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR '
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the "
+        "author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to "
+        'this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR '
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"
+    ),
 }
 
+# Words that tell a license from its kin. A place is given the name only where each stands as written.
+MARKS = {
+    **dict.fromkeys(("Apache-2.0", "Apache-2.0-header"), ("Apache License", "2.0")),
+    "BSD-2-Clause": ("BSD 2-Clause",),
+    "BSD-3-Clause": ("BSD 3-Clause",),
+    "BSD-3-Clause-text": ("neither the name",),
+    **{f"CC-{k}-{v}": (f"CC {k} {v}",) for k in _CC for v in ("3.0", "4.0")},
+    **{f"CC-{k}-{v}-notice": (f"Creative Commons {name} {v}",) for k, name in _CC.items() for v in ("3.0", "4.0")},
+    "CC0-1.0": ("CC0 1.0",),
+    "CC0-1.0-notice": ("CC0 1.0",),
+    "EPL-2.0": ("Eclipse Public License", "2.0"),
+    "EPL-2.0-header": ("Eclipse Public License", "2.0"),
+    **{f"{k}-{v}{end}": (_GNU[k], f"version {v.removesuffix('.0')}") for k, v in _VERSIONS for end in ("", "-header")},
+    "ISC": ("ISC",),
+    "MIT": ("MIT",),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+}
+UNKNOWN = "unknown"
+
 
 class Index:
     """Templates as word hashes, and which of them hold each word that is looked for."""
 
-    def __init__(self, templates: dict[str, str], least: float = LEAST):
+    def __init__(self, templates: dict[str, str], least: float = LEAST, marks: dict[str, tuple[str, ...]] | None = None):
         self.names = sorted(templates)
+        self.marks = [[hashed(split_words(plain(pa.array([m])))[0]) for m in (marks or {}).get(n, ())] for n in self.names]
         words, bounds = split_words(plain(pa.array([templates[n] for n in self.names], pa.string())))
         hashes = hashed(words)
         if max(np.diff(bounds), default=0) > LONGEST:
@@ -113,6 +213,16 @@ class Index:
         self.screen = np.zeros(1 << 16, bool)
         self.screen[self.known & np.uint64(0xFFFF)] = True
 
+    def name(self, template: int, words: np.ndarray) -> str:
+        """The license of a place with these words: unknown where words that tell it from its kin differ."""
+        for mark in self.marks[template]:
+            held = np.ones(max(0, len(words) - len(mark) + 1), bool)
+            for k, word in enumerate(mark):
+                held &= words[k : k + len(held)] == word
+            if not held.any():
+                return UNKNOWN
+        return self.names[template]
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(template, place) of every word that is looked for, in order."""
         near = np.flatnonzero(self.screen[words & np.uint64(0xFFFF)])
@@ -221,10 +331,11 @@ def scan_text(index: Index, words: np.ndarray) -> list[tuple[str, float, int, in
     for t, start, stop in candidates(index, words):
         template = index.words[t]
         for matched, a, b, c, d in places(template, words[start:stop], index.needs[t]):
-            rows.append((index.names[t], matched / len(template), matched, start + a, start + b, c, d))
+            name = index.name(t, words[start + a : start + b])
+            rows.append((name, matched / len(template), matched, start + a, start + b, c, d))
     kept: list = []
     near: dict[int, list] = defaultdict(list)
-    for row in sorted(rows, key=lambda r: (-r[2], -r[1], r[0], r[3])):
+    for row in sorted(rows, key=lambda r: (-r[2], r[0] == UNKNOWN, -r[1], r[0], r[3])):
         blocks = range(row[3] >> 6, (row[4] >> 6) + 1)
         others = (k for block in blocks for k in near[block])
         if all(min(row[4], k[4]) - max(row[3], k[3]) <= (row[4] - row[3]) / 2 for k in others):
@@ -243,10 +354,10 @@ def scan(
     text_column: str = "text",
 ) -> DataFrame:
     """(id, license, coverage, matched, start_word, end_word, template_start, template_end) per place found."""
-    texts = templates or TEMPLATES
+    texts, marks = (templates, None) if templates else (TEMPLATES, MARKS)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts, least)
+        index = Index(texts, least, marks)
         for batch in batches_:
             ids, rows = batch["id"].to_pylist(), []
             for start, part in slices(batch["text"]):

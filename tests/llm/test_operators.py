@@ -368,6 +368,29 @@ def test_license_places_with_any_words_changed(spark):
         assert got.get(i, 0) >= matched, (name, text)
 
 
+def test_licenses_are_not_taken_for_their_kin(spark):
+    want = {
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC-SA 3.0.": "CC-BY-NC-SA-3.0",
+        "Licensed under CC BY 2.0.": "unknown",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 1.": "unknown",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+        "Released under the Foo License.": "unknown",
+        "Licensed under CC0 1.0.": "CC0-1.0",
+        "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0",
+        "Licensed under the Apache License, Version 1.1.": "unknown",
+        license_scan.TEMPLATES["Unlicense"]: "Unlicense",
+        license_scan.TEMPLATES["BSD-2-Clause-text"]: "BSD-2-Clause-text",
+        license_scan.TEMPLATES["LGPL-2.1-header"]: "LGPL-2.1-header",
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = sorted((r["id"], r["license"]) for r in license_scan.scan(frame).collect())
+    assert got == list(enumerate(want.values()))
+
+
 # vectors
 
 
