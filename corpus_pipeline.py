@@ -13,7 +13,7 @@ from factspan.session import stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language. What has no letter, or fits no language, goes."""
     labelled = docs.where(bucket_of("doc_id", 3) != 1).selectExpr("doc_id as id", "text", "lang")
-    return language.accepted(docs, language.fit(labelled))
+    return language.accepted(docs, language.fit(labelled, profiled=True))
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

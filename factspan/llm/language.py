@@ -6,6 +6,11 @@ A text is its letters, lowered, with every other run as one gap; its features ar
 family votes between them. The machines are fitted in tasks, one each, on a bounded sample:
 at most ``per_language`` documents of a language (documented limit; all rows are predicted).
 
+The machines only tell the learned languages apart. Whether a text is in any of them is told by its
+evidence: the mean logarithm of its features' shares in the language where it is largest. Either half
+of the sample is judged by the other; what lies below the median by more than three times the way to
+the lowest hundredth is in no known language. Of fewer than ``FEW`` documents no limit can be learned.
+
 Defined cases: a null text, or one without letters, is ``und`` with score 0; so is every text
 when nothing could be learned. Of a language alone in its family the family decides. Equal votes
 go to the larger sum of margins, then to the name that sorts first. Rows without a label, or
@@ -30,6 +35,7 @@ UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
 PER_LANGUAGE = 500
 LEAST = 0.2
+FEW = 20
 
 # Languages by family. A language not named here is a family of its own.
 FAMILIES = {
@@ -89,6 +95,37 @@ def fit_machine(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarr
     return w
 
 
+def profile(rows: list[np.ndarray], values: list[np.ndarray], langs: list[str]) -> np.ndarray:
+    """Logarithms of every feature's share, a column per language."""
+    out = []
+    for lang in sorted(set(langs)):
+        own = [i for i, x in enumerate(langs) if x == lang]
+        sums = np.bincount(
+            np.concatenate([rows[i] for i in own]),
+            np.concatenate([values[i] for i in own]).astype(np.float64) ** 2, DIMENSIONS,
+        )
+        out.append(np.log((sums / len(own) + 0.05 / DIMENSIONS) / 1.05))
+    return np.stack(out, axis=1).astype(np.float32)
+
+
+def evidence(profiles: np.ndarray, where: np.ndarray, values: np.ndarray) -> float:
+    return float((values**2 @ profiles[where]).max())
+
+
+def least_evidence(rows: list[np.ndarray], values: list[np.ndarray], langs: list[str]) -> float:
+    """The evidence below which a text is in none of the languages; equal texts are in the same half."""
+    half = np.array([int(r.sum()) % 2 for r in rows])
+    if len(rows) < FEW or not 0 < half.sum() < len(rows):
+        return -np.inf
+    found: list[float] = []
+    for other in (0, 1):
+        learn = np.flatnonzero(half == other).tolist()
+        profiles = profile([rows[i] for i in learn], [values[i] for i in learn], [langs[i] for i in learn])
+        found += [evidence(profiles, rows[i], values[i]) for i in np.flatnonzero(half != other).tolist()]
+    low, middle = np.quantile(found, [0.01, 0.5])
+    return float(middle - 3 * (middle - low))
+
+
 def _squash(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-4 * np.clip(margin, -20, 20)))
 
@@ -103,11 +140,21 @@ class Model:
     families: tuple[tuple[str, tuple[str, ...]], ...]
     pairs: tuple[tuple[str, str], ...]
     weights: np.ndarray
+    profiles: np.ndarray | None = None
+    limit: float = -np.inf
+
+    def known(self, text: str | None, least: float) -> bool:
+        """Whether a text is in one of the languages, with a score of at least ``least``."""
+        found = features(text) if self.families else None
+        if found is None or (self.profiles is not None and evidence(self.profiles, *found) < self.limit):
+            return False
+        return self._told(found)[1] >= least
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = features(text) if self.families else None
-        if found is None:
-            return UNDETERMINED, 0.0
+        return (UNDETERMINED, 0.0) if found is None else self._told(found)
+
+    def _told(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
         where, values = found
         margins = values @ self.weights[where] + self.weights[-1]
         name, sure, first = 0, 1.0, 0
@@ -131,8 +178,8 @@ class Model:
         return best, float(sure * within)
 
 
-def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = 3) -> Model:
-    """Model from rows (id, text, lang)."""
+def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = 3, profiled: bool = False) -> Model:
+    """Model from rows (id, text, lang); ``profiled`` to learn what is in none of the languages as well."""
     known = labelled.where("id is not null and text is not null and lang is not null")
     chosen = bounded_sample(known, "lang", per_language, seed, "id").select("id", "text", "lang")
 
@@ -159,23 +206,33 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = 3)
     if len(families) > 1:
         tasks += [(langs, tuple(x for x in languages if x not in langs)) for _, langs in families]
     tasks += [((a,), (b,)) for a, b in pairs]
-    if not tasks:
+    if not tasks and not (profiled and languages):
         return Model(families, pairs, np.zeros((DIMENSIONS + 1, 0)))
 
     def train(group: pa.Table) -> pa.Table:
         machine = group["machine"][0].as_py()
         at, x = (group[c].combine_chunks() for c in ("at", "x"))
+        if machine < 0:
+            all_ = [v.values.to_numpy() for v in at], [v.values.to_numpy() for v in x], group["lang"].to_pylist()
+            w = np.append(profile(*all_).astype(np.float64), least_evidence(*all_))
+            return pa.table({"machine": pa.array([machine], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
         sign = group["sign"].to_numpy().astype(np.float64)
         w = fit_machine([v.values.to_numpy() for v in at], [v.values.to_numpy() for v in x], sign)
         return pa.table({"machine": pa.array([machine], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
     signs = sample.sparkSession.createDataFrame(
-        [(i, lang, s) for i, (yes, no) in enumerate(tasks) for langs, s in ((yes, 1), (no, -1)) for lang in langs],
+        [(i, lang, s) for i, (yes, no) in enumerate(tasks) for langs, s in ((yes, 1), (no, -1)) for lang in langs]
+        + [(-1, lang, 1) for lang in languages if profiled],
         "machine int, lang string, sign int",
     )
     fitted = sample.join(signs, "lang").groupBy("machine").applyInArrow(train, "machine int, w binary").collect()
-    weights = [np.frombuffer(r["w"]) for r in sorted(fitted, key=lambda r: r["machine"])]
-    return Model(families, pairs, np.stack(weights, axis=1).astype(np.float32))
+    got = {r["machine"]: np.frombuffer(r["w"]) for r in fitted}
+    last = got.pop(-1, None)
+    weights = np.stack([got[k] for k in sorted(got)], axis=1) if got else np.zeros((DIMENSIONS + 1, 0))
+    if last is None:
+        return Model(families, pairs, weights.astype(np.float32))
+    profiles = last[:-1].reshape(DIMENSIONS, -1).astype(np.float32)
+    return Model(families, pairs, weights.astype(np.float32), profiles, float(last[-1]))
 
 
 def predict(docs: DataFrame, model: Model, columns: dict[str, Column], schema: str) -> DataFrame:
@@ -196,12 +253,11 @@ def predict(docs: DataFrame, model: Model, columns: dict[str, Column], schema: s
 
 
 def accepted(docs: DataFrame, model: Model, *, least: float = LEAST, text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language, with a score of at least ``least``."""
+    """Rows of ``docs`` whose text is in a known language, with a score of at least ``least``."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            got = [model.predict(t.as_py()) for t in batch[text_column]]
-            yield batch.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+            yield batch.filter(pa.array([model.known(t.as_py(), least) for t in batch[text_column]], pa.bool_()))
 
     return batches(docs).mapInArrow(run, docs.schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -68,6 +70,26 @@ def test_filter_stages_keep_clean_documents(spark):
     assert clean.join(kept, "doc_id", "left_anti").count() <= 0.02 * clean.count()
 
 
+def test_language_stage_rejects_unknown_languages_and_noise(spark):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki",
+        " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(60)),
+        "".join(r.choice(letters + letters.upper() + "0123456789+/") for _ in range(600)),
+        "12 34 !!", "", None,
+    ]
+    docs = table(spark, SMALL, "documents")
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(planted, allowMissingColumns=True), SMALL)
+    assert sorted(x["doc_id"] for x in kept.select("doc_id").collect()) == sorted(
+        x["doc_id"] for x in docs.select("doc_id").collect()
+    )
+
+
 def test_pipeline_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     docs = table(spark, SMALL, "documents")
