@@ -45,6 +45,7 @@ from factspan.session import stage
 LENGTH = 1024
 WINDOW = 64 * LENGTH
 QUEUES = 4096
+OWN, OWN_NULL, SHARED = "own ", "null", "shared "
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -211,6 +212,37 @@ class Schedule:
             count -= take
 
 
+def shared(sums: DataFrame, weighted: list[str | None]) -> DataFrame:
+    """``sums`` with the queue of each source as ``merged``: its own for those weighted and the largest,
+    one by hash for the rest, half of ``QUEUES`` each."""
+    sizes = stage(sums.groupBy("queue").agg(F.sum("tokens").alias("size")), "source_sizes")
+    large = sizes.orderBy(F.desc("size"), F.col("queue").asc_nulls_last()).limit(QUEUES // 2).collect()
+    own = {r["queue"] for r in large} | set(weighted)
+    named = sums.sparkSession.createDataFrame([(n, True) for n in own], "q string, kept boolean")
+    by_hash = F.pmod(F.xxhash64("queue"), F.lit(QUEUES - QUEUES // 2)).cast("string")
+    merged = (
+        F.when(F.col("kept").isNull(), F.concat(F.lit(SHARED), by_hash))
+        .when(F.col("queue").isNull(), F.lit(OWN_NULL))
+        .otherwise(F.concat(F.lit(OWN), F.col("queue")))
+    )
+    return sums.join(named, F.col("queue").eqNullSafe(F.col("q")), "left").withColumn("merged", merged).drop("q", "kept")
+
+
+def interleaved(rows: DataFrame) -> DataFrame:
+    """(queue, part, before, first): where documents of sources that share a queue begin in it.
+
+    A source's documents lie in the queue as evenly as in the source: each stands at the share of its
+    source's tokens before it, plus a part of its own length drawn by the source's hash, so that
+    sources of few documents spread over the whole queue.
+    """
+    draw = F.pmod(F.xxhash64("queue", F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    size = F.sum("tokens").over(Window.partitionBy("merged", "queue"))
+    order = Window.partitionBy("merged").orderBy("at", F.col("queue").asc_nulls_last(), "first")
+    ahead = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    at = (F.col("first") + draw * F.col("tokens")) / size
+    return rows.withColumn("at", at).select("queue", "part", "before", F.coalesce(ahead, F.lit(0)).alias("first"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -226,31 +258,34 @@ def pack(
     """One row per piece: (id, start, length, ids_crc32, tokens, sequence_id, offset, source).
 
     ``weights`` name the sources' target proportions; a source they leave out, or all without
-    them, weighs its tokens. Beyond ``QUEUES`` sources several share a queue by hash, so the
-    schedule that every task holds stays small; no document is left out.
+    them, weighs its tokens. Beyond ``QUEUES`` sources, those with a weight and the largest keep
+    queues of their own; the small rest share queues by hash, which weigh what their sources weigh
+    together, so the schedule that every task holds stays small. Within a shared queue the documents
+    of its sources are interleaved (see ``interleaved``); no document is left out.
     """
     chosen = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source")
     )
     written = stage_small(tokenise(chosen, tokenizer, end), "tokens")
     sums = stage(written.groupBy("queue", "part").agg(F.sum("tokens").alias("tokens")), "token_sums")
-    if sums.select("queue").distinct().count() > QUEUES:
-        merged = F.concat(F.lit("queue "), F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))
+    many = sums.select("queue").distinct().count() > QUEUES
+    weight_of = {k: v for k, v in (weights or {}).items() if v}
+    if many:
+        sums = shared(sums, list(weight_of))
+        weight_of = {OWN_NULL if k is None else f"{OWN}{k}": v for k, v in weight_of.items()}
     else:
-        merged = F.col("queue")
-    # several sources of a queue follow each other within a part
-    within = Window.partitionBy("merged").orderBy("part", F.col("queue").asc_nulls_last())
+        sums = sums.withColumn("merged", F.col("queue"))
+    within = Window.partitionBy("queue").orderBy("part")
     offsets = stage(
-        sums.withColumn("merged", merged)
-        .withColumn("ahead", F.coalesce(F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        sums.withColumn("ahead", F.coalesce(F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select("merged", F.col("queue").alias("q"), F.col("part").alias("p"), "ahead"),
         "token_offsets",
     )
-    totals = {r["merged"]: r["tokens"] for r in sums.groupBy(merged.alias("merged")).agg(F.sum("tokens").alias("tokens")).collect()}
+    totals = {r["merged"]: r["tokens"] for r in sums.groupBy("merged").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals, key=lambda n: (n is None, n or ""))
     schedule_of = (
         [totals[n] for n in names],
-        [Fraction((weights or {}).get(n, 0)) or Fraction(totals[n]) for n in names],
+        [Fraction(weight_of.get(n, 0)) or Fraction(totals[n]) for n in names],
         window, length,
     )
     number = {n: i for i, n in enumerate(names)}
@@ -274,9 +309,13 @@ def pack(
                 names=["id", "start", "length", "ids_crc32", "tokens", "sequence_id", "offset", "source"],
             )
 
-    joined = written.join(offsets, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p"))).select(
-        "id", "queue", "merged", (F.col("ahead") + F.col("before")).alias("first"), "tokens", "ids"
-    )
+    same = F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p"))
+    joined = written.join(offsets, same).withColumn("first", F.col("ahead") + F.col("before")).drop("q", "p", "ahead")
+    if many:
+        rest = interleaved(joined.where(F.col("merged").startswith(SHARED)).drop("ids"))
+        placed = stage(rest, "token_places").withColumnsRenamed({"queue": "q", "part": "p", "before": "b", "first": "f"})
+        joined = joined.join(placed, same & (F.col("before") == F.col("b")), "left").withColumn("first", F.coalesce("f", "first"))
+    joined = joined.select("id", "queue", "merged", "first", "tokens", "ids")
     return batches(joined).mapInArrow(
         run,
         "id bigint, start bigint, length bigint, ids_crc32 bigint, tokens bigint, sequence_id bigint, offset bigint, source string",

@@ -544,6 +544,33 @@ def test_many_sources_share_queues(spark, monkeypatch):
     assert {r["id"] for r in rows} == set(range(80)) and {r["source"] for r in rows} == {f"s{i}" for i in range(11)}
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 6, "b": 2, "c": 2}])
+def test_mixture_holds_beyond_the_limit_of_queues(spark, monkeypatch, weights):
+    monkeypatch.setattr(packing, "QUEUES", 8)
+    names = ["a", "b", "c", None, *(f"s{k}" for k in range(40))]
+    docs = [doc(i, invented(i, 20 + i % 30), "abc"[i % 3] if i % 2 else names[i % len(names)]) for i in range(1600)]
+    frame = spark.createDataFrame(docs, DOCS).repartition(5, "source")  # a source lies in one part
+    rows = packing.pack(frame, TOKENIZER, weights=weights, window=1024, length=64).collect()
+    check_pieces(rows, 64)
+    totals, served = {}, {}
+    for r in rows:
+        totals[r["source"]] = totals.get(r["source"], 0) + r["length"]
+    given = {s: (weights or {}).get(s) or n for s, n in totals.items()}
+    windows = sum(totals.values()) // 1024 // 4
+    if weights:  # they are far below token counts, so the named sources come last
+        given_total = sum(given.values())
+        early = {s: windows * 1024 * given[s] / given_total for s in totals}
+    else:
+        early = {s: n * windows * 1024 / sum(totals.values()) for s, n in totals.items()}
+    for r in rows:
+        if r["sequence_id"] * 64 < windows * 1024:
+            served[r["source"]] = served.get(r["source"], 0) + r["length"]
+    longest = max(r["tokens"] for r in rows)
+    for s in totals:
+        slack = 64 if s in ("a", "b", "c") else 2 * longest
+        assert abs(served.get(s, 0) - early[s]) <= slack + 0.02 * early[s], s
+
+
 # quotation
 
 TALK = "conv_id long, turn long, role string, text string, level int, piece string"
