@@ -487,7 +487,7 @@ def table_checksum(df: DataFrame, ordinal: str, fan: int = 4096) -> DataFrame:
     return level.select(F.col("d").alias("sha256"))
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table of any size: row count and sum of row hashes."""
-    digest = F.xxhash64(*df.columns).cast("decimal(38,0)")
+def content_digest(df: DataFrame, row_hash: Column | None = None) -> DataFrame:
+    """Order-free digest of a table of any size: row count and sum of row hashes (``xxhash64`` by default)."""
+    digest = (F.xxhash64(*df.columns) if row_hash is None else row_hash).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(digest).alias("digest"))

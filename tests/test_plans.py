@@ -589,6 +589,23 @@ def test_checksum_follows_row_order_and_digest_does_not(spark):
         turned.select("v")).first()
 
 
+def test_digest_changes_with_any_column_of_a_row(spark):
+    from factspan.queries import QUERIES
+    from factspan.queries.jobs import text_hash
+
+    rows = [(i, f"v{i}", i / 4, datetime(2024, 1, 1 + i)) for i in range(9)]
+    schema = "i bigint, v string, x double, t timestamp"
+    changed = [(90, "v0", 0.0, rows[0][3]), (0, "w", 0.0, rows[0][3]), (0, "v0", 0.5, rows[0][3]), (0, None, 0.0, None)]
+    for row_hash in (lambda df: None, text_hash):
+        first, *others = (
+            files.content_digest(df, row_hash(df)).first()["digest"]
+            for df in (spark.createDataFrame([row, *rows[1:]], schema) for row in [rows[0], *changed])
+        )
+        assert len({first, *others}) == 5
+    plan = QUERIES["content_digest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" in plan
+
+
 def test_inventory(spark):
     def keys(*names):
         return spark.createDataFrame([(n,) for n in names], "key string")
