@@ -212,7 +212,14 @@ wide AS (SELECT l_returnflag AS table_id, CAST(l_quantity AS INTEGER) AS age,
 """
 
 
-def _wide(spark, sf_dir):
+WIDE_WHOLE = f"""
+wide AS (SELECT l_returnflag AS table_id, CAST(l_quantity AS INTEGER) AS age, round(avg(l_tax), 6) AS qx,
+    {', '.join(f'round(avg(l_discount) FILTER (WHERE l_linenumber = {n}), 6) AS f{n}' for n in range(1, 8))}
+  FROM lineitem GROUP BY 1, 2)
+"""
+
+
+def _wide(spark, sf_dir, lines=(1, 2, 3)):
     line = F.col("l_linenumber")
 
     def factor(n):
@@ -223,7 +230,7 @@ def _wide(spark, sf_dir):
         .groupBy(F.col("l_returnflag").alias("table_id"), F.col("l_quantity").cast("int").alias("age"))
         .agg(
             F.round(F.avg("l_tax"), 6).alias("qx"),
-            *[factor(n).alias(str(2020 + n)) for n in (1, 2, 3)],
+            *[factor(n).alias(str(2020 + n)) for n in lines],
         )
         .withColumn("sex", F.lit("male"))
     )
@@ -241,6 +248,18 @@ def improvement_long(spark, sf_dir):
     return finance.improvement_long(_wide(spark, sf_dir), [2021, 2022, 2023])
 
 
+@query(f"""
+WITH {WIDE_WHOLE}
+SELECT table_id, age, 'male' AS sex, 'regulatory_mortality_probability' AS variable, qx AS value,
+       CAST(NULL AS INTEGER) AS improvement_year FROM wide
+{' '.join(f"UNION ALL SELECT table_id, age, 'male', 'regulatory_mortality_improvement_factor', f{n}, {2020 + n} FROM wide" for n in range(1, 8))}
+""")
+def improvement_long_whole(spark, sf_dir):
+    """Factors from every line number."""
+    lines = range(1, 8)
+    return finance.improvement_long(_wide(spark, sf_dir, lines), [2020 + n for n in lines])
+
+
 @query("""
 WITH cells AS (SELECT l_returnflag AS block, CAST(l_quantity AS INTEGER) AS age,
                       count(*) % 7 AS value FROM lineitem GROUP BY 1, 2),
@@ -449,9 +468,29 @@ SELECT o_orderpriority AS source_series_id, count(DISTINCT date_trunc('month', o
   AS facts FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1
 """)
 def normalise_market(spark, sf_dir):
+    return _priorities(spark, sf_dir, {"1-URGENT": YIELD, "2-HIGH": SWAP})
+
+
+@query("""
+SELECT o_orderpriority AS source_series_id, count(DISTINCT date_trunc('month', o_orderdate))
+  AS facts FROM orders GROUP BY 1
+""")
+def normalise_market_whole(spark, sf_dir):
+    """A series for every priority, of either kind in turn."""
+    found = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect()
+    names = sorted(r["o_orderpriority"] for r in found)
+    return _priorities(spark, sf_dir, {n: (YIELD, SWAP)[i % 2] for i, n in enumerate(names)})
+
+
+YIELD = ("benchmark_yield", "official_benchmark_yield", "bcp_benchmark_bond")
+SWAP = ("swap_fixed_rate", "official_swap_fixed_rate", "spc_nominal_fixed_swap")
+
+
+def _priorities(spark, sf_dir, names):
+    """Facts of the priorities named, each with its kind of series."""
     counted = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+        .where(F.col("o_orderpriority").isin(*names))
         .groupBy("o_orderpriority", F.trunc("o_orderdate", "MM").alias("observed_on"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -464,10 +503,6 @@ def normalise_market(spark, sf_dir):
         ),
         "observations",
     )
-    names = {
-        "1-URGENT": ("benchmark_yield", "official_benchmark_yield", "bcp_benchmark_bond"),
-        "2-HIGH": ("swap_fixed_rate", "official_swap_fixed_rate", "spc_nominal_fixed_swap"),
-    }
     specs = spark.createDataFrame(
         [(s, "MONTHLY", v, q, "percent", "1 / year", 5.0, "CLP", "nominal", i, None, None)
          for s, (q, v, i) in names.items()],

@@ -789,6 +789,26 @@ def allowed_combinations(spark, sf_dir):
     return reconcile.key_difference(seen, grid, ["a", "b"])
 
 
+@query("""
+WITH b AS (SELECT DISTINCT CASE WHEN p_size % 7 = 3 AND p_type = 'SMALL' THEN 6 ELSE p_size % 7 END AS a, p_type AS b
+      FROM part),
+g AS (SELECT a, b FROM (SELECT unnest(range(0, 6)) AS a), (SELECT DISTINCT p_type AS b FROM part))
+SELECT CAST(coalesce(b.a, g.a) AS BIGINT) AS a, coalesce(b.b, g.b) AS b,
+       CAST(CASE WHEN b.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_left,
+       CAST(CASE WHEN g.a IS NULL THEN 0 ELSE 1 END AS BIGINT) AS in_right
+FROM b FULL JOIN g ON b.a = g.a AND b.b = g.b WHERE b.a IS NULL OR g.a IS NULL
+""")
+def allowed_combinations_whole(spark, sf_dir):
+    """Combinations of every part against every allowed one; one is missing as its parts count as another."""
+    parts = table(spark, sf_dir, "part")
+    size = F.expr("CASE WHEN p_size % 7 = 3 AND p_type = 'SMALL' THEN 6 ELSE p_size % 7 END").cast("bigint")
+    seen = parts.select(size.alias("a"), F.col("p_type").alias("b")).distinct()
+    kinds = parts.select(F.col("p_type").alias("b")).distinct()
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))
+    grid = kinds.select(F.explode(steps).alias("a"), "b")
+    return reconcile.key_difference(seen, grid, ["a", "b"])
+
+
 @query("""
 SELECT o_orderpriority AS release_id, max(o_orderdate::DATE) AS available_at,
        min(o_orderdate::DATE) AS observation_start,

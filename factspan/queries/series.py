@@ -153,6 +153,24 @@ def grid_comparison(spark, sf_dir):
     return result.withColumn("relative_difference", F.round("relative_difference", 9))
 
 
+@query(f"""
+WITH {MONTHLY}
+SELECT a.l_returnflag || '-' || b.l_returnflag AS pair, max(abs(a.n - b.n)) AS max_difference,
+       greatest(max(a.n), max(b.n)) AS density_scale,
+       round(max(abs(a.n - b.n))::DOUBLE / greatest(max(a.n), max(b.n)), 9) AS relative_difference
+FROM monthly a JOIN monthly b ON a.t = b.t AND a.l_returnflag < b.l_returnflag GROUP BY 1
+""")
+def grid_comparison_pairs(spark, sf_dir):
+    """Every pair of flags."""
+    own = _grid(spark, sf_dir).select(F.col("l_returnflag").alias("flag"), "t", "n")
+    others = own.select(F.col("flag").alias("other")).distinct()
+    pair = lambda a, b: F.concat(a, F.lit("-"), b).alias("pair")
+    left = own.join(others, F.col("flag") < F.col("other")).select(pair("flag", "other"), "t", "n")
+    right = own.join(others, F.col("other") < F.col("flag")).select(pair("other", "flag"), "t", "n")
+    result = metrics.grid_difference(left, right, ["pair", "t"], ["pair"], "n")
+    return result.withColumn("relative_difference", F.round("relative_difference", 9))
+
+
 @query("""
 WITH points AS (SELECT event_type, epoch_us(ts) / 1000000.0::DOUBLE AS x, value AS y,
                        lag(epoch_us(ts) / 1000000.0::DOUBLE) OVER w AS px, lag(value) OVER w AS py
