@@ -9,9 +9,10 @@ Components become floor(256 * x) in double precision; products of such vectors a
 and exact in double precision up to 2 ** 53. A node is passed over only if its bound is below the
 kth score by more than the rounding of the bound, so ties are never lost.
 
-Defined cases: rows without id and vectors that are null, empty, of another length than most, or
-with null or non-finite components take no part; zero vectors do. Repeated ids count once with
-their best score. A query is no candidate of its own id. Ties go to the smaller id.
+Defined cases: rows without id and vectors that are null, empty, or with null or non-finite
+components take no part; zero vectors do. Vectors of different lengths have no product: each length
+is searched among its own. Repeated ids count once with their best score. A query is no candidate of
+its own id. Ties go to the smaller id. Products that may not be exact fail by name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.shared import in_shares
-from factspan.llm.vectors import best, hits_table, matrix, ranked, sound, split_group
+from factspan.llm.vectors import best, hits_table, matrix, ranked, sound, split_group, whole
 from factspan.session import stage
 
 SHARD_ROWS = 8192
@@ -106,14 +107,13 @@ def top_products(
     vector_column: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which ``asking`` holds over ``id``."""
-    scaled = sound(vectors, id_column, vector_column, nonzero=False).withColumn(
-        "v", F.transform("v", lambda x: F.floor(x.cast("double") * scale))
-    )
-    total = scaled.count()
-    shards = max(1, -(-total // SHARD_ROWS))
-    home = F.pmod(F.xxhash64("id", F.lit(19)), F.lit(shards))
-    rows = stage(scaled.distinct().withColumn("shard", home), "shards")
-    queries = rows.where(asking).select("id", "v", F.col("shard").alias("home"))
+    scaled = sound(vectors, id_column, vector_column, nonzero=False)
+    scaled = stage(scaled.select("id", whole(F.col("v"), scale).alias("v")).distinct().withColumn("n", F.size("v")), "scaled")
+    shards = scaled.groupBy("n").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))  # one row per length
+    name = lambda at: F.concat_ws(":", "n", at)
+    home = F.pmod(F.xxhash64("id", F.lit(19)), F.col("shards"))
+    rows = stage(scaled.join(shards, "n").withColumn("shard", name(home)), "shards")
+    queries = rows.where(asking).select("id", "v", "n", "shards", F.col("shard").alias("home"))
 
     def run(group: pa.Table) -> pa.Table:
         ask, own = split_group(group)
@@ -121,8 +121,10 @@ def top_products(
         if len(ask) and len(own):
             points, ids = matrix(own["v"]), own["id"].to_numpy()
             tree = BallTree.build(points)
-            floors = ask["floor"].to_pylist()
-            for query, id_, floor in zip(matrix(ask["v"]), ask["id"].to_pylist(), floors, strict=True):
+            floors, asked = ask["floor"].to_pylist(), matrix(ask["v"])
+            if np.abs(points).max() * np.abs(asked).sum(axis=1).max() >= 2.0**53:
+                raise OverflowError("ball tree: products of these vectors may be beyond 53 bits")
+            for query, id_, floor in zip(asked, ask["id"].to_pylist(), floors, strict=True):
                 got = tree.search(points, ids, query, id_, k, -np.inf if floor is None else float(floor))
                 names.append(np.full(len(got[0]), id_))
                 found.append(got[0])
@@ -140,6 +142,6 @@ def top_products(
     partners = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     kth = partners.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     known = queries.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    others = known.withColumn("shard", everywhere).where("shard <> home").select("shard", "id", "v", "floor")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+    others = known.withColumn("at", everywhere).withColumn("shard", name("at")).where("shard <> home").select("shard", "id", "v", "floor")
     return ranked(first.unionAll(search(others)), k)

@@ -14,13 +14,15 @@ the queries, so a vector that fills a third of the table fills many blocks, not
 region of a query's nearest list is read first, and the others return only what reaches the kth
 score found there. Scores are inner products of the original vectors in double precision.
 
-Defined cases: rows without id, and vectors that are null, empty, all zero, of another length
-than most, or with null or non-finite components take no part. Repeated ids count once, with
-their best score. A query is no candidate of its own id. Ties go to the smaller id.
+Defined cases: rows without id, and vectors that are null, empty, all zero, or with null or
+non-finite components take no part. Vectors of different lengths have no product: each length has
+an index of its own. Repeated ids count once, with their best score. A query is no candidate of its
+own id. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -185,11 +187,22 @@ def nearest(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows for which ``asking`` holds over ``id``."""
-    rows = stage(sound(vectors, id_column, vector_column, nonzero=True), "vectors")
-    total = rows.count()
-    if not total:
+    """(query_id, rank, vec_id, score) of the rows for which ``asking`` holds over ``id``.
+
+    Each length of vector is an index of its own, as the rows of a table are of one length or a few.
+    """
+    known = stage(sound(vectors, id_column, vector_column, nonzero=True), "vectors")
+    lengths = sorted(r["n"] for r in known.select(F.size("v").alias("n")).distinct().collect())
+    found = [_nearest(known.where(F.size("v") == n), asking, k, ratio, spread, copies, seed) for n in lengths]
+    if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _nearest(
+    rows: DataFrame, asking: Column, k: int, ratio: float, spread: float, copies: int, seed: int
+) -> DataFrame:
+    total = rows.count()
     graph = fit(rows, total, seed)
     lists = len(graph.centroids)
     regions = max(1, min(lists, -(-total * copies // (2 * REGION_ROWS))))

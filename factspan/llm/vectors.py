@@ -7,23 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sound(df: DataFrame, id_column: str, vector_column: str, nonzero: bool) -> DataFrame:
-    """(id, v) of the rows with an id whose vectors take part.
+def takes_part(vector: Column, nonzero: bool = False) -> Column:
+    """Whether a vector has components, none of them null, NaN or infinite, and (``nonzero``) not only zeros."""
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    some = F.exists(vector, lambda x: x != 0) if nonzero else F.lit(True)
+    return F.coalesce((F.size(vector) > 0) & whole & some, F.lit(False))
+
 
-    Vectors that are null or empty, hold a null, NaN or infinite component, or (``nonzero``) only
-    zeros are left out, and so are those of another length than most (the longer on a tie).
-    """
+def sound(df: DataFrame, id_column: str, vector_column: str, nonzero: bool) -> DataFrame:
+    """(id, v) of the rows with an id whose vectors take part, of any length."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & whole)
-    if nonzero:
-        rows = rows.where(F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    return rows.join(F.broadcast(lengths.select("n")), F.size("v") == F.col("n")).drop("n")  # one row
+    return rows.where(F.col("id").isNotNull() & takes_part(F.col("v"), nonzero))
+
+
+def whole(vector: Column, scale: int) -> Column:
+    """Components as floor(scale * x); one that 64 bits cannot hold fails by name."""
+
+    def one(x: Column) -> Column:
+        large = F.raise_error(F.lit("a scaled vector component is beyond 64 bits")).cast("bigint")
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**62, F.floor(scaled)).otherwise(large)
+
+    return F.transform(vector, one)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float64) -> np.ndarray:
