@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from factspan.llm import (
     exact_search,
+    hard_negatives,
     language,
+    lexicon_prints,
     license_scan,
     mixing,
     near_dedup,
     neighbours,
     packing,
+    periods,
     quotation,
     toxicity,
     training_order,
@@ -81,11 +84,55 @@ def op10_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lexicon_prints.with_next(docs, lexicon_prints.lexicon(docs)).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
+def repeated_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten, by the crc32 of its id, the words from place ``a`` on
+    repeat those of one period; all other texts are as they were."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.floor(h / 10).alias("g"), words.alias("w"))
+    n = F.size("w").cast("long")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    rest = (n - F.col("a")).cast("int")
+    root = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(root, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    edited = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(edited).alias("text"))
+
+
+def op12_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse(repeated_periods(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), F.lit(""))
+    best = periods.strongest(F.col("runs"))
+    rows = found.select("id", "runs", "collapsed", lines.alias("lines"), best.alias("best"))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_min_max_near_dedup, op2_training_order, op3_language_family, op4_ftrl_toxicity, op5_license_scan,
         op6_posting_lists, op7_ball_tree, op8_mixture_packing, op9_quotation_linking, op10_capped_water_filling,
+        op11_i_match, op12_synchronising_runs, op13_kronecker_negatives,
     )
 }
 
@@ -201,5 +248,62 @@ weighed AS (
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM running
+""",
+    "op12_synchronising_runs": r"""
+WITH bits AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS e
+  FROM documents
+), hashed AS (
+  SELECT doc_id, w, len(w)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, e), lambda c, b: CASE
+    WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS h FROM bits
+), placed AS (
+  SELECT doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS parts FROM hashed
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END] AS t
+  FROM placed, unnest(range(n)) AS u(i)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.t = y.t AND x.i < y.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS r FROM runs
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS s FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  floor(1000 * length / period)::BIGINT AS exponent_milli, sha256(coalesce(told.s, '')) AS runs_sha256,
+  sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (doc_id)
+""",
+    "op13_kronecker_negatives": """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS MATERIALIZED (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.z, c.z)::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z) WHERE q.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), held AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS r
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM held WHERE r <= 3
 """,
 }

@@ -19,6 +19,9 @@ COLUMNS = {
     "op7": {"query_id", "rank", "vec_id", "score"},
     "op8": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op10": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "op12": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
 }
 
 
@@ -27,7 +30,7 @@ def test_query_has_its_columns_and_rows(spark, name):
     rows = QUERIES[name](spark, SMALL)
     assert COLUMNS.get(name.split("_")[0], set()) <= set(rows.columns)
     found = rows.collect()
-    if name.split("_")[0] in ("op1", "op3", "op4", "op10"):
+    if name.split("_")[0] in ("op1", "op3", "op4", "op10", "op11", "op12"):
         docs = [r["doc_id"] for r in table(spark, SMALL, "documents").select("doc_id").collect()]
         assert sorted(r["doc_id"] for r in found) == sorted(docs)
 
