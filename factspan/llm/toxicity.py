@@ -2,9 +2,12 @@
 
 Words here are runs of letters and digits, lowered. A text's features are which words, words cut
 to four letters (for inflected forms), pairs of neighbours, and pairs with one or two words
-between them occur in it, hashed to ``DIMENSIONS`` places. Every coordinate has its own learning rate and an L1 threshold, so few weights differ
-from zero; only those travel to the tasks. The learner reads a bounded sample, at most
-``per_label`` rows of either label (documented limit), each weighted by the rows it stands for.
+between them occur in it, hashed to ``DIMENSIONS`` places. Every coordinate has its own learning
+rate and an L1 threshold, so few weights differ from zero; only those travel to the tasks. A feature
+enters with a value in proportion to how surely its shares among the two labels differ (their
+difference over its standard error), so what occurs by chance in a small sample stays below the
+threshold and a rare word needs more rows than a telling one. The learner reads a bounded sample, at
+most ``per_label`` rows of either label (documented limit), each weighted by the rows it stands for.
 
 Defined cases: a null or wordless text gets the score of no evidence (the bias alone). Rows with
 a null id or label, or a label other than 0 and 1, teach nothing; several labels of one document
@@ -86,14 +89,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
+def values(rows: list[np.ndarray], labels: np.ndarray, *, unit: float = 4.0, most: float = 3.0) -> np.ndarray:
+    """Value of every place: the standard errors by which its shares among the labels differ, in ``unit``s."""
+    held = np.zeros((2, DIMENSIONS))
+    for at, label in zip(rows, labels, strict=True):
+        held[int(label), at] += 1
+    clean, toxic = np.maximum(1, np.sum(labels == 0)), np.maximum(1, np.sum(labels == 1))
+    share = held.sum(axis=0) / max(1, len(rows))
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / clean + 1 / toxic))
+    return np.minimum(np.abs(held[1] / toxic - held[0] / clean) / error / unit, most)
+
+
 def ftrl(
     rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, *, seed: int = 5, epochs: int = 4,
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0,
+    alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0,
 ) -> Model:
     """FTRL-proximal over the rows in seeded orders; the bias carries no L1."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     threshold = np.full(DIMENSIONS + 1, l1)
     threshold[-1] = 0.0
+    value = np.append(values(rows, labels), 1.0)
 
     def weights(at: np.ndarray) -> np.ndarray:
         held = z[at]
@@ -104,13 +119,13 @@ def ftrl(
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
             at = np.append(rows[i], DIMENSIONS)
-            w = weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = (p - labels[i]) * importance[i]
+            w, x = weights(at), value[at]
+            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+            g = (p - labels[i]) * importance[i] * x
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - rate * w
             n[at] += g * g
-    final = weights(np.arange(DIMENSIONS + 1))
+    final = weights(np.arange(DIMENSIONS + 1)) * value
     places = np.flatnonzero(final[:-1])
     return Model(places.astype(np.int32), final[places].astype(np.float32), float(final[-1]))
 
