@@ -13,23 +13,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from factspan.operators import release_log
+from factspan.operators.reconcile import null_safe_join
 from factspan.operators.rules import ContractViolation, enforce_each, require_schema
 
 
-def _falling(value: Column, kind: T.DataType) -> Column:
-    """An expression that sorts exactly the other way round."""
-    if isinstance(kind, T.IntegralType):
-        return F.bitwise_not(value)
-    if isinstance(kind, T.StringType):
-        # reversed hex digits; the closing mark puts a prefix after its extensions
-        digits = F.translate(
-            F.hex(F.encode(value, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"
-        )
-        return F.concat(digits, F.lit("~"))
-    raise TypeError("observation ids are text or integers")
-
-
 def _instant(as_of: datetime | str | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
@@ -41,24 +31,22 @@ def newest_states(
     clock: str = "available_at",
     observation: str = "observation_id",
 ) -> DataFrame:
-    """Newest known state of every fact with an ``ambiguous`` flag, in one shuffle.
+    """Newest known state of every fact with an ``ambiguous`` flag.
 
-    Rows known at ``as_of`` (inclusive) are combined with ``max_by``. Two aggregates run
-    the same comparison with the observation id rising and falling; they disagree exactly
-    when several observations share the newest clock.
+    The newest clock per fact has a fixed width, so it is found by hashing in the map tasks from
+    two columns, whatever else a row holds. One null-safe join fetches the rows that hold it. Only
+    those are compared by observation id: the greatest is returned (once, if repeated), and the fact
+    is ambiguous if there are several.
     """
-    kind = history.schema[observation].dataType
-    rest = [c for c in history.columns if c not in fact]
     known = history.where(F.col(clock) <= _instant(as_of))
-    falling = _falling(F.col(observation), kind)
-    grouped = known.groupBy(*fact).agg(
-        F.max_by(F.struct(*rest), F.struct(clock, observation)).alias("top"),
-        F.max(F.struct(F.col(clock).alias("c"), falling.alias("o"))).alias("low"),
-    )
-    ambiguous = _falling(F.col(f"top.{observation}"), kind) != F.col("low.o")
-    return grouped.select(
-        *[F.col(c) if c in fact else F.col(f"top.{c}").alias(c) for c in history.columns],
-        ambiguous.alias("ambiguous"),
+    newest = known.groupBy(*fact).agg(F.max(clock).alias(clock))
+    rows = null_safe_join(known, newest, [*fact, clock]).distinct()
+    states = Window.partitionBy(*fact)
+    ambiguous = F.min(observation).over(states) != F.max(observation).over(states)
+    place = F.row_number().over(states.orderBy(F.desc(observation)))
+    return (
+        rows.select(*history.columns, ambiguous.alias("ambiguous"), place.alias("__place"))
+        .where("__place = 1").drop("__place")
     )
 
 
@@ -141,31 +129,44 @@ def strict_union(*frames: DataFrame) -> DataFrame:
     return first
 
 
+def content_digests(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit digests of some columns, which tell nulls and their places apart."""
+    cells, missing = [], []
+    for name in columns:
+        nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+        cells.append(F.to_json(F.struct(name), {"ignoreNullFields": "false"}) if nested else F.col(name))
+        missing.append(F.col(name).isNull())
+    return [F.xxhash64(F.lit(seed), *missing, *cells) for seed in (1, 2)]
+
+
+_APART = "min(d1) <> max(d1) OR min(d2) <> max(d2)"
+
+
 def inconsistent(df: DataFrame, identifier: str, payload: Sequence[str]) -> DataFrame:
     """Identifiers that stand for more than one payload.
 
-    The smallest and greatest payload differ exactly when there are two, so the check
-    combines in the map tasks and needs no distinct set per identifier.
+    The least and greatest digests of the payload differ exactly when there are two (payloads that
+    agree in both 64-bit digests aside), so the check hashes in the map tasks and needs neither a
+    sort of whole rows nor a distinct set per identifier.
     """
-    content = F.struct(*payload)
-    return (
-        df.groupBy(identifier)
-        .agg(F.min(content).alias("low"), F.max(content).alias("high"))
-        .where(~F.col("low").eqNullSafe(F.col("high")))
-        .select(identifier)
-    )
+    one, two = content_digests(df, payload)
+    marked = df.select(identifier, one.alias("d1"), two.alias("d2"))
+    return marked.groupBy(identifier).agg(F.expr(_APART).alias("apart")).where("apart").select(identifier)
 
 
 def history_conflicts(history: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Observation ids with two contents, and fact ids with two keys."""
+    """Observation ids with two contents, and fact ids with two keys, in one scan."""
     rest = [c for c in history.columns if c != "observation_id"]
-    observations = inconsistent(history, "observation_id", rest).select(
-        F.lit("observation_id").alias("conflict"), F.col("observation_id").alias("id")
-    )
-    facts = inconsistent(history, "fact_id", key).select(
-        F.lit("fact_id").alias("conflict"), F.col("fact_id").alias("id")
-    )
-    return observations.unionAll(facts)
+    kinds = {history.schema[c].dataType.simpleString() for c in ("observation_id", "fact_id")}
+    as_one = (lambda c: F.col(c)) if len(kinds) == 1 else (lambda c: F.col(c).cast("string"))
+    sides = []
+    for identifier, payload in (("observation_id", rest), ("fact_id", key)):
+        one, two = content_digests(history, payload)
+        sides.append(
+            F.struct(F.lit(identifier).alias("conflict"), as_one(identifier).alias("id"), one.alias("d1"), two.alias("d2"))
+        )
+    marked = history.select(F.explode(F.array(*sides)).alias("m")).select("m.*")
+    return marked.groupBy("conflict", "id").agg(F.expr(_APART).alias("apart")).where("apart").select("conflict", "id")
 
 
 def merge_identities(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -176,35 +177,24 @@ def merge_identities(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def append_release(batch: DataFrame, path: str) -> None:
-    """Add a batch to a history table laid out by domain and release.
+    """Add a batch to a history table; see ``release_log.append``.
 
     Observations that their release already holds are skipped, so a retried append adds nothing,
-    and a release may come in several parts.
+    a release may come in several parts, and what a killed append wrote is never read.
     """
-    spark = batch.sparkSession
-    fresh = batch
-    if _exists(spark, path):
-        held = read_history(spark, path, batch.schema, batch.select("release_id").distinct())
-        seen = held.select("release_id", "observation_id")
-        fresh = batch.join(seen, ["release_id", "observation_id"], "left_anti").select(*batch.columns)
-    fresh.write.mode("append").partitionBy("domain", "release_id").parquet(path)
+    release_log.append(batch, path)
 
 
 def read_history(
-    spark: SparkSession, path: str, schema: T.StructType, releases: DataFrame | None = None
+    spark: SparkSession, path: str, schema: T.StructType, releases: DataFrame | None = None, upto: int | None = None
 ) -> DataFrame:
-    """History table; ``releases`` limits the scan to their partitions."""
-    history = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    """History table, of all commits or up to one; ``releases`` limits the scan to their partitions."""
+    history = release_log.read(spark, path, schema, upto)
     if releases is not None:
         history = history.join(releases.select("release_id"), "release_id", "left_semi")
     return history.select(*schema.fieldNames())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def create_history(batches: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Several one-release batches as one history; conflicting content is an error."""
     history = strict_union(*batches)

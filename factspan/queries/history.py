@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.operators import history
+from factspan.operators import history, release_log
 from factspan.queries.base import ntz, query, rounded, table
+from factspan.session import new_path
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -17,6 +18,20 @@ def revisions(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT user_id, event_type, event_id, ts + to_microseconds(event_id) AS available_at, value FROM events
+WHERE ts + to_microseconds(event_id) <= TIMESTAMP '{AS_OF}'
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts + to_microseconds(event_id) DESC) = 1
+""")
+def latest_as_of(spark, sf_dir):
+    # a clock that no two events share: a tie would fail the query
+    later = F.expr("timestampadd(MICROSECOND, event_id, available_at)")
+    return history.latest_as_of(
+        revisions(spark, sf_dir).withColumn("available_at", later),
+        ntz(AS_OF), ("user_id", "event_type"), "available_at", "event_id",
+    )
+
+
 @query(f"""
 WITH known AS (SELECT user_id, event_type, event_id, ts AS available_at, value,
                       rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r
@@ -25,7 +40,7 @@ SELECT user_id, event_type, max(event_id) AS event_id, max(available_at) AS avai
        arg_max(value, event_id) AS value, count(DISTINCT event_id) > 1 AS ambiguous
 FROM known WHERE r = 1 GROUP BY user_id, event_type
 """)
-def latest_as_of(spark, sf_dir):
+def newest_states(spark, sf_dir):
     return history.newest_states(
         revisions(spark, sf_dir), ntz(AS_OF), ("user_id", "event_type"), "available_at", "event_id"
     )
@@ -134,3 +149,69 @@ def strict_union(spark, sf_dir):
     turned = events.where("event_type = 'error'").withColumn("value", -F.col("value"))
     both = history.strict_union(kept, turned)
     return both.groupBy("user_id", "event_type").agg(rounded(F.sum("value"), 4).alias("value"))
+
+
+# --- a history written out in releases and read back ----------------------------
+
+
+def event_history(spark, sf_dir) -> DataFrame:
+    """Every event as a state of the fact (user, type), one release per day."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("events").alias("domain"),
+        F.date_format("ts", "yyyy-MM-dd").alias("release_id"),
+        F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("observation_id"),
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("fact_id"),
+        F.expr("timestampadd(MICROSECOND, event_id, ts)").alias("available_at"),
+        "value",
+    )
+
+
+def written_history(spark, sf_dir) -> tuple[str, DataFrame]:
+    """The history appended in two parts, the first of them twice, and one append that was killed."""
+    path, rows = new_path(spark, "release-log"), event_history(spark, sf_dir)
+    first = F.pmod(F.xxhash64("observation_id"), F.lit(2)) == 0
+    for part in (rows.where(first), rows.where(first), rows.where(~first)):
+        history.append_release(part, path)
+    changed = rows.withColumn("value", F.col("value") + 1).withColumn("observation_id", F.concat("observation_id", F.lit("x")))
+    changed.write.partitionBy(*release_log.LAYOUT).parquet(release_log.folder(path, "killed"))
+    return path, rows
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%d') AS release_id, count(*) AS states, count(DISTINCT (user_id, event_type)) AS facts,
+       round(sum(value), 4) AS value, max(ts + to_microseconds(event_id)) AS available_at
+FROM events GROUP BY 1
+""")
+def release_log_totals(spark, sf_dir):
+    path, rows = written_history(spark, sf_dir)
+    return history.read_history(spark, path, rows.schema).groupBy("release_id").agg(
+        F.count(F.lit(1)).alias("states"), F.count_distinct("fact_id").alias("facts"),
+        rounded(F.sum("value"), 4).alias("value"), F.max("available_at").alias("available_at"),
+    )
+
+
+@query(f"""
+WITH states AS (SELECT user_id || '/' || event_type AS fact_id, 'o' || event_id AS observation_id,
+                       strftime(ts, '%Y-%m-%d') AS release_id, ts + to_microseconds(event_id) AS available_at FROM events)
+SELECT fact_id, observation_id, release_id, available_at FROM states WHERE available_at <= TIMESTAMP '{AS_OF}'
+QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY available_at DESC) = 1
+""")
+def release_log_as_of(spark, sf_dir):
+    path, rows = written_history(spark, sf_dir)
+    states = history.latest_as_of(history.read_history(spark, path, rows.schema), ntz(AS_OF))
+    return states.select("fact_id", "observation_id", "release_id", "available_at")
+
+
+@query(f"""
+WITH chosen AS (SELECT user_id || '/' || event_type AS fact_id, 'o' || event_id AS observation_id,
+                       strftime(ts, '%Y-%m-%d') AS release_id FROM events WHERE ts + to_microseconds(event_id) <= TIMESTAMP '{AS_OF}'
+                QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts + to_microseconds(event_id) DESC) = 1)
+SELECT fact_id AS id, 'fact' AS payload FROM chosen UNION SELECT observation_id, 'observation' FROM chosen
+UNION SELECT release_id, 'release' FROM chosen
+""")
+def selected_identities(spark, sf_dir):
+    rows = event_history(spark, sf_dir)
+    kinds = {"fact_id": "fact", "observation_id": "observation", "release_id": "release"}
+    records = [rows.select(F.col(c).alias("id"), F.lit(kind).alias("payload")) for c, kind in kinds.items()]
+    snapshot = history.merge_identities(records[0], history.strict_union(*records[1:]))
+    return history.minimal_identities(history.latest_as_of(rows, ntz(AS_OF)), snapshot)
