@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from factspan.functions.dates import in_interval
 from factspan.functions.numbers import choose, close_bin
+from factspan.operators import prefix
 from factspan.operators.reconcile import null_safe_join
 from factspan.operators.rules import enforce_each
 
@@ -73,25 +74,16 @@ def alias_as_of(
     aliases: DataFrame,
     entity: str = "entity_id",
     day: str = "day",
-    horizon: int = 2100,
 ) -> DataFrame:
     """Events joined with the alias of their entity that is valid on the event's day.
 
-    Join key is entity and year. Years beyond ``horizon`` share its bucket, so open
-    intervals stay short and every date is still exact. Reduce ``events`` to one row per
-    entity and day first when an entity has many.
+    An ordered merge of events and alias starts: every row is read once, an open interval costs one
+    row, and an entity with very many events lies in as many tasks as it needs. The intervals of an
+    entity do not overlap (``overlapping_bins`` and the alias rules check that); null entities are
+    equal.
     """
-    cap = lambda c: F.least(F.year(c), F.lit(horizon))
-    last = F.when(F.col("valid_end").isNull(), F.lit(horizon)).otherwise(
-        cap(F.date_sub("valid_end", 1))
-    )
-    cut = aliases.withColumn("__year", F.explode(F.sequence(cap(F.col("valid_start")), last)))
-    return (
-        events.withColumn("__year", cap(F.col(day)))
-        .join(cut, [entity, "__year"])
-        .where(in_interval(F.col(day), F.col("valid_start"), F.col("valid_end")))
-        .drop("__year")
-    )
+    merged = prefix.merge_as_of(events, aliases, [entity], day, "valid_start")
+    return merged.where(F.col("valid_end").isNull() | (F.col(day) < F.col("valid_end")))
 
 
 def rebin(

@@ -3,7 +3,7 @@
 Functions that use a window take a *grid table*: one row per (series, step), where the
 steps are calendar periods, ages or ordinals. Events are counted onto the grid first, so
 a window holds a calendar, never the events of a hot key. For series without such a grid
-``previous_row`` and ``archive_row_numbers`` work segment by segment.
+``previous_row``, ``trapezoid``, ``rolling_trend`` and ``archive_row_numbers`` work range by range.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
+from factspan.operators import prefix
 from factspan.operators.reconcile import null_safe_join
 from factspan.operators.rules import enforce_each
 
@@ -29,27 +30,16 @@ def previous_row(
     series: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
-    segment: Column,
+    segment: Column | None = None,
 ) -> DataFrame:
     """Columns of the preceding row of the series as ``previous`` (null on the first row).
 
-    ``segment`` must rise with the order (a day, a block). Rows are ordered within their
-    segment only; the last row of each segment is carried to the next non-empty one
-    through a table with one row per segment.
+    Rows are ordered within their segment only; the last row of each segment is carried to the next
+    non-empty one through a table with one row per segment. Without ``segment`` the rows are dealt
+    into ranges of (series, order); a given one must rise with the order (a day, a block).
     """
-    cut = df.withColumn("__segment", segment)
-    inside = Window.partitionBy(*series, "__segment").orderBy(*order)
-    carried = F.struct(*columns)
-    ends = cut.groupBy(*series, "__segment").agg(
-        F.max_by(carried, F.struct(*order)).alias("__last")
-    )
-    across = Window.partitionBy(*series).orderBy("__segment")
-    edges = ends.withColumn("__carried", F.lag("__last").over(across)).drop("__last")
-    return (
-        null_safe_join(cut.withColumn("__inside", F.lag(carried).over(inside)), edges, [*series, "__segment"])
-        .withColumn("previous", F.coalesce("__inside", "__carried"))
-        .drop("__segment", "__inside", "__carried")
-    )
+    cut = prefix.in_ranges(df, series, order) if segment is None else df.withColumn(prefix.SEGMENT, segment)
+    return prefix.carried_previous(cut, series, order, columns)
 
 
 def block_offsets(rows: DataFrame, archive: str, block: str, scan_order: str) -> DataFrame:
@@ -169,7 +159,7 @@ def trapezoid(
     order: Sequence[str],
     x: str,
     y: str,
-    segment: Column,
+    segment: Column | None = None,
 ) -> DataFrame:
     """Trapezoid integral of y over x per series, over any number of points."""
     linked = previous_row(df, series, order, [x, y], segment)
@@ -241,6 +231,34 @@ def rolling_origins(
     ).where(F.col("training_rows") >= minimum)
 
 
+def rolling_trend(
+    grid: DataFrame, series: Sequence[str], step: str, value: str, minimum: int = 8, parts: int | None = None
+) -> DataFrame:
+    """Straight-line trend of all steps before every origin, and its error at the origin.
+
+    Sums of n, t, t * t, y and t * y over the earlier steps come from one ordered pass over any
+    number of series of any length; they give slope, intercept and forecast in closed form. Steps
+    are counted from the first of their series. An origin needs ``minimum`` earlier steps (two at
+    least) that are not all the same; null values are not trained on and have no error.
+    """
+    if minimum < 2:
+        raise ValueError("a trend needs two earlier steps")
+    first = grid.groupBy(*series).agg(F.min(step).alias("__first"))
+    placed = null_safe_join(grid, first, list(series)).withColumn("__t", (F.col(step) - F.col("__first")).cast("double"))
+    placed = placed.select(*series, step, "__t", F.col(value).cast("double").alias("actual"))
+    y, t = F.col("actual"), F.when(F.col("actual").isNotNull(), F.col("__t"))
+    sums = {"n": t.isNotNull().cast("bigint"), "st": t, "stt": t * t, "sy": y, "sty": t * y}
+    past = prefix.sums_before(placed, series, [step], {f"__{name}": column for name, column in sums.items()}, parts)
+    n, st, stt, sy, sty = (F.col(f"__{name}") for name in sums)
+    spread = n * stt - st * st
+    slope = (n * sty - st * sy) / spread
+    rows = past.where((n >= minimum) & (spread > 0)).select(
+        *series, F.col(step).alias("origin"), n.alias("training_rows"), slope.alias("slope"),
+        ((sy - slope * st) / n + slope * F.col("__t")).alias("forecast"), "actual",
+    )
+    return rows.withColumn("error", F.col("actual") - F.col("forecast"))
+
+
 def series_bounds(df: DataFrame, series: Sequence[str], start: str, end: str) -> DataFrame:
     return df.groupBy(*series).agg(
         F.min(start).alias("first_observation"),

@@ -182,9 +182,7 @@ def trapezoid(spark, sf_dir):
     points = table(spark, sf_dir, "events").select(
         "event_type", "ts", "event_id", seconds.alias("x"), F.col("value").alias("y")
     )
-    result = series.trapezoid(
-        points, ["event_type"], ["ts", "event_id"], "x", "y", F.to_date("ts")
-    )
+    result = series.trapezoid(points, ["event_type"], ["ts", "event_id"], "x", "y")
     return result.withColumn("integral", F.round("integral", 0))
 
 
@@ -322,6 +320,25 @@ def rolling_origins(spark, sf_dir):
     return result.withColumn("training_mean", F.round("training_mean", 6))
 
 
+@query("""
+WITH grid AS (SELECT l_suppkey, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t, count(*) AS n
+              FROM lineitem GROUP BY 1, 2),
+past AS (SELECT l_suppkey, t, n, count(*) OVER w AS training_rows, regr_slope(n, t) OVER w AS slope,
+                regr_intercept(n, t) OVER w AS level
+         FROM grid WINDOW w AS (PARTITION BY l_suppkey ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT l_suppkey, t AS origin, training_rows, round(slope, 5) + 0.0 AS slope,
+       round(level + slope * t, 5) + 0.0 AS forecast, round(n - level - slope * t, 5) + 0.0 AS error
+FROM past WHERE training_rows >= 8
+""")
+def rolling_trend(spark, sf_dir):
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
+    grid = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", month.cast("bigint").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    result = series.rolling_trend(grid, ["l_suppkey"], "t", "n")
+    return result.select(
+        "l_suppkey", "origin", "training_rows", *[(F.round(c, 5) + 0.0).alias(c) for c in ("slope", "forecast", "error")]
+    )
+
+
 @query("""
 SELECT event_type, min(ts::DATE) AS first_observation, max(ts::DATE) AS last_observation,
        max(ts::DATE + 1) AS period_end FROM events GROUP BY 1
