@@ -1,19 +1,22 @@
 """Text expressions: folding, label parsing, code lookups.
 
-Everything here maps ``Column`` to ``Column`` and stays in the JVM, except ``nfc``.
+Everything here maps ``Column`` to ``Column`` and stays in the JVM, except ``nfc``, which
+``composed`` runs on distinct spellings only.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factspan.session import stage
+
 # fixed values: published region labels (folded) and their two-digit codes
 REGION_CODES = {
     "de tarapaca": "01",
@@ -376,3 +379,38 @@ def _entity_rut(raw: Column) -> Column:
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed Unicode form; the one text step Spark has no built-in for."""
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the text of ``columns`` in composed Unicode form.
+
+    Distinct spellings beyond ASCII are composed once, those that change are written as a small
+    table and joined back, so Python sees no row and no text twice; with none to change, the rows
+    are left as they are. The join is Spark's to plan by the size of that table.
+    """
+    texts = df.select(F.explode(F.array(*columns)).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]")).distinct()
+    changed = stage(texts.withColumn("composed", nfc("text")).where("text <> composed"), "composed")
+    if changed.isEmpty():
+        return df
+    for name in columns:
+        spelled = changed.select(F.col("text").alias("__text"), F.col("composed").alias("__composed"))
+        joined = df.join(spelled, F.col(name) == F.col("__text"), "left")
+        whole = F.coalesce("__composed", name)
+        df = joined.select(*[whole.alias(c) if c == name else F.col(c) for c in df.columns])
+    return df
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(lists: pd.Series) -> pd.Series:
+    one = lambda t: t if t is None else unicodedata.normalize("NFC", t)
+    return lists.map(lambda texts: None if texts is None else [one(t) for t in texts])
+
+
+def composed_map(mapping: Column) -> Column:
+    """Text-to-text map in composed form; two keys that compose to one fail the query."""
+    wide = lambda texts: F.exists(texts, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    form = lambda texts: F.coalesce(_nfc_each(F.when(wide(texts), texts)), texts)
+    keys, values = form(F.map_keys(mapping)), form(F.map_values(mapping))
+    message = F.lit("two keys of a mapping compose to one")
+    whole = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values))
+    return F.when(mapping.isNotNull(), whole.otherwise(F.raise_error(message).cast("map<string,string>")))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from factspan.contracts import UNIT_DIMENSION
 from factspan.functions.numbers import finite, known
+from factspan.operators import units
 from factspan.operators.reconcile import key_difference, null_safe_join
 from factspan.operators.rules import Rule, check_absent, check_constant, check_unique, enforce_each, report
 
@@ -49,12 +50,70 @@ def central_rate(deaths: DataFrame, exposure: DataFrame, dims: Sequence[str]) ->
     )
 
 
+def _typed(*surfaces: DataFrame) -> bool:
+    """Whether surfaces carry ``unit`` and ``population_basis``: all of them or none."""
+    held = {("unit" in s.columns, "population_basis" in s.columns) for s in surfaces}
+    if held == {(True, True)}:
+        return True
+    if held == {(False, False)}:
+        return False
+    raise ValueError("either all surfaces carry unit and population_basis, or none does")
+
+
+def _combined(
+    left: DataFrame, right: DataFrame, dims: Sequence[str], value: Column, unit: Column, holds: Column, message: str
+) -> DataFrame:
+    """Aligned surfaces with units: ``holds`` over left_unit and right_unit is checked on every row."""
+    pack = lambda s: s.select(*dims, F.struct("value", "unit", "population_basis").alias("value"))
+    both = aligned(pack(left), pack(right), dims, {"__l": F.col("left"), "__r": F.col("right")})
+    both = both.select(
+        *dims, F.col("__l.value").alias("left"), F.col("__r.value").alias("right"),
+        F.col("__l.unit").alias("left_unit"), F.col("__r.unit").alias("right_unit"),
+        F.col("__l.population_basis").alias("population_basis"), F.col("__r.population_basis").alias("__basis"),
+    )
+    both = enforce_each(both, F.col("population_basis") == F.col("__basis"), "population bases differ")
+    both = enforce_each(both, holds, message)
+    return both.select(*dims, value.alias("value"), unit.alias("unit"), "population_basis")
+
+
 def rate_times_exposure(rate: DataFrame, exposure: DataFrame, dims: Sequence[str]) -> DataFrame:
-    return aligned(rate, exposure, dims, {"value": F.col("left") * F.col("right")})
+    """Expected counts on aligned cells.
+
+    Surfaces with ``unit`` and ``population_basis`` are checked row by row: the units' product must
+    be a person, so a rate per month times person-years fails until it is ``units.converted``.
+    """
+    value = F.col("left") * F.col("right")
+    if not _typed(rate, exposure):
+        return aligned(rate, exposure, dims, {"value": value})
+    made = units.product(units.vector(F.col("left_unit")), units.vector(F.col("right_unit")))
+    count = made == units.vector(F.lit("person"))
+    return _combined(
+        units.declared(rate, "rate"), units.declared(exposure, "exposure"), dims, value, units.named(made), count,
+        "rate times exposure is not a count of persons",
+    )
 
 
 def rate_sum(first: DataFrame, second: DataFrame, dims: Sequence[str]) -> DataFrame:
-    return aligned(first, second, dims, {"value": F.col("left") + F.col("right")})
+    """Sum of aligned rates; with units, of the same unit and population basis only."""
+    value = F.col("left") + F.col("right")
+    if not _typed(first, second):
+        return aligned(first, second, dims, {"value": value})
+    same = F.col("left_unit") == F.col("right_unit")
+    return _combined(
+        units.declared(first, "rate"), units.declared(second, "rate"), dims, value, F.col("left_unit"), same,
+        "rates of different units cannot be added",
+    )
+
+
+def counts_over_exposure(counts: DataFrame, exposure: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Rates on aligned cells from counts and exposure with units: persons over person-years are 1 / year."""
+    _typed(counts, exposure)
+    made = units.quotient(units.vector(F.col("left_unit")), units.vector(F.col("right_unit")))
+    rate = units.dimension(made) == units.dimension(units.vector(F.lit("1 / year")))
+    return _combined(
+        units.declared(counts, "count"), units.declared(exposure, "exposure"), dims,
+        F.col("left") / F.col("right"), units.named(made), rate, "counts over exposure are not a rate",
+    )
 
 
 def scaled(surface: DataFrame, factor: float) -> DataFrame:
@@ -124,7 +183,7 @@ def exposed_by_age(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        grid.join(changes, [*table, "age"], "left")
+        null_safe_join(grid, changes, [*table, "age"], "left")
         .withColumn("exposed", F.sum(F.coalesce("__d", F.lit(0))).over(running).cast("bigint"))
         .select(*table, "age", "exposed")
     )

@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from factspan import contracts as C
 from factspan.functions import identity
 from factspan.functions.identity import DEFAULT, Scheme
-from factspan.functions.text import nfc
-from factspan.operators.reconcile import set_status
-from factspan.operators.rules import Rule, check, check_absent, report, require
-from factspan.operators.rulesets import validate
+from factspan.functions.text import composed
+from factspan.operators.history import content_digests, inconsistent
+from factspan.operators.reconcile import null_safe_join, set_status
+from factspan.operators.rules import Rule, check, check_absent, enforce_each, report, require
+from factspan.operators.rulesets import one_release_report, validate
 from factspan.session import stage
 
 
@@ -89,7 +90,7 @@ def with_ids(
         raise ValueError("identifiers must be absent before they are assigned")
     stamped = payload.withColumns(release.stamp())
     if compose:
-        stamped = stamped.withColumns({c: nfc(c) for c in compose})
+        stamped = composed(stamped, compose)
     kinds = {f.name: f.dataType for f in schema.fields}
     key = {c: (F.col(c), kinds[c]) for c in C.DOMAIN_KEY[domain]}
     with_fact = stamped.withColumns(
@@ -142,9 +143,20 @@ def finish(
     if not checked:
         return batch
     written = stage(batch, f"batch-{domain}")
+    require(one_release_report(written), release_report(written, release_assets(written, release, scheme), release.source_key))
     return validate(written, domain, scheme, key_rules(domain))
 
 
+def release_assets(batch: DataFrame, release: Release, scheme: Scheme = DEFAULT) -> DataFrame:
+    """The release's own files as manifest assets, one row each."""
+    rows = [
+        (key, sha, release.released_at, release.release_missingness_reason, release.available_at)
+        for key, sha in release.assets
+    ]
+    kind = "source_key string, sha256 string, released_at date, release_missingness_reason string, available_at timestamp"
+    return batch.sparkSession.createDataFrame(rows, kind).withColumn("release_id", release.id_column(scheme))
+
+
 def identifier_report(
     batch: DataFrame, domain: str, source: Mapping[str, str], scheme: Scheme = DEFAULT
 ) -> DataFrame:
@@ -267,16 +279,95 @@ def merged_provenance(
     )
 
 
+_ROOM = 1 << 31  # entries of one list
+
+
+def first_seen(lists: DataFrame, group: Sequence[str], columns: Sequence[str], position: str) -> DataFrame:
+    """Ordered unions of list columns: per group, every element once, by where it stands first.
+
+    Elements are reduced to (element, least place) rows in the map tasks; an array is only built of
+    the distinct ones that are left. ``position`` numbers the rows of a group from 0; null lists
+    are empty and null elements are left out.
+    """
+    def entries(name: str) -> Column:
+        def entry(element: Column, index: Column) -> Column:
+            place = (F.col(position) * F.lit(_ROOM) + index).cast("bigint")
+            return F.struct(F.lit(name).alias("field"), element.alias("element"), place.alias("place"))
+
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), entry)
+
+    sides = [entries(c) for c in columns]
+    parts = lists.select(*group, F.inline(F.concat(*sides))).where("element is not null")
+    least = parts.groupBy(*group, "field", "element").agg(F.min("place").alias("place"))
+    held = lambda c: F.collect_list(F.when(F.col("field") == c, F.struct("place", "element")))
+    ordered = lambda c: F.transform(F.array_sort(held(c)), lambda x: x["element"])
+    return least.groupBy(*group).agg(*[ordered(c).alias(c) for c in columns])
+
+
+def derived_provenance(
+    provenance: DataFrame,
+    group: Sequence[str],
+    position: str,
+    dimensions: Sequence[str],
+    rule: str,
+    transformation: str,
+    missingness: str,
+    role: str = "role",
+    scheme: Scheme = DEFAULT,
+) -> DataFrame:
+    """One provenance row per group for a result derived from the rows of the group.
+
+    ``position`` orders the inputs from 0 and ``role`` names them. Sources, rules, transformations
+    and notes are united in the order of their first appearance, the result's own rule and
+    transformation last; one source key with two artifacts fails the query. The clock is the latest,
+    the dates are the widest, the release is issued anew from the sources' artifacts, and the
+    reason for missing values names every input's.
+    """
+    lists = ["aggregation_rules", "transformation_ids", "notes"]
+    united = first_seen(provenance, group, lists, position)
+    spans = provenance.groupBy(*group).agg(
+        F.max("available_at").alias("available_at"),
+        F.min("observation_start").alias("observation_start"),
+        F.max("observation_end").alias("observation_end"),
+        F.concat_ws("; ", F.transform(
+            F.array_sort(F.collect_list(F.struct(
+                F.col(position).alias("p"), F.concat(F.col(role), F.lit("="), F.col("missingness_reason")).alias("m")
+            ))), lambda x: x["m"],
+        ), F.lit(missingness)).alias("missingness_reason"),
+    )
+    fields = [f.name for f in SOURCE]
+    sources = provenance.select(*group, position, F.posexplode("sources").alias("__i", "__source"))
+    place = (F.col(position) * F.lit(_ROOM) + F.col("__i")).cast("bigint")
+    flat = sources.select(*group, place.alias("place"), *[F.col(f"__source.{f}").alias(f) for f in fields])
+    d1, d2 = content_digests(flat, fields)
+    artifact = F.struct("place", F.struct(*fields).alias("s"))
+    one = flat.withColumns({"d1": d1, "d2": d2}).groupBy(*group, "source_key").agg(
+        F.min(artifact).alias("first"), F.expr("min(d1) = max(d1) AND min(d2) = max(d2)").alias("same")
+    )
+    one = enforce_each(one, F.col("same"), "a source key stands for two artifacts")
+    kept = one.groupBy(*group).agg(
+        F.transform(F.array_sort(F.collect_list("first")), lambda x: x["s"]).alias("sources")
+    )
+    own = lambda c, name: F.array_distinct(F.concat(F.col(c), F.array(F.lit(name))))
+    joined = null_safe_join(null_safe_join(spans, united, list(group), "left"), kept, list(group), "left")
+    none = F.array().cast("array<string>")
+    joined = joined.withColumns({c: F.coalesce(c, none) for c in lists})
+    # the release is one of the columns; a group by it keeps its old name as ``input_release_id``
+    columns = {
+        "sources": F.col("sources"), "release_id": identity.release_id(F.col("sources"), scheme),
+        "available_at": F.col("available_at"), "observation_start": F.col("observation_start"),
+        "observation_end": F.col("observation_end"), "dimensions": F.array(*map(F.lit, dimensions)),
+        "aggregation_rules": own("aggregation_rules", rule), "missingness_reason": F.col("missingness_reason"),
+        "transformation_ids": own("transformation_ids", transformation), "notes": F.col("notes"),
+    }
+    keys = [F.col(g).alias("input_release_id" if g == "release_id" else g) for g in group]
+    return joined.select(*keys, *[c.alias(n) for n, c in columns.items()])
+
+
 def conflicting_sources(provenance: DataFrame) -> DataFrame:
     """Source keys that stand for two different artifacts."""
     sources = provenance.select(F.inline("sources"))
-    content = F.struct(*[c for c in sources.columns if c != "source_key"])
-    return (
-        sources.groupBy("source_key")
-        .agg(F.min(content).alias("low"), F.max(content).alias("high"))
-        .where(~F.col("low").eqNullSafe(F.col("high")))
-        .select("source_key")
-    )
+    return inconsistent(sources, "source_key", [c for c in sources.columns if c != "source_key"])
 
 
 def release_report(

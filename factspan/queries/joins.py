@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factspan.functions import numbers
-from factspan.operators import exposure, intervals, reconcile
+from factspan.operators import exposure, intervals, reconcile, units
 from factspan.plans import finance
 from factspan.queries.base import PENSIONERS, query, raw_pensioners, table
 from factspan.session import stage
@@ -70,6 +70,75 @@ def rate_sum(spark, sf_dir):
     return exposure.rate_sum(some, exposure.scaled(more, 2.5), dims)
 
 
+MONTHLY_CELLS = """
+cells AS (SELECT l_suppkey, year(l_shipdate) AS year, count(*)::DOUBLE AS lived,
+                 count(CASE WHEN l_returnflag = 'R' THEN 1 END)::DOUBLE AS lost FROM lineitem GROUP BY 1, 2)
+"""
+
+
+def _monthly_surfaces(spark, sf_dir):
+    """Per supplier and year: persons lost, person-years, and a rate per month for suppliers of odd keys."""
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(
+        F.count(F.lit(1)).cast("double").alias("lived"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("lost")
+    )
+    cells = stage(counted, "cells")
+    dims, basis = ["l_suppkey", "year"], F.lit("resident_estimate").alias("population_basis")
+    lost = cells.select(*dims, F.col("lost").alias("value"), F.lit("person").alias("unit"), basis)
+    lived = cells.select(*dims, F.col("lived").alias("value"), F.lit("person * year").alias("unit"), basis)
+    odd = F.col("l_suppkey") % 2 == 1
+    monthly = exposure.counts_over_exposure(lost, lived, dims).withColumns(
+        {"value": F.when(odd, F.col("value") / 12).otherwise(F.col("value")), "unit": F.when(odd, "1 / month").otherwise(F.col("unit"))}
+    )
+    return dims, monthly, lived
+
+
+@query(f"""
+WITH {MONTHLY_CELLS}
+SELECT l_suppkey, year, round(lost / lived * lived, 6) AS value, 'person' AS unit, 'resident_estimate' AS population_basis
+FROM cells
+""")
+def expected_counts(spark, sf_dir):
+    """Expected counts from rates of mixed units, converted before they meet the exposure."""
+    dims, rate, lived = _monthly_surfaces(spark, sf_dir)
+    result = exposure.rate_times_exposure(units.converted(rate, "1 / year"), lived, dims)
+    return result.withColumn("value", F.round("value", 6))
+
+
+@query(f"""
+WITH {MONTHLY_CELLS}
+SELECT l_suppkey, year, round(lost / lived / CASE WHEN l_suppkey % 2 = 1 THEN 6 ELSE 0.5 END, 9) AS value,
+       CASE WHEN l_suppkey % 2 = 1 THEN '1 / month' ELSE '1 / year' END AS unit, 'resident_estimate' AS population_basis
+FROM cells
+""")
+def rates_of_one_unit(spark, sf_dir):
+    """Sum of a rate surface with itself: each cell keeps its unit."""
+    dims, rate, _ = _monthly_surfaces(spark, sf_dir)
+    result = exposure.rate_sum(rate, rate, dims)
+    return result.withColumn("value", F.round("value", 9))
+
+
+@query("""
+WITH u(k, unit, person, year, month, length, mass) AS (VALUES
+  (0, 'person', 1, 0, 0, 0, 0), (1, 'person * year', 1, 1, 0, 0, 0), (2, '1 / year', 0, -1, 0, 0, 0), (3, '1 / month', 0, 0, -1, 0, 0),
+  (4, 'dimensionless', 0, 0, 0, 0, 0), (5, 'microgram / meter ** 3', 0, 0, 0, -3, 1), (6, 'millimeter', 0, 0, 0, 1, 0))
+SELECT a.unit AS left_unit, b.unit AS right_unit, count(*) AS lines,
+  (a.person + b.person = 1 AND a.year + b.year = 0 AND a.month + b.month = 0 AND a.length + b.length = 0
+   AND a.mass + b.mass = 0) AS is_count,
+  (a.person = b.person AND a.year + a.month = b.year + b.month AND a.length = b.length AND a.mass = b.mass) AS same_dimension
+FROM lineitem JOIN u a ON l_linenumber % 7 = a.k JOIN u b ON l_partkey % 7 = b.k GROUP BY ALL
+""")
+def unit_products(spark, sf_dir):
+    names = ["person", "person * year", "1 / year", "1 / month", "dimensionless", "microgram / meter ** 3", "millimeter"]
+    of = lambda c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 7 + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").select(of("l_linenumber").alias("left_unit"), of("l_partkey").alias("right_unit"))
+    a, b = units.vector(F.col("left_unit")), units.vector(F.col("right_unit"))
+    marked = lines.select(
+        "left_unit", "right_unit", (units.product(a, b) == units.vector(F.lit("person"))).alias("is_count"),
+        (units.dimension(a) == units.dimension(b)).alias("same_dimension"),
+    )
+    return marked.groupBy("left_unit", "right_unit", "is_count", "same_dimension").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("""
 WITH stocks AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS value
                 FROM orders GROUP BY 1, 2)

@@ -515,3 +515,22 @@ def ordered_unions(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.array_join(structures.append_once(union, "sum"), ",").alias("names")
     )
+
+
+@query(r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents),
+spelled AS (SELECT CASE WHEN doc_id % 2 = 0 THEN replace(replace(w, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)) ELSE w END AS w
+            FROM words)
+SELECT nfc_normalize(w) AS word, count(*) AS n, count(DISTINCT w) AS spellings FROM spelled GROUP BY 1
+HAVING count(DISTINCT w) > 1
+""")
+def composed_words(spark, sf_dir):
+    """Words of all documents, half of them spelled with combining marks, counted by their composed form."""
+    words = table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("w")
+    )
+    apart = F.replace(F.replace(F.col("w"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    spelled = words.select(F.when(F.col("doc_id") % 2 == 0, apart).otherwise(F.col("w")).alias("w"))
+    counted = spelled.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("word", F.col("w"))
+    whole = text.composed(counted, ["word"]).groupBy("word").agg(F.sum("n").alias("n"), F.count_distinct("w").alias("spellings"))
+    return whole.where("spellings > 1")

@@ -841,3 +841,43 @@ def merged_provenance(spark, sf_dir):
         "observation_end",
         F.array_join("aggregation_rules", ",").alias("rules"),
     )
+
+
+@query("""
+WITH parts AS (SELECT o_orderpriority, o_orderstatus, max(o_orderdate::DATE) AS latest, min(o_orderdate::DATE) AS earliest,
+                      CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS p, count(*) AS n FROM orders GROUP BY 1, 2),
+rules AS (SELECT o_orderpriority, unnest(['sum ' || substr(o_orderstatus, 1, 1), 'by month', 'rows ' || n % 2]) AS r,
+                 unnest([p * 3, p * 3 + 1, p * 3 + 2]) AS place FROM parts),
+firsts AS (SELECT o_orderpriority, r, min(place) AS place FROM rules GROUP BY 1, 2)
+SELECT p.o_orderpriority, max(latest) AS available_at, min(earliest) AS observation_start,
+  (SELECT string_agg(r, ',' ORDER BY place) FROM firsts l WHERE l.o_orderpriority = p.o_orderpriority) || ',divide' AS rules,
+  string_agg('file_' || lower(o_orderstatus), ',' ORDER BY p) AS sources,
+  string_agg('input ' || o_orderstatus || '=none', '; ' ORDER BY p) || '; derived' AS missingness_reason
+FROM parts p GROUP BY 1
+""")
+def derived_provenance(spark, sf_dir):
+    """Provenance of one result per priority out of its statuses, united in the order of the inputs."""
+    day, status = F.to_date("o_orderdate"), F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.max(day).alias("available_at"), F.min(day).alias("observation_start"), F.date_add(F.max(day), 1).alias("observation_end"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    source = F.struct(
+        F.concat(F.lit("file_"), F.lower(status)).alias("source_key"), status.alias("name"), F.lit(None).cast("string").alias("url"),
+        F.col("available_at").alias("release_date"), F.lit(None).cast("string").alias("release_missingness_reason"),
+        F.col("available_at").cast("timestamp").alias("retrieved_at"), F.sha2(status, 256).alias("sha256"),
+        F.lit("v1").alias("vintage"), F.lit(False).alias("provisional"),
+    )
+    provenance = rows.select(
+        "o_orderpriority", "available_at", "observation_start", "observation_end",
+        F.when(status == "P", 0).when(status == "F", 1).otherwise(2).alias("position"),
+        F.concat(F.lit("input "), status).alias("role"), F.lit("none").alias("missingness_reason"), F.array(source).alias("sources"),
+        F.array(F.concat(F.lit("sum "), status), F.lit("by month"), F.concat(F.lit("rows "), (F.col("n") % 2).cast("string")))
+        .alias("aggregation_rules"),
+        F.array(F.lit("count-v1")).alias("transformation_ids"), F.array().cast("array<string>").alias("notes"),
+    )
+    made = batch.derived_provenance(provenance, ["o_orderpriority"], "position", ["year"], "divide", "rate-v1", "derived")
+    return made.select(
+        "o_orderpriority", "available_at", "observation_start", F.array_join("aggregation_rules", ",").alias("rules"),
+        F.array_join(F.transform("sources", lambda x: x["source_key"]), ",").alias("sources"), "missingness_reason",
+    )
