@@ -136,21 +136,30 @@ SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day, e
 FROM events GROUP BY 1, 2
 """)
 def stream_running_counts(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    events = file_stream(spark, sf_dir, schema, "parquet", name_filter="events.parquet")
-    keyed = events.select(
+    """Events arrive as files in two goes; the second run goes on from the first one's checkpoint."""
+    keyed = lambda events: events.select(
         F.when(F.col("event_id") % 97 != 0, F.to_date("ts")).alias("day"), "event_type"
     )
-    return run_counts(keyed, ["day", "event_type"])
+    return _in_two_runs(spark, table(spark, sf_dir, "events"), "event_id", keyed, ["day", "event_type"])
+
+
+def _in_two_runs(spark, rows, by, shape, key, value=None):
+    """The rows written as files in two goes, each followed by a run of the count stream, file by file."""
+    folder, state = new_path(spark, "arriving"), new_path(spark, "running")
+    late = F.pmod(F.xxhash64(by), F.lit(5)) < 2
+    for part in (rows.where(~late), rows.where(late)):
+        part.repartition(3).write.mode("append").parquet(folder)
+        stream = shape(file_stream(spark, folder, rows.schema, "parquet"))
+        counted = run_counts(stream, key, value, path=state, compact_every=2)
+    return counted
 
 
 @query("""
 SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1
 """)
 def stream_running_sums(spark, sf_dir):
-    schema = table(spark, sf_dir, "orders").schema
-    orders = file_stream(spark, sf_dir, schema, "parquet", name_filter="orders.parquet")
-    totals = run_counts(orders, ["o_orderpriority"], "o_totalprice", "running-sums")
+    orders = table(spark, sf_dir, "orders")
+    totals = _in_two_runs(spark, orders, "o_orderkey", lambda rows: rows, ["o_orderpriority"], "o_totalprice")
     return totals.withColumn("value", F.round("value", 2))
 
 
@@ -219,3 +228,37 @@ def text_hash(df):
 
     parts = [F.coalesce(text(name, kind), F.lit("null")) for name, kind in df.dtypes]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10)
+
+
+FAN = 256
+
+
+def _ordered_lines(spark, sf_dir, name, change=None):
+    """Line items with an ordinal, written out and read back."""
+    lines = table(spark, sf_dir, "lineitem")
+    ordered = lines.withColumn("place", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return stage(ordered if change is None else change(ordered), name)
+
+
+@query(f"""
+WITH changed AS (SELECT DISTINCT (l_orderkey * 8 + l_linenumber) // {FAN} AS block FROM lineitem
+  WHERE l_orderkey % 1013 = 5 OR (l_orderkey % 1019 = 7 AND l_linenumber = 1))
+SELECT block, block * {FAN} AS first, block * {FAN} + {FAN - 1} AS last FROM changed
+""")
+def changed_blocks(spark, sf_dir):
+    """Blocks of rows that differ between two written tables: some prices changed, some lines are gone."""
+    def change(rows):
+        dearer = F.when(F.col("l_orderkey") % 1013 == 5, F.col("l_extendedprice") + 0.01).otherwise(F.col("l_extendedprice"))
+        gone = (F.col("l_orderkey") % 1019 == 7) & (F.col("l_linenumber") == 1)
+        return rows.withColumn("l_extendedprice", dearer).where(~gone)
+
+    before, after = (_ordered_lines(spark, sf_dir, n, c) for n, c in (("lines", None), ("lines-changed", change)))
+    return files.changed_blocks(files.digest_tree(before, "place", FAN), files.digest_tree(after, "place", FAN), FAN)
+
+
+@query("SELECT 1::BIGINT AS checksums, count(*) AS rows FROM lineitem")
+def table_checksum(spark, sf_dir):
+    """One checksum for the table written twice in other orders and splits."""
+    one, other = (_ordered_lines(spark, sf_dir, n, lambda rows: rows.repartition(k)) for n, k in (("lines", 3), ("lines-dealt", 7)))
+    both = files.table_checksum(one, "place").unionAll(files.table_checksum(other, "place"))
+    return both.agg(F.count_distinct("sha256").alias("checksums")).crossJoin(one.agg(F.count(F.lit(1)).alias("rows")))

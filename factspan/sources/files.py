@@ -5,6 +5,7 @@ Every scan passes an explicit schema; nothing is inferred.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 import zlib
@@ -15,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factspan.functions import dates
+from factspan.functions import dates, identity
 from factspan.operators.reconcile import key_difference, set_status
 from factspan.operators.rules import (
     ContractViolation,
     check,
     check_absent,
     check_unique,
+    enforce_each,
     report,
     require,
 )
@@ -464,27 +466,76 @@ def same_assets(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     )
 
 
-def table_checksum(df: DataFrame, ordinal: str, fan: int = 4096) -> DataFrame:
-    """SHA-256 of the rows in the order of a contiguous ordinal, as a tree of digests.
+def layout_digest(schema: T.StructType, ordinal: str) -> str:
+    """SHA-256 of the names and types of all columns but the ordinal, in their order."""
+    cells = [f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields if f.name != ordinal]
+    return hashlib.sha256("\n".join(cells).encode()).hexdigest()
+
+
+def digest_tree(df: DataFrame, ordinal: str, fan: int = 4096) -> DataFrame:
+    """(level, block, sha256) rows of a tree of digests over the rows in the order of an ordinal.
 
-    Blocks of ``fan`` rows are hashed, then blocks of ``fan`` digests, and so on to a single
-    one, so no group ever has more than ``fan`` rows. The largest ordinal tells the levels.
+    A row is the digest of its typed cells (``identity.row_digest``), so numbers count by their bits
+    and null is not the text "null". Level 1 holds a digest per block of ``fan`` ordinals, every
+    level above one per ``fan`` blocks, up to a single block 0; no group has more than ``fan``
+    entries. The ordinal is a whole number from 0, each at most once (a second row with it changes
+    its block); numbers may be missing. The largest ordinal tells the levels. An empty table has
+    no rows.
     """
     last = df.agg(F.max(F.col(ordinal).cast("bigint"))).first()[0] or 0
-    levels = 3
-    while last // fan**levels:
-        levels += 1
-    content = [c for c in df.columns if c != ordinal]
-    row = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
-    level = df.select(F.col(ordinal).cast("bigint").alias("i"), F.sha2(row, 256).alias("d"))
-    for _ in range(levels):
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda r: r["d"])
-        level = (
-            level.groupBy(F.floor(F.col("i") / fan).alias("block"))
-            .agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("d"))
-            .select(F.col("block").alias("i"), "d")
+    row = identity.row_digest([(f.name, f.dataType) for f in df.schema.fields if f.name != ordinal])
+    place = F.col(ordinal).cast("bigint")
+    checked = enforce_each(df, place >= 0, "an ordinal is missing or negative")
+    level = checked.select(place.alias("i"), row.alias("d"))
+    found, height, number = None, 1, 1
+    while last // fan**height:
+        height += 1
+    for number in range(1, height + 1):
+        entries = F.array_sort(F.collect_list(F.struct("i", "d")))
+        # a missing entry and one at another place differ, so places are hashed too
+        spelled = F.transform(entries, lambda r: F.concat((r["i"] % fan).cast("string"), F.lit(":"), r["d"]))
+        grouped = level.groupBy(F.floor(F.col("i") / fan).alias("block")).agg(
+            F.sha2(F.array_join(spelled, "\n"), 256).alias("sha256")
         )
-    return level.select(F.col("d").alias("sha256"))
+        grouped = stage(grouped.select(F.lit(number).alias("level"), "block", "sha256"), "digest-tree")
+        found = grouped if found is None else found.unionAll(grouped)
+        level = grouped.select(F.col("block").alias("i"), F.col("sha256").alias("d"))
+    return found
+
+
+def table_checksum(df: DataFrame, ordinal: str, fan: int = 4096) -> DataFrame:
+    """SHA-256 of a table: its layout and the top of its ``digest_tree``; no row for an empty table."""
+    tree = digest_tree(df, ordinal, fan)
+    top = tree.agg(F.max("level")).first()[0] or 1
+    head = layout_digest(df.schema, ordinal)
+    return tree.where(F.col("level") == top).select(
+        F.sha2(F.concat_ws("\n", F.lit(head), "sha256"), 256).alias("sha256")
+    )
+
+
+def changed_blocks(left: DataFrame, right: DataFrame, fan: int = 4096) -> DataFrame:
+    """(block, first, last) of the ordinals whose rows differ between two digest trees.
+
+    Compared from the top: a block is looked at only where the block above it differs, so equal
+    tables cost one comparison. The trees are of one ``fan``; a taller one has grown.
+    """
+    tops = [t.agg(F.max("level")).first()[0] or 0 for t in (left, right)]
+    suspects = None
+    for level in range(max(tops), 0, -1):
+        sides = [t.where(F.col("level") == level).select("block", F.col("sha256")) for t in (left, right)]
+        if suspects is not None:
+            sides = [s.join(suspects, F.floor(s["block"] / fan) == suspects["above"], "left_semi") for s in sides]
+        a, b = sides[0].withColumnRenamed("sha256", "a"), sides[1].withColumnRenamed("sha256", "b")
+        apart = a.join(b, "block", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+        suspects = stage(apart.select(F.col("block").alias("above")), "changed-blocks")
+        # a lower tree has nothing to compare at the upper levels: all blocks below are suspects
+        if level > min(tops):
+            suspects = None
+    if suspects is None:
+        blocks = left.unionAll(right).where("level = 1").select("block").distinct()
+    else:
+        blocks = suspects.select(F.col("above").alias("block"))
+    return blocks.select("block", (F.col("block") * fan).alias("first"), (F.col("block") * fan + fan - 1).alias("last"))
 
 
 def content_digest(df: DataFrame, row_hash: Column | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,36 +134,88 @@ def running_counts(
     return events.groupBy(*key).agg(total.alias("value"))
 
 
+@dataclass(frozen=True)
+class CountTable:
+    """Counts kept by a stream under one folder: changes per micro-batch and compacted snapshots.
+
+    ``updates/batch=n`` holds the keys that micro-batch n changed, with their new values; a batch
+    that is retried rewrites its folder. Every ``compact_every`` batches the last snapshot and the
+    changes since become ``snapshots/upto=n``, so a reader never merges more than that many batches.
+    A snapshot counts once it is complete (its success mark is written last); one that was cut off is
+    written anew by the retried batch.
+    """
+
+    path: str
+    key: tuple[str, ...]
+    compact_every: int = 8
+
+    def follow(self, events: DataFrame, value: str | None = None) -> None:
+        """Take in the files that are new since the last run, from the checkpoint kept in the folder."""
+        counted = running_counts(events, self.key, value)
+        schema = counted.schema
+
+        def one(changed: DataFrame, batch_id: int) -> None:
+            changed.write.mode("overwrite").parquet(f"{self.path}/updates/batch={batch_id}")
+            if (batch_id + 1) % self.compact_every == 0:
+                state = self._merged(changed.sparkSession, schema, batch_id)
+                state.write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={batch_id}")
+
+        query: StreamingQuery = (
+            counted.writeStream.outputMode("update")
+            .foreachBatch(one)
+            .option("checkpointLocation", f"{self.path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """State after the last finished batch; ``schema`` is that of key and value."""
+        return self._merged(spark, schema, None).select(*schema.fieldNames())
+
+    def numbers(self, spark: SparkSession, folder: str) -> list[int]:
+        """Numbers of the complete batches or snapshots in a folder."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(at):
+            return []
+        found = [s.getPath() for s in system.listStatus(at)]
+        done = [p for p in found if "=" in p.getName() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    def _merged(self, spark: SparkSession, schema: T.StructType, upto: int | None) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        snapshots = [n for n in self.numbers(spark, "snapshots") if upto is None or n < upto]
+        start = snapshots[-1] if snapshots else -1
+        updates = [n for n in self.numbers(spark, "updates") if n > start and (upto is None or n <= upto)]
+        rows = spark.createDataFrame([], whole)
+        if snapshots:
+            rows = spark.read.schema(whole).parquet(f"{self.path}/snapshots/upto={start}")
+        if updates:
+            folders = [f"{self.path}/updates/batch={n}" for n in updates]
+            fresh = spark.read.schema(whole).option("basePath", f"{self.path}/updates").parquet(*folders)
+            rows = rows.unionAll(fresh.select(*whole.fieldNames()))
+        newest = rows.groupBy(*self.key).agg(F.max_by("value", "batch").alias("value"), F.max("batch").alias("batch"))
+        return newest.select(*whole.fieldNames())
+
+
 def run_counts(
-    events: DataFrame, key: Sequence[str], value: str | None = None, name: str = "running-counts"
+    events: DataFrame,
+    key: Sequence[str],
+    value: str | None = None,
+    name: str = "running-counts",
+    path: str | None = None,
+    compact_every: int = 8,
 ) -> DataFrame:
-    """Run a count stream over the files available now and return its final state.
+    """Run a count stream over the files available now and return its state.
 
-    Each micro-batch writes the keys it changed under its batch id; the newest row of a
-    key is its count. Folders are rewritten on retry, so a lost executor changes nothing.
+    With the ``path`` of an earlier run it goes on from there: files already counted are not read
+    again, and the state holds all runs.
     """
     spark = events.sparkSession
-    out, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
-
-    def one(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    query: StreamingQuery = (
-        running_counts(events, key, value)
-        .writeStream.outputMode("update")
-        .foreachBatch(one)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    schema = running_counts(events, key, value).schema
-    updates = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-        .option("basePath", out)
-        .parquet(f"{out}/batch=*")
-    )
-    return updates.groupBy(*key).agg(F.max_by("value", "batch").alias("value"))
+    table = CountTable(path or new_path(spark, name), tuple(key), compact_every)
+    table.follow(events, value)
+    return table.read(spark, running_counts(events, key, value).schema)
 
 
 def stream_releases(batches: DataFrame, path: str, checkpoint: str) -> None:
