@@ -7,6 +7,7 @@ from factspan.queries import (  # noqa: F401  (imported to register)
     jobs,
     joins,
     labels,
+    projection,
     rules,
     series,
 )
