@@ -424,6 +424,19 @@ def evidence_status(assets: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
+def release_evidence(manifest: DataFrame, acquired: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Manifest, acquired files and provenance sources in one table, per release and source key.
+
+    ``files`` and ``provenance`` tell how each compares with the manifest (equal, different,
+    only_left where the manifest alone has the key, only_right); null where neither has it.
+    """
+    sides = [
+        evidence_status(manifest, other).withColumnRenamed("status", name)
+        for other, name in ((acquired, "files"), (provenance, "provenance"))
+    ]
+    return null_safe_join(sides[0], sides[1], ["release_id", "source_key"], "full_outer")
+
+
 def provenance_assets(provenance: DataFrame) -> DataFrame:
     """Sources of provenance rows in the shape of manifest assets."""
     return provenance.select("release_id", F.inline("sources")).select(

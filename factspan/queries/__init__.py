@@ -4,6 +4,7 @@ from factspan.queries import (  # noqa: F401  (imported to register)
     counts,
     domains,
     history,
+    intake,
     jobs,
     joins,
     labels,
