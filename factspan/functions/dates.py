@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: sentinels of the yyyymmdd integer dates
 NO_DATE = 0
@@ -144,9 +143,3 @@ def round_half_up(col: Column) -> Column:
 def in_interval(day: Column, start: Column, end: Column) -> Column:
     """Half-open membership; a null end is open."""
     return (day >= start) & (end.isNull() | (day < end))
-
-
-def require_instant(schema: T.StructType, column: str) -> None:
-    """Instants must carry a zone: naive timestamps are refused, not guessed."""
-    if not isinstance(schema[column].dataType, T.TimestampType):
-        raise TypeError(f"{column} must be a zone-aware timestamp")

@@ -7,13 +7,11 @@ buckets of a fixed width and joined on the bucket; the exact condition is applie
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factspan.functions.dates import in_interval
 from factspan.functions.numbers import choose, close_bin
 from factspan.operators import prefix
 from factspan.operators.reconcile import null_safe_join
@@ -272,8 +270,3 @@ def interpolate(
         F.col("__c.y0") + share * (F.col("__c.y1") - F.col("__c.y0"))
     )
     return joined.select(*[F.col(f"__p.{c}").alias(c) for c in points.columns], line.alias(value))
-
-
-def alias_at(label_start: date, label_end: date | None, day: Column) -> Column:
-    """Membership of a day in one alias interval."""
-    return in_interval(day, F.lit(label_start), F.lit(label_end).cast("date"))

@@ -8,6 +8,7 @@ from factspan.queries import (  # noqa: F401  (imported to register)
     jobs,
     joins,
     labels,
+    order,
     projection,
     rules,
     series,
