@@ -14,6 +14,12 @@ only how many tokens of each source lie before it: no window is ever gathered, a
 shuffled. The windows follow each other without gaps and are cut into sequences of ``length``.
 The last, short stretch is cut into powers of two, so nothing is padded.
 
+The round-robin is a tree: a node has at most ``QUEUES`` queues, of sources or of nodes below it. A
+node's queue is credited what its sources are credited together, so at every level v all sources
+have the shares they would have in one flat round; within the node's own run of tokens its queues
+take turns by the same rule. Any number of sources, one or a million, is served by the same rule,
+and placing a token looks at ``QUEUES`` numbers per step of the tree.
+
 Defined cases: a null text is empty, and every document ends with token 0, so all have a piece.
 Null sources are one queue. Repeated rows are packed each. An empty table has no pieces.
 Strings of special tokens in a text are read as ``tokenizers`` reads them by default.
@@ -28,6 +34,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,7 @@ from factspan.session import stage
 
 LENGTH = 1024
 WINDOW = 64 * LENGTH
-QUEUES = 4096
-OWN, OWN_NULL, SHARED = "own ", "null", "shared "
+QUEUES = 256  # of one node
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -140,39 +146,63 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     return batches(docs).mapInArrow(run, "id bigint, queue string, part int, before bigint, tokens bigint, ids binary")
 
 
-class Schedule:
-    """Where tokens go, from the queues' total tokens and weights alone, in whole numbers."""
-
-    def __init__(self, totals: list[int], weights: list[Fraction], window: int, length: int):
-        self.totals, self.weights, self.window, self.length = totals, weights, window, length
-        self.all = sum(totals)
-        dry = sorted((Fraction(t) / w, i) for i, (t, w) in enumerate(zip(totals, weights, strict=True)))
-        self.levels, self.served, self.active = [Fraction(0)], [Fraction(0)], [sum(weights, Fraction(0))]
-        for level, i in dry:
-            self.served.append(self.served[-1] + (level - self.levels[-1]) * self.active[-1])
-            self.levels.append(level)
-            self.active.append(self.active[-1] - weights[i])
-        self.bounds = lru_cache(4096)(self._bounds)
-        tail = self.all % length
-        self.tail = self.all - tail
-        self.pieces = [1 << b for b in range(tail.bit_length() - 1, -1, -1) if tail >> b & 1]
-
-    def _level(self, tokens: int) -> Fraction:
-        at = max(0, min(bisect_right(self.served, tokens) - 1, len(self.levels) - 2))
-        return self.levels[at] + (tokens - self.served[at]) / self.active[at]
-
-    def _bounds(self, k: int) -> tuple[list[int], int]:
-        """Tokens each queue has served after k windows, and their sum."""
-        if k * self.window >= self.all:
-            return self.totals, self.all
-        level = self._level(k * self.window)
-        served = [min(t, int(w * level)) for t, w in zip(self.totals, self.weights, strict=True)]
-        return served, sum(served)
+class Flow:
+    """Tokens that some sources have been credited at a level: sources that run dry at one level are one step."""
+
+    def __init__(self, steps: dict[Fraction, tuple[int, Fraction]]):
+        self.steps = steps
+        self.levels = sorted(steps)
+        self.dry, self.active = [0], [sum((w for _, w in steps.values()), Fraction(0))]
+        for level in self.levels:
+            tokens, weight = steps[level]
+            self.dry.append(self.dry[-1] + tokens)
+            self.active.append(self.active[-1] - weight)
+        self.served = [d + v * a for v, d, a in zip(self.levels, self.dry[1:], self.active[1:], strict=True)]
+        self.total = self.dry[-1]
+
+    @staticmethod
+    def source(tokens: int, weight: Fraction) -> Flow:
+        return Flow({Fraction(tokens) / weight: (tokens, weight)})
+
+    @staticmethod
+    def together(flows: list[Flow]) -> Flow:
+        steps: dict[Fraction, tuple[int, Fraction]] = {}
+        for flow in flows:
+            for level, (tokens, weight) in flow.steps.items():
+                held = steps.get(level, (0, Fraction(0)))
+                steps[level] = (held[0] + tokens, held[1] + weight)
+        return Flow(steps)
+
+    def at(self, level: Fraction) -> Fraction:
+        """Tokens credited at a level."""
+        i = bisect_right(self.levels, level)
+        return self.dry[i] + level * self.active[i]
+
+    def level(self, tokens: int | Fraction) -> Fraction:
+        """The level at which so many tokens are credited."""
+        i = min(bisect_right(self.served, tokens), len(self.levels) - 1)
+        return min((tokens - self.dry[i]) / self.active[i], self.levels[i]) if self.active[i] else self.levels[-1]
+
+
+class Round:
+    """Deficit round-robin over the queues of one node, in windows of its run of tokens, in whole numbers."""
+
+    def __init__(self, queues: list[Flow], window: int):
+        self.queues, self.window = queues, window
+        self.all = Flow.together(queues)
+        self.bounds = lru_cache(64)(self._bounds)
+
+    def _bounds(self, k: int) -> tuple[list[int], list[int]]:
+        """Tokens each queue has served after k windows, and their sums before each queue and in all."""
+        if k * self.window >= self.all.total:
+            served = [q.total for q in self.queues]
+        else:
+            level = self.all.level(k * self.window)
+            served = [int(q.at(level)) for q in self.queues]
+        return served, [0, *accumulate(served)]
 
     def _window_of(self, queue: int, token: int) -> int:
-        level = Fraction(token) / self.weights[queue]
-        at = max(0, min(bisect_right(self.levels, level) - 1, len(self.levels) - 2))
-        k = int((self.served[at] + (level - self.levels[at]) * self.active[at]) // self.window)
+        k = int(self.all.at(self.queues[queue].level(token)) // self.window)
         while k > 0 and self.bounds(k)[0][queue] > token:
             k -= 1
         while self.bounds(k + 1)[0][queue] <= token:
@@ -183,15 +213,41 @@ class Schedule:
         """(start, length, position) of the stretches of ``count`` tokens from ``first`` of a queue."""
         done, k = 0, self._window_of(queue, first)
         while done < count:
-            now, total = self.bounds(k)
-            after, _ = self.bounds(k + 1)
+            (now, now_sums), (after, after_sums) = self.bounds(k), self.bounds(k + 1)
             take = min(count - done, after[queue] - (first + done))
             if take > 0:
-                ahead = sum(after[:queue]) - sum(now[:queue])
-                yield done, take, total + ahead + first + done - now[queue]
+                ahead = after_sums[queue] - now_sums[queue]
+                yield done, take, now_sums[-1] + ahead + first + done - now[queue]
                 done += take
             k += 1
 
+
+class Schedule:
+    """Where tokens go, from the sources' total tokens and weights alone."""
+
+    def __init__(self, totals: list[int], weights: list[Fraction], window: int, length: int):
+        self.length, self.all = length, sum(totals)
+        flows = [Flow.source(t, w) for t, w in zip(totals, weights, strict=True)]
+        self.rounds: list[list[Round]] = []  # from the sources up to the one node at the top
+        while not self.rounds or len(flows) > 1:
+            own = [flows[at : at + QUEUES] for at in range(0, len(flows), QUEUES)]
+            self.rounds.append([Round(queues, window) for queues in own])
+            flows = [r.all for r in self.rounds[-1]]
+        tail = self.all % length
+        self.tail = self.all - tail
+        self.pieces = [1 << b for b in range(tail.bit_length() - 1, -1, -1) if tail >> b & 1]
+
+    def place(self, queue: int, first: int, count: int, step: int = 0) -> Iterator[tuple[int, int, int]]:
+        """(start, length, position) of the stretches of ``count`` tokens from ``first`` of a source."""
+        node, own = divmod(queue, QUEUES)
+        stretches = self.rounds[step][node].place(own, first, count)
+        if step + 1 == len(self.rounds):
+            yield from stretches
+            return
+        for start, size, position in stretches:
+            for further, part, place in self.place(node, position, size, step + 1):
+                yield start + further, part, place
+
     def cut(self, position: int, count: int) -> Iterator[tuple[int, int, int]]:
         """(length, sequence, offset) of a stretch at a position of the whole run of tokens."""
         while count:
@@ -212,37 +268,6 @@ class Schedule:
             count -= take
 
 
-def shared(sums: DataFrame, weighted: list[str | None]) -> DataFrame:
-    """``sums`` with the queue of each source as ``merged``: its own for those weighted and the largest,
-    one by hash for the rest, half of ``QUEUES`` each."""
-    sizes = stage(sums.groupBy("queue").agg(F.sum("tokens").alias("size")), "source_sizes")
-    large = sizes.orderBy(F.desc("size"), F.col("queue").asc_nulls_last()).limit(QUEUES // 2).collect()
-    own = {r["queue"] for r in large} | set(weighted)
-    named = sums.sparkSession.createDataFrame([(n, True) for n in own], "q string, kept boolean")
-    by_hash = F.pmod(F.xxhash64("queue"), F.lit(QUEUES - QUEUES // 2)).cast("string")
-    merged = (
-        F.when(F.col("kept").isNull(), F.concat(F.lit(SHARED), by_hash))
-        .when(F.col("queue").isNull(), F.lit(OWN_NULL))
-        .otherwise(F.concat(F.lit(OWN), F.col("queue")))
-    )
-    return sums.join(named, F.col("queue").eqNullSafe(F.col("q")), "left").withColumn("merged", merged).drop("q", "kept")
-
-
-def interleaved(rows: DataFrame) -> DataFrame:
-    """(queue, part, before, first): where documents of sources that share a queue begin in it.
-
-    A source's documents lie in the queue as evenly as in the source: each stands at the share of its
-    source's tokens before it, plus a part of its own length drawn by the source's hash, so that
-    sources of few documents spread over the whole queue.
-    """
-    draw = F.pmod(F.xxhash64("queue", F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    size = F.sum("tokens").over(Window.partitionBy("merged", "queue"))
-    order = Window.partitionBy("merged").orderBy("at", F.col("queue").asc_nulls_last(), "first")
-    ahead = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    at = (F.col("first") + draw * F.col("tokens")) / size
-    return rows.withColumn("at", at).select("queue", "part", "before", F.coalesce(ahead, F.lit(0)).alias("first"))
-
-
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -258,30 +283,21 @@ def pack(
     """One row per piece: (id, start, length, ids_crc32, tokens, sequence_id, offset, source).
 
     ``weights`` name the sources' target proportions; a source they leave out, or all without
-    them, weighs its tokens. Beyond ``QUEUES`` sources, those with a weight and the largest keep
-    queues of their own; the small rest share queues by hash, which weigh what their sources weigh
-    together, so the schedule that every task holds stays small. Within a shared queue the documents
-    of its sources are interleaved (see ``interleaved``); no document is left out.
+    them, weighs its tokens. Tasks hold two numbers per source.
     """
     chosen = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source")
     )
     written = stage_small(tokenise(chosen, tokenizer, end), "tokens")
     sums = stage(written.groupBy("queue", "part").agg(F.sum("tokens").alias("tokens")), "token_sums")
-    many = sums.select("queue").distinct().count() > QUEUES
     weight_of = {k: v for k, v in (weights or {}).items() if v}
-    if many:
-        sums = shared(sums, list(weight_of))
-        weight_of = {OWN_NULL if k is None else f"{OWN}{k}": v for k, v in weight_of.items()}
-    else:
-        sums = sums.withColumn("merged", F.col("queue"))
     within = Window.partitionBy("queue").orderBy("part")
     offsets = stage(
         sums.withColumn("ahead", F.coalesce(F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("merged", F.col("queue").alias("q"), F.col("part").alias("p"), "ahead"),
+        .select(F.col("queue").alias("q"), F.col("part").alias("p"), "ahead"),
         "token_offsets",
     )
-    totals = {r["merged"]: r["tokens"] for r in sums.groupBy("merged").agg(F.sum("tokens").alias("tokens")).collect()}
+    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals, key=lambda n: (n is None, n or ""))
     schedule_of = (
         [totals[n] for n in names],
@@ -295,10 +311,10 @@ def pack(
         schedule = Schedule(*schedule_of)
         for batch in batches_:
             out: list[list] = [[] for _ in range(8)]
-            columns = (batch[c].to_pylist() for c in ("id", "queue", "merged", "first", "tokens"))
-            for row, (id_, source, queue, first, tokens) in enumerate(zip(*columns, strict=True)):
+            columns = (batch[c].to_pylist() for c in ("id", "queue", "first", "tokens"))
+            for row, (id_, source, first, tokens) in enumerate(zip(*columns, strict=True)):
                 ids = memoryview(np.frombuffer(batch["ids"][row].as_buffer(), kind).astype("<u4")).cast("B")
-                for start, count, position in schedule.place(number[queue], first, tokens):
+                for start, count, position in schedule.place(number[source], first, tokens):
                     for take, sequence, offset in schedule.cut(position, count):
                         piece = (id_, start, take, zlib.crc32(ids[4 * start : 4 * (start + take)]), tokens, sequence, offset, source)
                         for column, value in zip(out, piece, strict=True):
@@ -311,11 +327,7 @@ def pack(
 
     same = F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p"))
     joined = written.join(offsets, same).withColumn("first", F.col("ahead") + F.col("before")).drop("q", "p", "ahead")
-    if many:
-        rest = interleaved(joined.where(F.col("merged").startswith(SHARED)).drop("ids"))
-        placed = stage(rest, "token_places").withColumnsRenamed({"queue": "q", "part": "p", "before": "b", "first": "f"})
-        joined = joined.join(placed, same & (F.col("before") == F.col("b")), "left").withColumn("first", F.coalesce("f", "first"))
-    joined = joined.select("id", "queue", "merged", "first", "tokens", "ids")
+    joined = joined.select("id", "queue", "first", "tokens", "ids")
     return batches(joined).mapInArrow(
         run,
         "id bigint, start bigint, length bigint, ids_crc32 bigint, tokens bigint, sequence_id bigint, offset bigint, source string",
