@@ -259,10 +259,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id_column = options.get("id_column", "doc_id")
     found = stage(near_duplicates(docs, **options), "found")
     named = found.where("id is not null")
-    gone = stage(named.where(~F.col("kept")).select(F.col("id").alias("__id")).distinct(), "gone")
-    again = stage(
-        named.where("kept").groupBy(F.col("id").alias("__id")).count().where("count > 1").select("__id"), "again"
-    )
-    own = docs[id_column].cast("long")
-    single = docs.join(gone.unionAll(again), own == F.col("__id"), "left_anti")
-    return single.unionByName(docs.join(again, own == F.col("__id"), "left_semi").dropDuplicates([id_column]))
+    gone = stage(named.where(~F.col("kept")).select("id").distinct(), "gone")
+    again = stage(named.where("kept").groupBy("id").count().where("count > 1").select("id"), "again")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    single = rows.join(gone.unionAll(again), "id", "left_anti")
+    one = rows.join(again, "id", "left_semi").dropDuplicates(["id"])
+    return single.unionByName(one).select("row.*")

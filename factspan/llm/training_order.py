@@ -56,8 +56,16 @@ def permuted(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme: a bare path is on Spark's default file system, as everywhere in Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
 
 
 def shard_name(shard: int) -> str:
@@ -82,7 +90,7 @@ def write_in_order(
     ``folder`` is a URI or path that all tasks reach; by default a new one in the shared folder.
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "training-order")
+    folder = qualified(spark, folder or new_path(spark, "training-order"))
     chosen = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.lit(None).cast("string").alias("source")
     )
