@@ -1,13 +1,25 @@
-"""License notices in whole texts: an index of rare words finds candidates, alignment confirms them.
-
-Words are runs of letters and digits, lowered. Of the words of a template the commonest are left
-out, though fewer than a place may lack, so every place above the limit holds some of the others:
-as many as the limit asks, less those left out. An inverted index from these words to their
-templates (its size is that of the templates) gives the stretches of a text that hold so many of
-them as near to each other as one place can have them. No place above the limit is missed, however
-its changed words lie. A local alignment of each stretch (match 2, other -1) gives the words matched
-in order. What is left before and after a place is aligned again until nothing reaches the limit,
-so copies may follow each other directly.
+"""License notices in whole texts: winnowed fingerprints pick candidates, banded alignment confirms them.
+
+Words are runs of letters and digits, lowered. The fingerprints of a template of ``LONG`` words or
+more are its pairs of neighbouring words, winnowed: of every ``WINNOW`` pairs in a row the one with
+the smallest hash is kept. An inverted index leads from a pair to the templates and places that hold
+it; every pair of a text is looked up. Hits of a template whose diagonals (place in the text less
+place in the template) follow each other within ``band`` words are a candidate if there are a
+twelfth as many as the template has words, two at least.
+
+What is sure: of r unchanged words in a row (r - 1) // ``WINNOW`` pairs at least are kept, so a place
+that keeps such runs is a candidate as soon as these add up to a twelfth; a place at the limit of 60
+per cent keeps some 13 pairs in a hundred words even if its changes are spread as evenly as can be.
+Shorter templates cannot promise a sure pair. All their words but the commonest are fingerprints;
+of the commonest fewer are left out than a place may lack, so every place above the limit holds some
+of the others, as many as the limit asks less those left out, and none is missed, however its changed
+words lie. Stretches that hold so many near to each other are the candidates.
+
+A candidate is aligned (match 2, other -1, local) within a band: of each word of the template only
+words of the text are looked at whose diagonal is at most ``band`` from one of the hits, half a
+template to either side. Shifts beyond that break a place in two; up to there the words matched are
+those of the whole alignment. What is left before and after a place is aligned again until nothing
+reaches the limit, so copies may follow each other directly.
 
 A row is reported per place where at least ``least`` of a template's words are matched: the
 license, coverage (matched words over the template's), and the words of text and template that
@@ -33,9 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.shared import batches
-from factspan.llm.words import hashed, plain, slices, split_words
+from factspan.llm.words import hashed, mix, plain, slices, split_words
 
 LEAST = 0.6
+LONG = 30  # words from which on a template has pairs for fingerprints
+WINNOW = 2
 # Words too common to look for, the commonest first.
 COMMON = (
     "the of and to a in is for or this that with on by as be it are not you may any an at from but can all "
@@ -182,8 +196,48 @@ MARKS = {
 UNKNOWN = "unknown"
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+
+
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash of every ``window`` in a row, the last of equals."""
+    if len(hashes) <= window:
+        return np.arange(len(hashes))[hashes == hashes.min()][-1:] if len(hashes) else np.empty(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
+    return np.unique(len(hashes) - 1 - (np.arange(len(rows)) + rows.argmin(axis=1)))
+
+
+def band(size: int) -> int:
+    return max(6, size // 2)
+
+
+class Inverted:
+    """From fingerprints to the (template, place) pairs that hold them."""
+
+    def __init__(self, holders: dict[int, list[tuple[int, int]]]):
+        self.known = np.array(sorted(holders), np.uint64)
+        flat = [h for w in self.known.tolist() for h in holders[w]]
+        self.templates = np.array([t for t, _ in flat], np.int64)
+        self.places = np.array([p for _, p in flat], np.int64)
+        self.bounds = np.cumsum([0, *(len(holders[w]) for w in self.known.tolist())])
+        self.screen = np.zeros(1 << 16, bool)
+        self.screen[self.known & np.uint64(0xFFFF)] = True
+
+    def hits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, place in it, place in the text) of every fingerprint that is known."""
+        near = np.flatnonzero(self.screen[prints & np.uint64(0xFFFF)])
+        near = near[np.isin(prints[near], self.known)]
+        at = np.searchsorted(self.known, prints[near])
+        counts = self.bounds[at + 1] - self.bounds[at]
+        before = np.cumsum(counts) - counts
+        entries = np.arange(counts.sum()) + np.repeat(self.bounds[at] - before, counts)
+        return self.templates[entries], self.places[entries], np.repeat(near, counts)
+
+
 class Index:
-    """Templates as word hashes, and which of them hold each word that is looked for."""
+    """Templates as word hashes, and the fingerprints by which they are looked for."""
 
     def __init__(self, templates: dict[str, str], least: float = LEAST, marks: dict[str, tuple[str, ...]] | None = None):
         self.names = sorted(templates)
@@ -194,24 +248,27 @@ class Index:
             raise ValueError(f"a template has more than {LONGEST} words")
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.needs = [max(1, math.ceil(least * len(own))) for own in self.words]
-        self.rare = []  # words of a template's looked for that every place holds at least
-        holders: dict[int, list[int]] = defaultdict(list)
+        self.asked = []  # hits that make a candidate
+        of_words: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        of_pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         common = hashed(pa.array(COMMON)).tolist()
         for t, (own, need) in enumerate(zip(self.words, self.needs, strict=True)):
+            if len(own) >= LONG:
+                self.asked.append(max(2, len(own) // 12))
+                grams = pairs(own)
+                for place in winnowed(grams, WINNOW).tolist():
+                    of_pairs[int(grams[place])].append((t, place))
+                continue
             looked, spare = set(own.tolist()), need - 1
             for word in common:
                 count = int((own == word).sum())
                 if 0 < count <= spare:
                     looked.discard(word)
                     spare -= count
-            self.rare.append(spare + 1)
+            self.asked.append(spare + 1)
             for word in looked:
-                holders[word].append(t)
-        self.known = np.array(sorted(holders), np.uint64)
-        self.holders = np.array([t for w in self.known.tolist() for t in holders[w]], np.int64)
-        self.bounds = np.cumsum([0, *(len(holders[w]) for w in self.known.tolist())])
-        self.screen = np.zeros(1 << 16, bool)
-        self.screen[self.known & np.uint64(0xFFFF)] = True
+                of_words[word].append((t, 0))
+        self.of_words, self.of_pairs = Inverted(of_words), Inverted(of_pairs)
 
     def name(self, template: int, words: np.ndarray) -> str:
         """The license of a place with these words: unknown where words that tell it from its kin differ."""
@@ -223,18 +280,6 @@ class Index:
                 return UNKNOWN
         return self.names[template]
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(template, place) of every word that is looked for, in order."""
-        near = np.flatnonzero(self.screen[words & np.uint64(0xFFFF)])
-        near = near[np.isin(words[near], self.known)]
-        at = np.searchsorted(self.known, words[near])
-        counts = self.bounds[at + 1] - self.bounds[at]
-        before = np.cumsum(counts) - counts
-        templates = self.holders[np.arange(counts.sum()) + np.repeat(self.bounds[at] - before, counts)]
-        places = np.repeat(near, counts)
-        order = np.lexsort((places, templates))
-        return templates[order], places[order]
-
 
 # One cell of the alignment in one number: score, words matched, and (turned, so that of equals the
 # shorter is larger) the words of text and of template that it spans.
@@ -243,50 +288,69 @@ LONGEST = (1 << 14) - 1
 FIRST = 2 * SCORE + MATCHED + ((1 << 17) - 2) * SPAN + (LONGEST - 1) * OWN
 
 
-def ends(template: np.ndarray, text: np.ndarray, need: int) -> list[tuple[int, int, int, int, int]]:
+def ends(template: np.ndarray, text: np.ndarray, need: int, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
     """(matched, text start, text end, template start, template end) of all local alignments that
-    share the best score among those with ``need`` words matched, by their ends."""
-    before, top, found = np.zeros(len(text), np.int64), 0, []
+    share the best score among those with ``need`` words matched, by their ends.
+
+    Only cells on diagonals ``low`` to ``high`` are looked at; a row holds one cell per diagonal.
+    """
+    low, high = max(low, 1 - len(template)), min(high, len(text) - 1)
+    if low > high:
+        return []
+    width = high - low + 1
+    # the word of the text on diagonal d in row i is padded[i + d - low]; beyond the text nothing matches
+    before_text, beyond = max(0, -low), max(0, len(template) + high - len(text))
+    inside = np.zeros(before_text + len(text) + beyond, bool)
+    inside[before_text : before_text + len(text)] = True
+    padded = np.concatenate([np.zeros(before_text, np.uint64), text, np.zeros(beyond, np.uint64)])[max(0, low) :]
+    inside = inside[max(0, low) :]
+    before, top, found = np.zeros(width + 1, np.int64), 0, []
     for i, word in enumerate(template.tolist()):
-        diagonal = np.concatenate([[0], before[:-1]])
+        here = inside[i : i + width]
+        diagonal, above = before[:-1], before[1:]  # the cell above lies on the next diagonal
         row = np.where(
-            text == word,
+            (padded[i : i + width] == word) & here,
             np.where(diagonal > 0, diagonal + (2 * SCORE + MATCHED - SPAN - OWN), FIRST),
-            np.maximum(diagonal, before + SPAN) - (SCORE + SPAN + OWN),
+            np.maximum(diagonal, above + SPAN) - (SCORE + SPAN + OWN),
         )
-        np.maximum(row, before - (SCORE + OWN), out=row)
+        np.maximum(row, above - (SCORE + OWN), out=row)
+        row[~here] = 0
         step = 1
-        while step < min(len(text), 2 * len(template)):  # words of the text between two matches
+        while step < min(width, 2 * len(template)):  # words of the text between two matches
             row[step:] = np.maximum(row[step:], row[:-step] - step * (SCORE + SPAN))
             step *= 2
-        row[row < SCORE] = 0
-        before = row
+        row[(row < SCORE) | ~here] = 0
+        before[:-1] = row
         if i + 1 < need:
             continue
         at = np.flatnonzero((row // MATCHED) % (SCORE // MATCHED) >= need)
         if len(at) and (best := int(row[at].max()) // SCORE) >= top:
             if best > top:
                 top, found = best, []
-            for j in at[row[at] // SCORE == best].tolist():
-                cell = int(row[j])
+            for c in at[row[at] // SCORE == best].tolist():
+                cell, j = int(row[c]), i + c + low
                 span = (1 << 17) - 1 - cell // SPAN % (1 << 17)
                 own = LONGEST - cell % SPAN
                 found.append((cell // MATCHED % (1 << 14), j + 1 - span, j + 1, i + 1 - own, i + 1))
     return sorted(found, key=lambda f: (f[2], f[4]))
 
 
-def places(template: np.ndarray, text: np.ndarray, need: int) -> Iterator[tuple[int, int, int, int, int]]:
+def places(
+    template: np.ndarray, text: np.ndarray, need: int, low: int | None = None, high: int | None = None
+) -> Iterator[tuple[int, int, int, int, int]]:
     """Alignments with ``need`` words matched, the best first, then those in what is left between them.
 
     All that share the best score are taken at once, so there are at most as many rounds as scores.
+    Without ``low`` and ``high`` the band holds every diagonal.
     """
+    low, high = -len(template) if low is None else low, len(text) if high is None else high
     left = [(0, len(text))]
     while left:
         start, stop = left.pop()
         if stop - start < need or np.isin(text[start:stop], template).sum() < need:
             continue
         done, any_ = start, False
-        for matched, a, b, c, d in ends(template, text[start:stop], need):
+        for matched, a, b, c, d in ends(template, text[start:stop], need, low - start, high - start):
             if start + a >= done:
                 yield matched, start + a, start + b, c, d
                 left.append((done, start + a))
@@ -306,14 +370,16 @@ def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(template, first word, last word) of the stretches that can hold a place.
+def stretches(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(template, first word, last word, diagonals) of the stretches that can hold a place of a short template.
 
     An alignment that starts anew where its score is used up skips at most twice the words it
     matches, so it spans at most three times its template.
     """
-    templates, at = index.hits(words)
-    last = np.arange(len(at)) + np.array(index.rare, np.int64)[templates] - 1
+    templates, _, at = index.of_words.hits(words)
+    order = np.lexsort((at, templates))
+    templates, at = templates[order], at[order]
+    last = np.arange(len(at)) + np.array(index.asked, np.int64)[templates] - 1
     spans = 3 * np.array([len(own) for own in index.words], np.int64)[templates]
     inside = np.flatnonzero(last < len(at))
     inside = inside[templates[last[inside]] == templates[inside]]
@@ -322,15 +388,45 @@ def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int]
     for k in inside.tolist():
         found[int(templates[k])].append((max(0, int(at[last[k]] - spans[k] + 1)), int(at[k] + spans[k])))
     for t, regions in found.items():
-        yield from ((t, start, stop) for start, stop in merged(regions))
+        for start, stop in merged(regions):
+            stop = min(stop, len(words))
+            yield t, start, stop, -len(index.words[t]), stop - start
+
+
+def bands(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(template, first word, last word, lowest and highest diagonal from there) of the bands that hold enough pairs."""
+    templates, own, at = index.of_pairs.hits(pairs(words))
+    diagonals = at - own
+    order = np.lexsort((diagonals, templates))
+    templates, diagonals = templates[order], diagonals[order]
+    sizes = np.array([len(w) for w in index.words], np.int64)
+    wide = np.array([band(int(n)) for n in sizes], np.int64)
+    if not len(templates):
+        return
+    apart = (np.diff(templates) != 0) | (np.diff(diagonals) > wide[templates[1:]])
+    edges = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(templates)]])
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        t = int(templates[low])
+        if high - low < index.asked[t]:
+            continue
+        first, last = int(diagonals[low]) - int(wide[t]), int(diagonals[high - 1]) + int(wide[t])
+        start, stop = max(0, first), min(len(words), last + int(sizes[t]))
+        if stop > start:
+            yield t, start, stop, first - start, last - start
+
+
+def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    yield from stretches(index, words)
+    if len(words) > 1:
+        yield from bands(index, words)
 
 
 def scan_text(index: Index, words: np.ndarray) -> list[tuple[str, float, int, int, int, int, int]]:
     """(license, coverage, matched, text start and end, template start and end), words counted."""
     rows = []
-    for t, start, stop in candidates(index, words):
+    for t, start, stop, low, high in candidates(index, words):
         template = index.words[t]
-        for matched, a, b, c, d in places(template, words[start:stop], index.needs[t]):
+        for matched, a, b, c, d in places(template, words[start:stop], index.needs[t], low, high):
             name = index.name(t, words[start + a : start + b])
             rows.append((name, matched / len(template), matched, start + a, start + b, c, d))
     kept: list = []
