@@ -225,10 +225,14 @@ class Inverted:
         self.screen = np.zeros(1 << 16, bool)
         self.screen[self.known & np.uint64(0xFFFF)] = True
 
+    def held(self, prints: np.ndarray) -> np.ndarray:
+        """Places of the fingerprints that are known."""
+        near = np.flatnonzero(self.screen[prints & np.uint64(0xFFFF)])
+        return near[np.isin(prints[near], self.known)]
+
     def hits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template, place in it, place in the text) of every fingerprint that is known."""
-        near = np.flatnonzero(self.screen[prints & np.uint64(0xFFFF)])
-        near = near[np.isin(prints[near], self.known)]
+        near = self.held(prints)
         at = np.searchsorted(self.known, prints[near])
         counts = self.bounds[at + 1] - self.bounds[at]
         before = np.cumsum(counts) - counts
@@ -459,7 +463,9 @@ def scan(
             for start, part in slices(batch["text"]):
                 flat, bounds = split_words(plain(part))
                 words = hashed(flat)
-                for i in range(len(part)):
+                # texts without a known fingerprint hold no place
+                known = np.concatenate([index.of_words.held(words), index.of_pairs.held(pairs(words))])
+                for i in np.unique(np.searchsorted(bounds, known, "right") - 1).tolist():
                     found = scan_text(index, words[bounds[i] : bounds[i + 1]])
                     rows += [(ids[start + i], *r) for r in found]
             kinds = (pa.int64(), pa.string(), pa.float64(), *[pa.int32()] * 5)
