@@ -47,6 +47,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences of all documents that the stages keep.
+
+    Languages and toxicity are judged first, as both look at single texts and make all later work
+    smaller; near copies go before the mixture is drawn, so that no source counts its copies; packing
+    comes last. Every stage reads what the one before has written, so a lost executor costs a stage.
+
+    Defined cases: rows with a null id are judged and packed as all others, and are copies of
+    nothing; rows that repeat an id are judged each, and one of them stays at the near copies. Null,
+    empty and wordless texts go at the first stage. Texts of any length are judged whole. Columns that
+    documents have beside their own are passed on up to the packing. Empty tables give no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
