@@ -16,6 +16,7 @@ from factspan.functions.numbers import choose, close_bin
 from factspan.operators import prefix
 from factspan.operators.reconcile import null_safe_join
 from factspan.operators.rules import enforce_each
+from factspan.session import stage
 
 
 def _buckets(low: Column, high: Column, width: float) -> Column:
@@ -211,7 +212,9 @@ def _same_nodes(weights: DataFrame, surface: DataFrame, node: Sequence[str]) ->
     """Inner join on ``node`` that fails on a node of one side only.
 
     The check is a grouped pass of its own, so the join may still send a small side to all tasks.
+    The weights, which both passes read, are written once.
     """
+    weights = stage(weights, "weights")
     joined = null_safe_join(weights, surface, node)
     alone = uncovered_nodes(weights, surface, node)
     alone = enforce_each(alone, F.col("side").isNull(), "operator and surface have different nodes")
