@@ -4,8 +4,8 @@ Words are runs of letters and digits, lowered. The fingerprints of a template of
 more are its pairs of neighbouring words, winnowed: of every ``WINNOW`` pairs in a row the one with
 the smallest hash is kept. An inverted index leads from a pair to the templates and places that hold
 it; every pair of a text is looked up. Hits of a template whose diagonals (place in the text less
-place in the template) follow each other within ``band`` words are a candidate if there are a
-twelfth as many as the template has words, two at least.
+place in the template) follow each other within ``band`` words are a candidate if their
+places in the text, and those in the template, are a twelfth of the template's words, two at least.
 
 What is sure: of r unchanged words in a row (r - 1) // ``WINNOW`` pairs at least are kept, so a place
 that keeps such runs is a candidate as soon as these add up to a twelfth; a place at the limit of 60
@@ -228,7 +228,8 @@ class Inverted:
     def held(self, prints: np.ndarray) -> np.ndarray:
         """Places of the fingerprints that are known."""
         near = np.flatnonzero(self.screen[prints & np.uint64(0xFFFF)])
-        return near[np.isin(prints[near], self.known)]
+        at = np.minimum(np.searchsorted(self.known, prints[near]), max(0, len(self.known) - 1))
+        return near[self.known[at] == prints[near]] if len(self.known) else near[:0]
 
     def hits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template, place in it, place in the text) of every fingerprint that is known."""
@@ -402,7 +403,7 @@ def bands(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, int,
     templates, own, at = index.of_pairs.hits(pairs(words))
     diagonals = at - own
     order = np.lexsort((diagonals, templates))
-    templates, diagonals = templates[order], diagonals[order]
+    templates, diagonals, own, at = templates[order], diagonals[order], own[order], at[order]
     sizes = np.array([len(w) for w in index.words], np.int64)
     wide = np.array([band(int(n)) for n in sizes], np.int64)
     if not len(templates):
@@ -411,7 +412,8 @@ def bands(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, int,
     edges = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(templates)]])
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         t = int(templates[low])
-        if high - low < index.asked[t]:
+        # a common pair that the template or the text repeats counts once
+        if min(len(set(own[low:high].tolist())), len(set(at[low:high].tolist()))) < index.asked[t]:
             continue
         first, last = int(diagonals[low]) - int(wide[t]), int(diagonals[high - 1]) + int(wide[t])
         start, stop = max(0, first), min(len(words), last + int(sizes[t]))
