@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.contracts import RATE_QUOTE_TYPES
@@ -24,6 +24,12 @@ def known(col: Column) -> Column:
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
+def with_known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with every missing value of the columns that are there as null: NaN does not stay apart in a key."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: known(F.col(c)) for c in columns if kinds.get(c) in ("double", "float")})
+
+
 def finite(col: Column) -> Column:
     """True for a present, finite number."""
     value = col.cast("double")

@@ -65,9 +65,12 @@ _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str], str]:
-    """Compatibility decompositions of the basic plane, derived from the Unicode tables."""
+    """Compatibility decompositions and combining marks, derived from the Unicode tables.
+
+    Beyond the first two planes only the compatibility ideographs have any.
+    """
     single_from, single_to, several, marks = [], [], {}, []
-    for point in range(0x80, 0x10000):
+    for point in (*range(0x80, 0x20000), *range(0x2F800, 0x2FA20)):
         if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
             continue
         char = chr(point)

@@ -96,6 +96,23 @@ def shards_of_rows(spark, sf_dir):
     return merged.groupBy("period_start", "sex", "region", "nationality").agg(F.sum("value").alias("value")).crossJoin(number)
 
 
+@query(f"""
+WITH {BIRTHS}
+SELECT period_start, sex, age_lower, age_upper, count(*)::DOUBLE AS value, count(DISTINCT region)::BIGINT AS regions
+FROM births GROUP BY period_start, sex, age_lower, age_upper
+""")
+def shards_with_nan(spark, sf_dir):
+    """Shards of which every second holds NaN where a number is missing merge as if all held nulls."""
+    path = _delimited(spark, raw_births(spark, sf_dir), files.BIRTH_COLUMNS_25, "birth-nan")
+    numbered = files.number_rows(files.scan_with_position(spark, path, files.BIRTH_COLUMNS_25, "births"))
+    shards = births.shard_payloads(numbered, RELEASE_OF, "dpa-2019", 1000)
+    odd = F.pmod(F.xxhash64("aggregation_rule"), F.lit(2)) == 1
+    holes = {c: F.when(odd & F.col(c).isNull(), float("nan")).otherwise(F.col(c)) for c in ("age_lower", "age_upper", "age_quantity", "birth_order")}
+    merged = births.aggregate_shards(stage(shards.withColumns(holes), "nan-shards"))
+    cells = merged.groupBy("period_start", "sex", "age_lower", "age_upper", "region").agg(F.sum("value").alias("value"))
+    return cells.groupBy("period_start", "sex", "age_lower", "age_upper").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("regions"))
+
+
 # --- points and labels ------------------------------------------------------------
 
 EDGES = [(0.0, 10.0), (10.0, 25.0), (25.0, 60.0), (60.0, None)]

@@ -187,3 +187,14 @@ def test_entity_rut(one, raw, expected):
 def test_nfc(spark):
     df = spark.createDataFrame([("é",), (None,)], "x string")
     assert [r[0] for r in df.select(text.nfc("x")).collect()] == ["é", None]
+
+
+def test_fold_reaches_beyond_the_basic_plane(spark):
+    import unicodedata
+
+    wide = [chr(c) for c in (*range(0x1D400, 0x1D4A0), *range(0x1F100, 0x1F16C), 0x1D165, 0x11046, 0x2F800, 0x1EE00)]
+    texts = [f"a{c}b" for c in wide if unicodedata.category(c) != "Cn"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for row in df.select("x", F.regexp_replace(text.fold(F.col("x")), "[^A-Za-z0-9]", "").alias("y")).collect():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", row["x"]) if not unicodedata.combining(c))
+        assert row["y"] == "".join(c for c in plain if c.isascii() and c.isalnum()), ascii(row["x"])
