@@ -1,9 +1,12 @@
 """Exact top-k inner products of whole-number vectors by ball-tree branch and bound.
 
-Rows are dealt to shards of bounded size. Each shard builds a ball tree; a query takes its nodes
+Rows are dealt to shards by space, to the nearest of some centroids of a bounded sample; a shard is
+cut into blocks of bounded size. Each block builds a ball tree; a query takes its nodes
 in the order of their upper bound, centre product plus query norm times radius, until the bound
-falls below its kth score. The kth score is shared: every query is first searched in one shard,
-and the score found there is where all others start. Queries come in shares of bounded size.
+falls below its kth score. The kth score is shared: every query is first searched in its own shard,
+and the score found there is where all others start. A query is only sent to the shards whose own
+ball (centroid and distance of the farthest row, a small table) has a bound that reaches that score.
+Queries come in shares of bounded size.
 
 Components become floor(256 * x) in double precision; products of such vectors are whole numbers
 and exact in double precision up to 2 ** 53. A node is passed over only if its bound is below the
@@ -17,7 +20,9 @@ its own id. Ties go to the smaller id. Products that may not be exact fail by na
 
 from __future__ import annotations
 
+import functools
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.shared import in_shares
-from factspan.llm.vectors import best, hits_table, matrix, ranked, sound, split_group, whole
+from factspan.llm.neighbours import balanced_centroids
+from factspan.llm.shared import batches, in_shares
+from factspan.llm.vectors import best, chunks, hits_table, matrix, ranked, sound, split_group, whole
 from factspan.session import stage
 
 SHARD_ROWS = 8192
+MAX_SHARDS = 1024
+SAMPLE = 20_000
 LEAF = 128
 
 
@@ -105,15 +113,56 @@ def top_products(
     scale: int = 256,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
+    seed: int = 19,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which ``asking`` holds over ``id``."""
-    scaled = sound(vectors, id_column, vector_column, nonzero=False)
-    scaled = stage(scaled.select("id", whole(F.col("v"), scale).alias("v")).distinct().withColumn("n", F.size("v")), "scaled")
-    shards = scaled.groupBy("n").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))  # one row per length
-    name = lambda at: F.concat_ws(":", "n", at)
-    home = F.pmod(F.xxhash64("id", F.lit(19)), F.col("shards"))
-    rows = stage(scaled.join(shards, "n").withColumn("shard", name(home)), "shards")
-    queries = rows.where(asking).select("id", "v", "n", "shards", F.col("shard").alias("home"))
+    known = sound(vectors, id_column, vector_column, nonzero=False)
+    scaled = stage(known.select("id", whole(F.col("v"), scale).alias("v")).distinct(), "scaled")
+    lengths = sorted(r["n"] for r in scaled.select(F.size("v").alias("n")).distinct().collect())
+    found = [_top(scaled.where(F.size("v") == n), asking, k, seed) for n in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _centroids(rows: DataFrame, total: int, seed: int) -> np.ndarray:
+    """About one centroid per ``SHARD_ROWS`` rows, at most ``MAX_SHARDS``, from at most about ``SAMPLE`` rows."""
+    parts = max(1, min(MAX_SHARDS, -(-total // SHARD_ROWS)))
+    unit = (F.xxhash64("id", F.lit(seed)).cast("double") / F.lit(2.0**63) + 1) / 2
+    sample = rows.where(unit <= SAMPLE / total) if SAMPLE < total else rows
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(group["id"].to_numpy(), kind="stable")))
+        made = balanced_centroids(matrix(group["v"]), parts, seed)
+        return pa.table({"n": pa.array([len(made)], pa.int32()), "c": pa.array([made.tobytes()], pa.binary())})
+
+    got = sample.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "n int, c binary").first()
+    return np.frombuffer(got["c"]).reshape(got["n"], -1)
+
+
+def _top(scaled: DataFrame, asking: Column, k: int, seed: int) -> DataFrame:
+    """The best ``k`` of every query among vectors of one length."""
+    centroids = _centroids(scaled, scaled.count(), seed)
+
+    def deal(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            homes, gaps = [], []
+            for part in chunks(batch.num_rows, 64):
+                points = matrix(batch["v"].slice(part.start, part.stop - part.start))
+                apart = np.sqrt(((points[:, None, :] - centroids) ** 2).sum(axis=2))
+                homes.append(apart.argmin(axis=1))
+                gaps.append(apart.min(axis=1))
+            none = [np.empty(0)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["v"], pa.array(np.concatenate(homes or none), pa.int32()), pa.array(np.concatenate(gaps or none))],
+                names=["id", "v", "shard", "gap"],
+            )
+
+    rows = stage(batches(scaled.select("id", "v")).mapInArrow(deal, "id bigint, v array<bigint>, shard int, gap double"), "shards")
+    radii = np.full(len(centroids), -np.inf)
+    for r in rows.groupBy("shard").agg(F.max("gap").alias("radius")).collect():  # one row per shard
+        radii[r["shard"]] = r["radius"]
+    queries = rows.where(asking).select("id", "v", F.col("shard").alias("home"))
 
     def run(group: pa.Table) -> pa.Table:
         ask, own = split_group(group)
@@ -139,9 +188,25 @@ def top_products(
     nothing = F.lit(None).cast("bigint")
     first = stage(search(queries.select(F.col("home").alias("shard"), "id", "v", nothing.alias("floor"))), "first_hits")
     # with fewer than k candidates at home there is no kth score to share
-    partners = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    kth = partners.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    kth = ranked(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     known = queries.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    others = known.withColumn("at", everywhere).withColumn("shard", name("at")).where("shard <> home").select("shard", "id", "v", "floor")
+
+    def send(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for part in chunks(batch.num_rows, 256):
+                own = batch.slice(part.start, part.stop - part.start)
+                asked = matrix(own["v"])
+                reaches = np.sqrt((asked**2).sum(axis=1))[:, None] * np.maximum(radii, 0)
+                bounds = asked @ centroids.T + reaches
+                bounds += 1e-9 * (1 + np.abs(bounds) + reaches)
+                floors = np.array([-np.inf if f is None else float(f) for f in own["floor"].to_pylist()])
+                reach = (bounds >= floors[:, None]) & np.isfinite(radii)
+                reach[np.arange(len(asked)), own["home"].to_numpy()] = False
+                row, shard = np.nonzero(reach)
+                taken = own.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard.astype(np.int32)), taken["id"], taken["v"], taken["floor"]], names=["shard", "id", "v", "floor"]
+                )
+
+    others = batches(known.select("id", "v", "home", "floor")).mapInArrow(send, "shard int, id bigint, v array<bigint>, floor bigint")
     return ranked(first.unionAll(search(others)), k)

@@ -274,3 +274,21 @@ def test_vectors_of_several_lengths_and_large_ones(spark):
         huge = spark.createDataFrame([(0, [large, large]), (1, [large, 1.0])], "vec_id long, embedding array<double>")
         with pytest.raises(Exception, match=message):
             exact_search.top_products(huge, F.lit(True)).count()
+
+
+def test_queries_skip_shards_out_of_reach(spark, monkeypatch):
+    from factspan.llm import exact_search
+
+    monkeypatch.setattr(exact_search, "SHARD_ROWS", 40)
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(8, 6)) * 20
+    rows = [(i, [float(x) for x in centres[i % 8] + r.normal(size=6)]) for i in range(640)]
+    sent, split = [], exact_search.in_shares
+    monkeypatch.setattr(exact_search, "in_shares", lambda asks, *rest: (sent.append(asks.count()), split(asks, *rest))[1])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): x["vec_id"] for x in exact_search.top_products(frame, F.col("id") % 10 == 0, scale=16).collect()}
+    whole = np.floor(16 * np.array([v for _, v in rows]))
+    for q in range(0, 640, 10):
+        best = sorted((-float(whole[q] @ whole[i]), i) for i in range(640) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [i for _, i in best]
+    assert sent[0] == 64 and sent[1] < 64 * 15 / 3  # 16 shards, most of them out of reach
