@@ -355,6 +355,17 @@ def count_conservation(spark, sf_dir):
     return counts.conservation(facts, raw).select("rule_id", "failed")
 
 
+@query(f"""
+WITH {RAW_DEATHS}
+SELECT 'count_conserved' AS rule_id, count(*) FILTER (sex = 'female') AS failed FROM deaths
+""")
+def count_difference(spark, sf_dir):
+    """Facts from which one sex was left out: as many events are missing as it has."""
+    raw = raw_deaths(spark, sf_dir)
+    facts = deaths.count_facts(raw, deaths.Grain(), CUTOFF).where("sex <> 'female'")
+    return counts.conservation(facts, raw).select("rule_id", "failed")
+
+
 @query("""
 SELECT p_brand, p_type, p_size, count(*) AS rows FROM part
 GROUP BY ALL HAVING count(*) > 1
