@@ -57,14 +57,18 @@ def compare_values(
     value: str = "value",
     names: tuple[str, str] = ("left_value", "right_value"),
 ) -> DataFrame:
-    """One-to-one comparison of two tables with unique keys: difference and status."""
+    """One-to-one comparison of two tables with unique keys: difference and status.
+
+    Both sides grow with the input and a written one packs repeated cells far below their size in
+    memory, so neither is ever sent whole to the driver: the sides are shuffled and merged.
+    """
     provisional, _ = release_kind(kind)
     a, b = (
         side.select(*key, F.col(value).alias(name))
         for side, name in zip((left, right), names, strict=True)
     )
     difference = F.col(names[0]) - F.col(names[1])
-    return null_safe_join(a, b, key).select(
+    return null_safe_join(a, b.hint("merge"), key).select(
         *key,
         *names,
         difference.alias("difference"),

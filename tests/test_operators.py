@@ -111,6 +111,17 @@ def test_compare_matches_null_keys_one_to_one(spark):
         reconcile.reconcile(left.unionAll(left), right, ["k", "n"], "final_annual")
 
 
+def test_compared_sides_are_not_sent_to_the_driver(spark, tmp_path):
+    # packed on disk far below their size in memory, so Spark's size check would broadcast them
+    for name in ("left", "right"):
+        spark.range(500).selectExpr("id as k", "repeat('x', 4000) as n", "1.0D as value").write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    compared = reconcile.compare_values(left, right, ["k", "n"], "final_annual")
+    assert compared.where("status = 'reconciled_final'").count() == 500
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_set_status(spark):
     a = spark.createDataFrame([(None, 1), (1, 1), (2, 2)], "k int, v int")
     b = spark.createDataFrame([(None, 1), (1, 9), (3, 2)], "k int, v int")
