@@ -357,21 +357,24 @@ def rut_digit(body: Column) -> Column:
     return F.when(left == 11, "0").when(left == 10, "K").otherwise(left.cast("string"))
 
 
-def entity_rut(col: Column) -> Column:
-    """Canonical ``cl-rut:<body>-<digit>``; null when the spelling or digit is wrong."""
-    return F.when(~col.rlike(r"\p{C}"), let(strip(col), _entity_rut))
+def entity_rut(col: Column, digits: int = 8) -> Column:
+    """Canonical ``cl-rut:<body>-<digit>``; null when the spelling or digit is wrong.
+
+    A body has at most ``digits`` digits: eight in the register, more in numbers issued past it.
+    """
+    return F.when(~col.rlike(r"\p{C}"), let(strip(col), lambda raw: _entity_rut(raw, digits)))
 
 
-def _entity_rut(raw: Column) -> Column:
+def _entity_rut(raw: Column, digits: int) -> Column:
     spelled = (
-        raw.rlike(r"^cl-rut:[1-9]\d{0,7}-[0-9Kk]$")
-        | raw.rlike(r"^\d{1,3}(?:\.\d{3}){1,2}-[0-9Kk]$")
-        | raw.rlike(r"^\d{1,8}-?[0-9Kk]$")
+        raw.rlike(rf"^cl-rut:[1-9]\d{{0,{digits - 1}}}-[0-9Kk]$")
+        | raw.rlike(rf"^\d{{1,3}}(?:\.\d{{3}}){{1,{(digits - 1) // 3}}}-[0-9Kk]$")
+        | raw.rlike(rf"^\d{{1,{digits}}}-?[0-9Kk]$")
     )
     bare = F.upper(F.regexp_replace(raw, r"^cl-rut:|[.\-]", ""))
     body = F.regexp_extract(bare, r"^0*(\d*)[0-9K]$", 1)
     digit = F.substring(bare, -1, 1)
-    sized = F.length(bare).between(2, 9) & (F.length(body) > 0)
+    sized = F.length(bare).between(2, digits + 1) & (F.length(body) > 0)
     return F.when(
         spelled & sized & (rut_digit(body) == digit),
         F.concat(F.lit("cl-rut:"), body, F.lit("-"), digit),

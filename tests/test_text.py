@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factspan.functions import text
+from factspan.queries import labels
 
 X = F.col("x")
 
@@ -184,6 +185,26 @@ def test_entity_rut(one, raw, expected):
     assert one(text.entity_rut(X), x=raw) == expected
 
 
+@pytest.mark.parametrize("raw", ["100000000-7", "1000000007", "100.000.000-7", "cl-rut:100000000-7"])
+def test_entity_rut_of_wider_bodies(one, raw):
+    assert one(text.entity_rut(X), x=raw) is None
+    assert one(text.entity_rut(X, 9), x=raw) == "cl-rut:100000000-7"
+    assert one(text.entity_rut(X, 19), x=raw) == "cl-rut:100000000-7"
+
+
+def test_rut_check_holds_for_any_key(spark, tmp_path):
+    keys = [0, 1, 7, 12627, 12628, 12632, 15000, 126277, 1262784, 900002, 10**12 + 2]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+
+    def expected(key):
+        body = str(key * 7919 + 1)
+        left = 11 - sum(int(c) * (2 + i % 6) for i, c in enumerate(reversed(body))) % 11
+        return None if key % 5 == 4 else f"cl-rut:{body}-{'0' if left == 11 else 'K' if left == 10 else left}"
+
+    got = {r["c_custkey"]: r["entity_id"] for r in labels.rut_check(spark, str(tmp_path)).collect()}
+    assert got == {k: expected(k) for k in keys}
+
+
 def test_nfc(spark):
     df = spark.createDataFrame([("é",), (None,)], "x string")
     assert [r[0] for r in df.select(text.nfc("x")).collect()] == ["é", None]
