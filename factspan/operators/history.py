@@ -56,13 +56,16 @@ def latest_as_of(
     fact: Sequence[str] = ("fact_id",),
     clock: str = "available_at",
     observation: str = "observation_id",
+    mode: str = "enforce",
 ) -> DataFrame:
     """Rows known at ``as_of``, reduced to the newest state of every fact.
 
-    A tie between different observations fails the query; the same observation repeated
-    gives one row.
+    A tie between different observations fails the query; ``mode="report"`` keeps the greatest of
+    them and flags its fact as ``ambiguous``. The same observation repeated gives one row.
     """
     states = newest_states(history, as_of, fact, clock, observation)
+    if mode == "report":
+        return states
     message = "several observations of one fact share the newest clock"
     return enforce_each(states, ~F.col("ambiguous"), message).drop("ambiguous")
 

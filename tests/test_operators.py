@@ -20,6 +20,7 @@ from factspan.operators import (
     series,
 )
 from factspan.operators.rules import ContractViolation
+from factspan.queries import QUERIES
 
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -60,6 +61,17 @@ def test_a_tie_is_an_error_and_a_repeat_is_not(spark):
     assert history.ambiguous_revisions(later, F.lit(clock(9))).count() == 0
 
 
+def test_query_flags_ties_and_keeps_the_last_instant(spark, tmp_path):
+    events = [(1, 7, "a", "2024-01-14 10:00:00"), (2, 7, "a", "2024-01-14 10:00:00"), (3, 7, "b", "2024-01-15 00:00:00"),
+              (4, 8, "a", "2024-01-15 00:00:01"), (5, 8, "b", "2024-01-01 00:00:00"), (6, 8, "b", "2024-01-02 00:00:00")]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string, ts string").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "event_id / 2.0D as value"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["latest_as_of"](spark, str(tmp_path))
+    assert rows(found, "user_id", "event_type", "event_id", "value", "ambiguous") == [
+        (7, "a", 2, 1.0, True), (7, "b", 3, 1.5, False), (8, "b", 6, 3.0, False)]
+
+
 @FEW
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 3), st.sampled_from(["", "a", "ab", "b"])),
                 min_size=1, max_size=30))
