@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from factspan.queries import jobs
+from factspan.session import stage
 from factspan.sources import files
 from factspan.streaming import births as streams
 
@@ -109,3 +111,25 @@ def test_checksum_tells_layouts_and_types_apart(spark):
     assert len(set(digests)) == 5
     zero, minus = (files.table_checksum(rows_of(spark, [(0, "a", z)]), "i").first() for z in (0.0, -0.0))
     assert zero == minus
+
+
+def test_checksum_query_deals_into_the_parts_of_the_session(spark, tmp_path, monkeypatch):
+    lines = spark.range(400).selectExpr("id as l_orderkey", "cast(1 as int) as l_linenumber", "id / 7 as l_extendedprice")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = []
+
+    def counting(df, name):
+        parts.append(df.rdd.getNumPartitions())
+        return stage(df, name)
+
+    monkeypatch.setattr(jobs, "stage", counting)
+    conf = {"spark.sql.shuffle.partitions": "11", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert jobs.table_checksum(spark, str(tmp_path)).collect() == [(1, 400)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert parts == [11, 11]
