@@ -5,14 +5,19 @@ Every scan passes an explicit schema; nothing is inferred.
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import hashlib
 import io
 import zipfile
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +34,7 @@ from factspan.operators.rules import (
 )
 from factspan.operators.rulesets import LOGICAL_TYPES, curated_type_rules
 from factspan.operators.series import archive_row_numbers, block_offsets
-from factspan.session import stage
+from factspan.session import new_path, stage
 
 # fixed values: column names and order of the published death file
 DEATH_COLUMNS = (
@@ -373,15 +378,103 @@ def land_member(
 # --- attestation ---------------------------------------------------------------
 
 
-def attest_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, SHA-256 and size of every file under ``path``."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.sha2("content", 256).alias("sha256"),
-        F.length("content").cast("bigint").alias("bytes"),
+REACH = 128 << 20
+PIECE = 4 << 20
+BOM = b"\xef\xbb\xbf"
+#: Spark's text reader unpacks files of these names, so their bytes cannot be read in splits.
+PACKED = r"(?i)\.(gz|gzip|bz2|deflate|lz4|snappy|zst)$"
+
+
+def attest_files(spark: SparkSession, path: str, reach: int = REACH) -> DataFrame:
+    """Name, SHA-256 and size of every file under ``path``.
+
+    SHA-256 is a chain: every block needs the state after the one before. A file of more than
+    ``reach`` bytes is read in splits by many tasks and hashed in rounds of ``reach`` bytes, each
+    going on from the state of the last, so no task holds more than a few splits; all files advance
+    in the same round. Smaller ones, and large ones that a codec's name ends, are read whole.
+    """
+    place, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    chained = (size > reach) & ~place.rlike(PACKED)
+    # conditions on the metadata alone choose files before any content is read
+    # (which spells paths as URLs, so names come from the path itself)
+    every, name = spark.read.format("binaryFile").load(path), F.element_at(F.split("path", "/"), -1).alias("name")
+    found = every.where(~chained).select(name, F.sha2("content", 256).alias("sha256"), size.alias("bytes"))
+    large = every.where(chained).select(name, place.alias("file"), size.alias("bytes"))
+    if large.isEmpty():
+        return found
+    large = stage(large, "large-files")
+    digests = _chained(spark, path, chained, large.select(F.col("file").alias("path"), "bytes"), reach)
+    named = large.select("name", "file").join(digests, F.col("file") == F.col("path"))
+    return found.unionAll(named.select("name", "sha256", "bytes"))
+
+
+def _chained(spark: SparkSession, path: str, chained: Column, large: DataFrame, reach: int) -> DataFrame:
+    """(path, sha256, bytes) of large files, hashed over their splits in order."""
+    lines = spark.read.option("lineSep", "\n").text(path).where(chained).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("value"),
     )
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = None, 0
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("path", "start", "value")), strict=True)
+            for split, group in groupby(rows, itemgetter(0, 1)):
+                at = at if split == here else 0
+                here = split
+                body = b"".join([part for r in group for part in (r[2], b"\n")])
+                for i in range(0, len(body), PIECE):
+                    piece = body[i : i + PIECE]
+                    cells = {"path": split[0], "start": split[1], "at": at + i, "length": len(piece), "piece": piece}
+                    yield pa.RecordBatch.from_pylist([cells], schema=layout)
+                at += len(body)
+
+    layout = pa.schema([("path", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("length", pa.int64()), ("piece", pa.binary())])
+    folder = new_path(spark, "file-pieces")
+    pieces = lines.mapInArrow(packed, "path string, start bigint, at bigint, length bigint, piece binary")
+    pieces.withColumn("round", F.floor(F.col("start") / reach)).write.partitionBy("round").parquet(folder)
+    pieces = spark.read.parquet(folder)
+    # every line counts one line feed, which the last may lack, and the reader drops a byte order mark
+    total = pieces.groupBy("path").agg(F.sum("length").alias("total"))
+    extra = F.col("total") - F.col("bytes")
+    known = enforce_each(large.join(total, "path", "left"), extra.isin(-3, -2, 0, 1), "a file changed while it was read")
+    states = stage(
+        known.select("path", "bytes", extra.isin(-3, -2).alias("marked"), F.lit(0).cast("bigint").alias("done"),
+                     F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256")), "file-states"
+    )
+
+    def advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # hashlib keeps its state to itself; the library below it has it as 112 plain bytes
+        library = ctypes.CDLL(_hashlib.__file__)
+        rows = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        for name, group in groupby(rows, itemgetter("path")):
+            done = None
+            for r in group:
+                if done is None:
+                    done, end, marked, state = r["done"], r["bytes"], r["marked"], ctypes.create_string_buffer(r["state"] or b"", 112)
+                    if r["state"] is None:
+                        library.SHA256_Init(state)
+                piece = (BOM if marked and not done else b"") + r["piece"]
+                piece = piece[: end - done]
+                library.SHA256_Update(state, piece, ctypes.c_size_t(len(piece)))
+                done += len(piece)
+            digest, kept = None, state.raw
+            if done == end:
+                out = ctypes.create_string_buffer(32)
+                library.SHA256_Final(out, state)
+                digest = out.raw.hex()
+            cells = {"path": name, "bytes": end, "marked": marked, "done": done, "state": kept, "sha256": digest}
+            yield pa.RecordBatch.from_pylist([cells], schema=after)
+
+    after = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("marked", pa.bool_()), ("done", pa.int64()),
+                       ("state", pa.binary()), ("sha256", pa.string())])
+    for number in range(pieces.agg(F.max("round")).first()[0] + 1):
+        turn = pieces.where(F.col("round") == number).select("path", "start", "at", "piece").join(states, "path")
+        ordered = turn.repartition("path").sortWithinPartitions("path", "start", "at")
+        new = stage(ordered.mapInArrow(advanced, states.schema), "file-states")
+        states = stage(new.unionAll(states.join(new, "path", "left_anti")), "file-states")
+    return enforce_each(states, F.col("sha256").isNotNull(), "a file was not read to its end").select("path", "sha256", "bytes")
+
 
 def attestation_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Every file of either side: equal, different, only_left (found), only_right (listed)."""

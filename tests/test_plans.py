@@ -544,6 +544,28 @@ def test_attestation(spark, tmp_path):
         "a.txt": "equal", "b.txt": "different", "c.txt": "only_right"}
 
 
+def test_large_files_are_hashed_in_rounds(spark, tmp_path):
+    import hashlib
+    import random
+
+    noise = random.Random(5).randbytes(70_000)
+    contents = {
+        "noise.parquet": noise, "marked.csv": b"\xef\xbb\xbf" + b"a;b\n" * 9000, "marked_open.csv": b"\xef\xbb\xbf" + b"a;b\n" * 9000 + b"x",
+        "feeds.bin": b"\n" * 6000, "returns.txt": b"a\r\n\xff\x00" * 5000, "long.txt": b"x" * 30_000 + b"\n" + b"y" * 9000,
+        "noise.csv.gz": noise, "small.txt": b"one", "a b%20ü.txt": b"two", "large b%20ü+.txt": noise, "mark.txt": b"\xef\xbb\xbf",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = files.attest_files(spark, str(tmp_path / "*"), reach=5000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["name"]: (r["sha256"], r["bytes"]) for r in found} == {
+        name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in contents.items()}
+
+
 def test_bundle_and_totals(spark, tmp_path):
     write(tmp_path / "births_by_maternal_age.csv",
           "age_group,births_total,births_male,period\nMenores de 15,8,4,2026-04\n15 a 19,420,204,2026-04\n")
